@@ -3,11 +3,15 @@
 from .bpe import op5_bpe
 from .decontaminate import op9_decontaminate
 from .ngram_join import op2_ngram_join
+from .passages import op6_passages
+from .pii import op1_pii
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import op3_quality_rules
 from .secrets import op7_secrets
+from .suffix_dedup import op8_suffix_dedup
 from .warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_quality_rules, op4_warc, op5_bpe, op7_secrets, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_quality_rules, op4_warc, op5_bpe, op6_passages, op7_secrets, op8_suffix_dedup, op9_decontaminate, op10_quality_classifier)}
 
 SQL: dict[str, str] = {
     "op4_warc": """
