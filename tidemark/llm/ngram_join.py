@@ -7,7 +7,7 @@
 3. A file with more rows than a tile holds is split into tiles by a hash, each pair of tiles apart.
    In a tile, popcounts of the bitmap signatures bound the overlap of two sets from above; pairs
    that could link are joined to groups, and only a spanning forest of them leaves the tile.
-4. The sets of one group of the forest meet in tiles again, and sorted arrays of shingle hashes are
+4. The texts of one group of the forest meet in tiles again, and sorted arrays of shingle hashes are
    intersected exactly. Pairs already connected inside a tile needn't be.
 
 Two linked sets share a hash among the smallest ``SKETCH`` of each unless all of the smallest
@@ -30,7 +30,7 @@ SKETCH = 24
 BITMAP_WORDS = 16  # of 64 bits
 TILE_ROWS = 2048
 #: Rows of a verification tile, where whole sets meet.
-SET_ROWS = 512
+SET_ROWS = 2048
 BLOCK_BYTES = 4 << 20
 REMEMBERED = 1_000_000
 
@@ -69,9 +69,18 @@ def shingle_set(text: str | bytes | None, size: int = WORDS) -> np.ndarray:
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, dtype=np.uint8)
-    bits[(hashes >> np.uint64(20)) % np.uint64(BITMAP_WORDS * 64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+    """Signature of a set: each bit is the parity of the number of hashes that fall on it.
+
+    A bit in which two signatures differ stands for at least one element of one set alone, however
+    full the signatures are.
+    """
+    counts = np.bincount(((hashes >> np.uint64(20)) % np.uint64(BITMAP_WORDS * 64)).astype(np.int64), minlength=BITMAP_WORDS * 64)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def overlap_bound(n, m, differing):
+    """Largest possible intersection of sets of n and m whose signatures differ in so many bits."""
+    return np.minimum((n + m - differing) // 2, np.minimum(n, m))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -113,8 +122,7 @@ class _Forest:
 def possible_pairs(n: np.ndarray, bits: np.ndarray, side: np.ndarray | None, percent: int = PERCENT):
     """Edges (i, j) of a spanning forest of the pairs of rows that the bounds allow to link.
 
-    A union has at least as many shingles as bits set in it, so the intersection is at most
-    n + m - popcount(a | b), and at most the smaller set. ``side``: pairs within one side are left
+    ``side``: pairs within one side are left
     to another tile, unless None.
     """
     order = np.argsort(n, kind="stable")
@@ -131,8 +139,7 @@ def possible_pairs(n: np.ndarray, bits: np.ndarray, side: np.ndarray | None, per
         later = later[forest.all()[later] != forest.find(i)]
         if not len(later):
             continue
-        union = np.bitwise_count(bits[later] | bits[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(n[i] + n[later] - union, n[i])
+        most = overlap_bound(n[later], n[i], np.bitwise_count(bits[later] ^ bits[i]).sum(axis=1, dtype=np.int64))
         for j in later[most >= needed(n[later], n[i], percent)].tolist():
             a, b = forest.find(i), forest.find(j)
             if a != b:
@@ -154,7 +161,7 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None, percent: int =
             if (side is not None and side[i] == side[j]) or forest.find(i) == forest.find(j):
                 continue
             least = needed(n[i], n[j], percent)
-            if n[i] + n[j] - int(np.bitwise_count(bits[i] | bits[j]).sum()) < least:
+            if overlap_bound(n[i], n[j], int(np.bitwise_count(bits[i] ^ bits[j]).sum())) < least:
                 continue
             if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= least:
                 forest.root[forest.find(j)] = forest.find(i)
@@ -186,17 +193,6 @@ def _sketched(batches):
             )
 
 
-def _with_sets(batches):
-    """The rows of (node, tile, part, other, text) with the set instead of the text. A row whose text
-    isn't that of its node, as a document id may have several texts, is left out."""
-    for batch in batches:
-        for part in _blocks(batch, 4):
-            sets = [shingle_set(t) for t in part.column(4).cast(pa.binary()).to_pylist()]
-            own = np.array([_node(s) == n for s, n in zip(sets, part.column(0).to_pylist())], dtype=bool)
-            out = pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["node", "tile", "part", "other", "hashes"])
-            yield out.filter(pa.array(own))
-
-
 def _tiled(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     """(node, tile, part, other): ``rows``, which have a node, dealt to tiles of about ``size`` rows.
 
@@ -251,7 +247,13 @@ def _possible(table):
 
 
 def _linked(table):
-    return linked_pairs([np.frombuffer(x, dtype=np.uint64) for x in table["hashes"].to_pylist()], _sides(table))
+    """Whole texts meet in a tile and are made to sets there. A row whose text isn't that of its node,
+    as a document id may have several texts, takes no part."""
+    nodes, sides = table["node"].to_pylist(), _sides(table)
+    sets = [shingle_set(t) for t in table["text"].cast(pa.binary()).to_pylist()]
+    own = [i for i, s in enumerate(sets) if _node(s) == nodes[i]]
+    found = linked_pairs([sets[i] for i in own], None if sides is None else sides[own]) if own else []
+    return [(own[i], own[j]) for i, j in found]
 
 
 def _met(rows: DataFrame, work) -> DataFrame:
@@ -273,8 +275,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     groups = connected_components(cut(_met(tiles, _possible), "possible"))
     met = _tiled(cut(groups, "groups"), ["component"], SET_ROWS).join(one.select("node", "doc"), "node").withColumnRenamed("doc", "rep")
     met = met.join(texts, F.col("rep").eqNullSafe(F.col("doc"))).select("node", "tile", "part", "other", "text")
-    sets = met.mapInArrow(_with_sets, "node long, tile long, part int, other int, hashes binary")
-    return rows.select("doc", "n", "node"), cut(_met(sets, _linked), "edges")
+    return rows.select("doc", "n", "node"), cut(_met(met, _linked), "edges")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
