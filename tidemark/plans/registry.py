@@ -1,4 +1,423 @@
-"""Queries over the driver's tables, by name, and their SQL."""
+"""Queries over the driver's tables, by name, and their SQL.
+
+The tables stand in for a store: orders are observations, brands have prices, customers are positions,
+event types forecast. ``BASE`` has the same stand-ins as common table expressions of the SQL.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from ..functions.stats import arm, question_id
+from ..operators import forecasts as fc, learning as ln, options as op, pit, risk, text as tx
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+BASE = {
+    "obs": """obs AS (SELECT o_orderpriority AS series_id, o_orderstatus AS entity, CAST(last_day(CAST(o_orderdate AS DATE)) AS DATE) AS event_date,
+        CAST(last_day(CAST(o_orderdate AS DATE)) AS TIMESTAMP) + INTERVAL 18 HOUR + to_days(CAST(o_orderkey % 45 AS INTEGER)) AS available_at, o_totalprice AS value, 'orders' AS source,
+        CAST(row_number() OVER (PARTITION BY o_orderpriority, last_day(CAST(o_orderdate AS DATE)) ORDER BY o_orderkey % 45, o_orderkey) - 1 AS INTEGER) AS revision FROM orders)""",
+    "px": """px AS (SELECT p_brand AS entity, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) AS price, sum(l_extendedprice) AS volume
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)""",
+    "rt": """rt AS (SELECT * FROM (SELECT entity, date, volume, price / lag(price) OVER (PARTITION BY entity ORDER BY date) - 1 AS r FROM px) WHERE r IS NOT NULL)""",
+    "fcs": """fcs AS (SELECT user_id AS question, event_type AS member, least(greatest(avg(value) / 500, 0.01), 0.99) AS p, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS y FROM events GROUP BY 1, 2)""",
+    "book": """book AS (SELECT c_name AS name, c_acctbal AS value, 0.5 + (c_custkey % 10) / 10.0 AS beta, CASE c_mktsegment WHEN 'BUILDING' THEN 'mid' WHEN 'MACHINERY' THEN 'small' ELSE 'large' END AS cap_segment, CAST(c_custkey % 7 AS DOUBLE) AS duration FROM customer)""",
+}
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def observations(spark, sf) -> DataFrame:
+    day = F.last_day(F.col("o_orderdate").cast("date"))
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("series_id"), F.col("o_orderstatus").alias("entity"), day.alias("event_date"), (day.cast("timestamp_ntz") + F.expr("make_dt_interval(cast(o_orderkey % 45 as int), 18)")).alias("available_at"), F.col("o_totalprice").alias("value"), F.lit("orders").alias("source"), "o_orderkey")
+    n = F.row_number().over(W.partitionBy("series_id", "event_date").orderBy(F.col("o_orderkey") % 45, "o_orderkey"))
+    return o.withColumn("revision", (n - 1).cast("int")).drop("o_orderkey")
+
+
+def prices(spark, sf) -> DataFrame:
+    both = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return both.groupBy(F.col("p_brand").alias("entity"), F.col("l_shipdate").cast("date").alias("date")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.sum("l_extendedprice").alias("volume"))
+
+
+def returns(spark, sf) -> DataFrame:
+    r = F.col("price") / F.lag("price").over(W.partitionBy("entity").orderBy("date")) - 1
+    return prices(spark, sf).select("entity", "date", "volume", r.alias("r")).where("r is not null")
+
+
+def forecasts(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("question"), F.col("event_type").alias("member")).agg(F.least(F.greatest(F.avg("value") / 500, F.lit(0.01)), F.lit(0.99)).alias("p"))
+    return e.withColumn("y", F.when(F.col("question") % 3 == 0, 1).otherwise(0))
+
+
+def book(spark, sf) -> DataFrame:
+    seg = F.when(F.col("c_mktsegment") == "BUILDING", "mid").when(F.col("c_mktsegment") == "MACHINERY", "small").otherwise("large")
+    return table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("value"), (0.5 + (F.col("c_custkey") % 10) / 10.0).alias("beta"), seg.alias("cap_segment"), (F.col("c_custkey") % 7).cast("double").alias("duration"))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(name: str, sql: str | None = None, base: str = ""):
+    """Register a query; ``base`` names the common table expressions that its SQL needs."""
+
+    def register(make):
+        QUERIES[name] = make
+        if sql:
+            SQL[name] = (f"WITH {', '.join(BASE[b] for b in base.split())}, q AS ({sql}) SELECT * FROM q" if base else sql)
+        return make
+
+    return register
+
+
+CUT = dt.date(1998, 6, 30)
+
+
+@query("w1_as_of", "SELECT series_id, entity, event_date, available_at, value, source, revision FROM obs WHERE available_at <= TIMESTAMP '1998-06-30 23:59:59' QUALIFY row_number() OVER (PARTITION BY series_id, entity, event_date ORDER BY revision DESC, available_at DESC) = 1", "obs")
+def w1_as_of(spark, sf):
+    return pit.as_of(observations(spark, sf), CUT)
+
+
+@query("fp_visible_filters", "SELECT series_id, entity, event_date, value FROM obs WHERE available_at <= TIMESTAMP '1998-06-30 00:00:00' AND series_id IN ('1-URGENT', '2-HIGH') AND event_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'", "obs")
+def fp_visible_filters(spark, sf):
+    return pit.visible(observations(spark, sf), dt.datetime(1998, 6, 30), series=["1-URGENT", "2-HIGH"], start=dt.date(1997, 1, 1), end=dt.date(1997, 12, 31)).select("series_id", "entity", "event_date", "value")
+
+
+@query("w2_wide", "SELECT event_date, max(value) FILTER (WHERE entity = 'F') AS f, max(value) FILTER (WHERE entity = 'O') AS o, max(value) FILTER (WHERE entity = 'P') AS p FROM (SELECT * FROM obs WHERE series_id = '1-URGENT' AND available_at <= TIMESTAMP '1998-06-30 23:59:59' QUALIFY row_number() OVER (PARTITION BY entity, event_date ORDER BY revision DESC) = 1) GROUP BY 1", "obs")
+def w2_wide(spark, sf):
+    names = [f"1-URGENT|{e}" for e in "FOP"]
+    w = pit.wide(pit.as_of(observations(spark, sf), CUT, series="1-URGENT"), names)
+    return w.select("event_date", *[F.col(f"`{n}`").alias(n[-1].lower()) for n in names])
+
+
+@query("w3_revision_history", "SELECT entity, event_date, available_at, value, revision FROM obs WHERE series_id = '1-URGENT' AND event_date = DATE '1997-03-31'", "obs")
+def w3_revision_history(spark, sf):
+    return pit.revision_history(observations(spark, sf), "1-URGENT", "1997-03-31")
+
+
+@query("a1_coverage", "SELECT series_id, source, count(*) AS n_obs, count(DISTINCT event_date) AS n_dates, min(event_date) AS first_date, max(event_date) AS last_date, max(available_at) AS last_available, round(avg(date_diff('day', event_date, CAST(available_at AS DATE))), 6) AS mean_lag_days FROM obs GROUP BY 1, 2", "obs")
+def a1_coverage(spark, sf):
+    return rounded(pit.coverage(observations(spark, sf)))
+
+
+@query("a2_max_revisions", "SELECT series_id, event_date, max(revision) AS revision FROM obs GROUP BY 1, 2", "obs")
+def a2_max_revisions(spark, sf):
+    return observations(spark, sf).groupBy("series_id", "event_date").agg(F.max("revision").alias("revision"))
+
+
+@query("sk1_with_revisions", "WITH o AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS event_date, o_orderkey FROM orders), s AS (SELECT series_id, event_date, count(*) AS n FROM o WHERE o_orderkey % 2 = 0 GROUP BY 1, 2) SELECT o.series_id, o.event_date, o.o_orderkey, CAST(coalesce(n, 0) + row_number() OVER (PARTITION BY o.series_id, o.event_date ORDER BY o_orderkey) - 1 AS INTEGER) AS revision FROM o LEFT JOIN s USING (series_id, event_date) WHERE o_orderkey % 2 = 1")
+def sk1_with_revisions(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("date").alias("event_date"), "o_orderkey")
+    stored = pit.with_revisions(o.where("o_orderkey % 2 = 0"), o.where("false").select("series_id", "event_date", F.lit(0).alias("revision")), ["o_orderkey"])
+    return pit.with_revisions(o.where("o_orderkey % 2 = 1"), stored, ["o_orderkey"])
+
+
+@query("t8_latest", "SELECT series_id, entity, arg_max(value, (event_date, revision)) AS value, max(event_date) AS date FROM obs GROUP BY 1, 2", "obs")
+def t8_latest(spark, sf):
+    o = observations(spark, sf).withColumn("at", F.struct("event_date", "revision"))
+    return pit.latest(o, ["series_id", "entity"], "at").select("series_id", "entity", "value", F.col("date.event_date").alias("date"))
+
+
+@query("j1_asof_join", "SELECT entity, date, round(price, 6) AS price, round(f.rate, 6) AS rate, round(price * f.rate, 4) AS converted FROM px ASOF LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS rate FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1) f ON px.date >= f.d", "px")
+def j1_asof_join(spark, sf):
+    fx = table(spark, sf, "orders").where("o_orderkey % 97 = 0").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.avg("o_totalprice").alias("rate"))
+    entities = table(spark, sf, "part").select(F.col("p_brand").alias("entity")).distinct()
+    out = pit.asof_join(prices(spark, sf).select("entity", "date", "price"), fx.join(F.broadcast(entities)), "date", ["entity"], "rate")
+    return out.select("entity", "date", F.round("price", 6).alias("price"), F.round("rate", 6).alias("rate"), F.round(F.col("price") * F.col("rate"), 4).alias("converted"))
+
+
+@query("j3_lead_lag", "SELECT c.entity, c.date, round(c.x, 6) AS x, round(t2, 6) AS y FROM (SELECT *, lead(y, 2) OVER (PARTITION BY entity ORDER BY date) AS t2 FROM (SELECT r.entity, coalesce(r.date, t.date) AS date, r.r AS x, t.y FROM (SELECT * FROM rt WHERE entity = 'Brand#11') r FULL JOIN (SELECT date, r AS y FROM rt WHERE entity = 'Brand#12') t ON r.date = t.date)) c WHERE x IS NOT NULL AND t2 IS NOT NULL", "px rt")
+def j3_lead_lag(spark, sf):
+    r = returns(spark, sf)
+    out = ln.lead_lag(r.where("entity = 'Brand#11'").withColumnRenamed("r", "x"), r.where("entity = 'Brand#12'").select("date", F.col("r").alias("y")), "entity", 2)
+    return rounded(out.select("entity", "date", "x", "y"))
+
+
+@query("j8_adjust_for_actions", "SELECT px.entity, date, round(max(price) * product(coalesce(ratio, 1.0)), 6) AS price, round(product(coalesce(ratio, 1.0)), 6) AS factor FROM px LEFT JOIN (SELECT p_brand AS entity, make_date(1996 + CAST(p_size % 4 AS INTEGER), 6, 15) AS ex_date, 1.0 / (1 + min(p_size) % 3) AS ratio FROM part GROUP BY 1, 2) a ON a.entity = px.entity AND date < ex_date GROUP BY 1, 2", "px")
+def j8_adjust_for_actions(spark, sf):
+    p = table(spark, sf, "part").groupBy(F.col("p_brand").alias("entity"), F.make_date((1996 + F.col("p_size") % 4).cast("int"), F.lit(6), F.lit(15)).alias("ex_date")).agg((1.0 / (1 + F.min("p_size") % 3)).alias("ratio"))
+    return rounded(risk.adjust_for_actions(prices(spark, sf).drop("volume"), p))
+
+
+@query("j9_stress", f"SELECT s.scenario, round(sum(value * beta * (equity + CASE WHEN cap_segment IN ('mid', 'small') THEN midcap ELSE 0 END) - value * duration * rates_bp / 1e4), 4) AS pnl, round(sum(value * beta * (equity + CASE WHEN cap_segment IN ('mid', 'small') THEN midcap ELSE 0 END) - value * duration * rates_bp / 1e4) / sum(value), 8) AS pnl_pct FROM book CROSS JOIN (VALUES {', '.join(str((k, *v)) for k, v in risk.SCENARIOS.items())}) s(scenario, equity, midcap, rates_bp, credit_bp, fx, oil) GROUP BY 1", "book")
+def j9_stress(spark, sf):
+    out = risk.stress_totals(book(spark, sf), risk.scenarios(spark))
+    return out.select("scenario", F.round("pnl", 4).alias("pnl"), F.round("pnl_pct", 8).alias("pnl_pct"))
+
+
+@query("j12_new_ids", "SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 6 = 3 OR doc_id % 2 = 0)")
+def j12_new_ids(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return ln.new_ids(d.where("doc_id % 2 = 1"), d.where("doc_id % 6 = 3 or doc_id % 2 = 0"), "doc_id")
+
+
+_Q = "SELECT o_orderkey AS question_id, o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + 30 AS stop, o_totalprice AS level, CASE WHEN o_orderkey % 2 = 0 THEN 'below' ELSE 'above' END AS direction FROM orders WHERE o_orderkey % 50 = 0"
+
+
+@query("j13_resolve", f"SELECT question_id, bool_or(CASE direction WHEN 'below' THEN value < level ELSE value > level END) AS outcome, count(value) AS n_obs, min(value) AS lowest, max(value) AS highest FROM ({_Q}) q LEFT JOIN obs ON obs.series_id = q.series_id AND event_date BETWEEN start AND stop GROUP BY 1", "obs")
+def j13_resolve(spark, sf):
+    q = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("date").alias("start"), F.date_add(F.col("o_orderdate").cast("date"), 30).alias("end"), F.col("o_totalprice").alias("level"), F.when(F.col("o_orderkey") % 2 == 0, "below").otherwise("above").alias("direction"))
+    return pit.resolve(q, observations(spark, sf))
+
+
+@query("w4_simple_returns", "SELECT entity, date, round(r, 8) AS r FROM rt", "px rt")
+def w4_simple_returns(spark, sf):
+    return rounded(risk.simple_returns(prices(spark, sf)), 8)
+
+
+@query("w5_log_returns", "SELECT * FROM (SELECT entity, date, round(ln(price / lag(price) OVER (PARTITION BY entity ORDER BY date)), 8) AS r FROM px) WHERE r IS NOT NULL", "px")
+def w5_log_returns(spark, sf):
+    return rounded(risk.log_returns(prices(spark, sf)), 8)
+
+
+_S = "SELECT entity, date, round(price / 20) AS price FROM px"
+
+
+@query("w6_stale_runs", f"SELECT entity, CAST(sum(n) AS BIGINT) AS n_obs, CAST(sum(n - 1) AS BIGINT) AS stale_days, max(n - 1) AS max_run, max(n - 1) > 2 AS suspect FROM (SELECT entity, island, count(*) AS n FROM (SELECT *, sum(moved) OVER (PARTITION BY entity ORDER BY date) AS island FROM (SELECT *, CASE WHEN price = lag(price) OVER (PARTITION BY entity ORDER BY date) THEN 0 ELSE 1 END AS moved FROM ({_S}))) GROUP BY 1, 2) GROUP BY 1", "px")
+def w6_stale_runs(spark, sf):
+    return risk.stale_runs(prices(spark, sf).select("entity", "date", F.round(F.col("price") / 20).alias("price")), 2)
+
+
+@query("w8_winsorize", "SELECT rt.entity, date, round(least(greatest(r, lo), hi), 8) AS r FROM rt JOIN (SELECT entity, quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi FROM rt GROUP BY 1) b ON b.entity = rt.entity", "px rt")
+def w8_winsorize(spark, sf):
+    return rounded(risk.winsorize(returns(spark, sf)), 8)
+
+
+@query("w10_realised_vol", "SELECT entity, date, round(CASE WHEN count(r) OVER w = 21 THEN stddev_samp(r) OVER w * sqrt(252) END, 6) AS vol FROM rt WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)", "px rt")
+def w10_realised_vol(spark, sf):
+    return rounded(risk.realised_vol(returns(spark, sf)))
+
+
+@query("w11_drawdown", "SELECT entity, date, round(price / max(price) OVER (PARTITION BY entity ORDER BY date) - 1, 8) AS drawdown FROM px", "px")
+def w11_drawdown(spark, sf):
+    return rounded(risk.drawdown(prices(spark, sf)), 8)
+
+
+@query("w12_amihud", "SELECT entity, date, round(CASE WHEN count(x) OVER w >= 15 THEN avg(x) OVER w * 1e6 END, 6) AS amihud FROM (SELECT *, abs(r) / nullif(volume, 0) AS x FROM rt) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)", "px rt")
+def w12_amihud(spark, sf):
+    return rounded(risk.amihud(returns(spark, sf)))
+
+
+@query("w13_circuit_limits", "SELECT entity, count(r) AS n_obs, count(*) FILTER (WHERE abs(r) >= 0.99 * 0.2) AS hits, round(max(abs(r)), 6) AS max_move, round(count(*) FILTER (WHERE abs(r) >= 0.99 * 0.2) / count(r), 6) AS pct, count(*) FILTER (WHERE abs(r) >= 0.99 * 0.2) / count(r) > 0.01 AS flag FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS n FROM rt) WHERE n <= 252 GROUP BY 1", "px rt")
+def w13_circuit_limits(spark, sf):
+    return rounded(risk.circuit_limit_risk(returns(spark, sf), 0.2))
+
+
+@query("w16_rolling_var", "SELECT entity, date, round(v, 6) AS var, r < -v AS exceeded FROM (SELECT entity, date, r, CASE WHEN count(r) OVER w = 250 THEN -quantile_cont(r, 0.01) OVER w END AS v FROM rt WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)) WHERE v IS NOT NULL", "px rt")
+def w16_rolling_var(spark, sf):
+    return rounded(risk.rolling_var_backtest(returns(spark, sf), 250).select("entity", "date", "var", "exceeded"))
+
+
+@query("w23_month_end", "SELECT entity, month, round(price, 6) AS price, round(price / lag(price) OVER (PARTITION BY entity ORDER BY month) - 1, 6) AS r FROM (SELECT entity, CAST(last_day(date) AS DATE) AS month, arg_max(price, date) AS price FROM px GROUP BY 1, 2)", "px")
+def w23_month_end(spark, sf):
+    return rounded(ln.month_end(prices(spark, sf)))
+
+
+@query("a4_concentration", "SELECT round(sum(value * value) / sum(abs(value)) ** 2, 10) AS hhi, round(sum(abs(value)) ** 2 / sum(value * value), 4) AS effective_n, round(max(abs(value)) / sum(abs(value)), 8) AS top1, round((SELECT sum(v) FROM (SELECT abs(value) AS v FROM book ORDER BY 1 DESC LIMIT 10)) / sum(abs(value)), 8) AS top10 FROM book", "book")
+def a4_concentration(spark, sf):
+    c = risk.concentration(book(spark, sf))
+    return c.select(F.round("hhi", 10).alias("hhi"), F.round("effective_n", 4).alias("effective_n"), F.round("top1", 8).alias("top1"), F.round("top10", 8).alias("top10"))
+
+
+@query("a5_var_historical", "SELECT rt.entity, round(-max(q), 6) AS var, round(-avg(r) FILTER (WHERE r <= q), 6) AS es, count(*) FILTER (WHERE r <= q) AS n_tail, round(min(r), 6) AS worst, count(r) AS n_obs FROM rt JOIN (SELECT entity, quantile_cont(r, 0.01) AS q FROM rt GROUP BY 1) b ON b.entity = rt.entity GROUP BY 1", "px rt")
+def a5_var_historical(spark, sf):
+    return rounded(risk.var_historical(returns(spark, sf)))
+
+
+_Z = -2.3263478740408408
+_CF = f"({_Z} + ({_Z} ** 2 - 1) * s / 6 + ({_Z} ** 3 - 3 * {_Z}) * k / 24 - (2 * {_Z} ** 3 - 5 * {_Z}) * s ** 2 / 36)"
+
+
+@query("a7_moments_cornish_fisher", f"SELECT entity, round(mu, 6) AS mu, round(sd, 6) AS sd, round(s, 5) AS skew, round(k, 5) AS kurt, round({_CF}, 5) AS z_cf FROM (SELECT entity, mu, sd, m3 / m2 ** 1.5 AS s, m4 / m2 ** 2 - 3 AS k FROM (SELECT rt.entity, avg(r) AS mu, stddev_samp(r) AS sd, avg((r - m) ** 2) AS m2, avg((r - m) ** 3) AS m3, avg((r - m) ** 4) AS m4 FROM rt JOIN (SELECT entity, avg(r) AS m FROM rt GROUP BY 1) a ON a.entity = rt.entity GROUP BY 1))", "px rt")
+def a7_moments_cornish_fisher(spark, sf):
+    v = risk.var_parametric(returns(spark, sf)).withColumn("z_cf", risk.cornish_fisher(F.lit(_Z), F.col("skew"), F.col("kurt")))
+    return v.select("entity", F.round("mu", 6).alias("mu"), F.round("sd", 6).alias("sd"), *[F.round(c, 5).alias(c) for c in ("skew", "kurt", "z_cf")])
+
+
+@query("a7_var_parametric")
+def a7_var_parametric(spark, sf):
+    return rounded(risk.var_parametric(returns(spark, sf)))
+
+
+@query("a10_sample_cov", "SELECT a.entity AS i, b.entity AS j, round(covar_samp(a.r, b.r), 8) AS cov, count(*) AS n_obs FROM rt a JOIN rt b ON a.date = b.date GROUP BY 1, 2", "px rt")
+def a10_sample_cov(spark, sf):
+    return rounded(risk.sample_cov(returns(spark, sf)), 8)
+
+
+@query("a11_ewma_cov", "SELECT i, j, round(mij / sw - mi * mj / sw ** 2, 8) AS cov, round(sw ** 2 / sw2, 4) AS n_eff FROM (SELECT a.entity AS i, b.entity AS j, sum(w) AS sw, sum(w * w) AS sw2, sum(w * a.r) AS mi, sum(w * b.r) AS mj, sum(w * a.r * b.r) AS mij FROM rt a JOIN rt b ON a.date = b.date JOIN (SELECT date, 0.06 * 0.94 ** (row_number() OVER (ORDER BY date DESC) - 1) AS w FROM (SELECT DISTINCT date FROM rt)) d ON d.date = a.date WHERE a.entity < 'Brand#3' AND b.entity < 'Brand#3' GROUP BY 1, 2)", "px rt")
+def a11_ewma_cov(spark, sf):
+    r = returns(spark, sf)
+    dates = r.select("date").distinct()
+    few = r.where("entity < 'Brand#3'")
+    c = risk.ewma_cov(few.unionByName(dates.select(F.lit("~").alias("entity"), "date", F.lit(None).cast("double").alias("volume"), F.lit(0.0).alias("r")))).where("i <> '~' and j <> '~'")
+    return c.select("i", "j", F.round("cov", 8).alias("cov"), F.round("n_eff", 4).alias("n_eff"))
+
+
+@query("a14_shrunk_cov")
+def a14_shrunk_cov(spark, sf):
+    return rounded(risk.shrunk_cov(risk.ewma_cov(returns(spark, sf))), 8)
+
+
+@query("a18_risk_contributions")
+def a18_risk_contributions(spark, sf):
+    r = returns(spark, sf)
+    weights = r.select("entity").distinct().withColumn("weight", F.lit(0.04))
+    return rounded(risk.risk_contributions(risk.sample_cov(r), weights))
+
+
+@query("a19_zscore", "SELECT s_suppkey, round(CASE WHEN sd > 0 THEN least(greatest((x - mean) / sd, -3), 3) ELSE 0 END, 6) AS z FROM (SELECT *, avg(x) OVER (PARTITION BY s_nationkey) AS mean, stddev_samp(x) OVER (PARTITION BY s_nationkey) AS sd FROM (SELECT *, CASE WHEN d > 0 THEN least(greatest(s_acctbal, m - 3 * d), m + 3 * d) ELSE s_acctbal END AS x FROM (SELECT *, 1.4826 * median(abs(s_acctbal - m)) OVER (PARTITION BY s_nationkey) AS d FROM (SELECT *, median(s_acctbal) OVER (PARTITION BY s_nationkey) AS m FROM supplier))))")
+def a19_zscore(spark, sf):
+    z = risk.zscore(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal")
+    return z.select("s_suppkey", F.round("z", 6).alias("z"))
+
+
+@query("a41_coverage_tests", "SELECT entity, count(*) AS n, CAST(sum(e) AS BIGINT) AS x, count(*) FILTER (WHERE b = 0 AND e = 0) AS n00, count(*) FILTER (WHERE b = 0 AND e = 1) AS n01, count(*) FILTER (WHERE b = 1 AND e = 0) AS n10, count(*) FILTER (WHERE b = 1 AND e = 1) AS n11, CASE WHEN sum(e) <= 4 * count(*) / 250 THEN 'green' WHEN sum(e) <= 9 * count(*) / 250 THEN 'yellow' ELSE 'red' END AS light FROM (SELECT *, lag(e) OVER (PARTITION BY entity ORDER BY date) AS b FROM (SELECT entity, date, CASE WHEN r < -1.0 THEN 1 WHEN r > 3 THEN 1 ELSE 0 END AS e FROM rt)) GROUP BY 1", "px rt")
+def a41_coverage_tests(spark, sf):
+    e = returns(spark, sf).withColumn("exceeded", (F.col("r") < -1.0) | (F.col("r") > 3))
+    return risk.coverage_tests(e).select("entity", "n", "x", "n00", "n01", "n10", "n11", "light")
+
+
+@query("f22_days_to_liquidate", "SELECT p.entity, round(days, 6) AS days, CASE WHEN days IS NULL THEN 'untradeable' WHEN days <= 1 THEN '<=1d' WHEN days <= 3 THEN '<=3d' WHEN days <= 10 THEN '<=10d' WHEN days <= 30 THEN '<=30d' ELSE '>30d' END AS bucket FROM (SELECT p_brand AS entity, sum(p_retailprice) * 100 AS value FROM part GROUP BY 1) p LEFT JOIN (SELECT entity, avg(volume) AS adv FROM px WHERE entity > 'Brand#2' GROUP BY 1) a ON a.entity = p.entity CROSS JOIN LATERAL (SELECT abs(value) / nullif(adv * 0.2, 0) AS days)", "px")
+def f22_days_to_liquidate(spark, sf):
+    p = table(spark, sf, "part").groupBy(F.col("p_brand").alias("entity")).agg((F.sum("p_retailprice") * 100).alias("value"))
+    adv = prices(spark, sf).where("entity > 'Brand#2'").groupBy("entity").agg(F.avg("volume").alias("adv"))
+    return risk.days_to_liquidate(p, adv).select("entity", F.round("days", 6).alias("days"), "bucket")
+
+
+@query("a26_member_scores", "SELECT member, count(*) AS n, round(avg((p - y) ** 2), 8) AS brier, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 8) AS log_score, round(avg(y), 8) AS base, round(1 - avg((p - y) ** 2) / (avg(y) * (1 - avg(y))), 6) AS skill, round(avg(ln(p / (1 - p))) - ln(avg(y) / (1 - avg(y))), 6) AS bias_logit FROM fcs GROUP BY 1", "fcs")
+def a26_member_scores(spark, sf):
+    s = fc.member_scores(forecasts(spark, sf))
+    return s.select("member", "n", *[F.round(c, 8).alias(c) for c in ("brier", "log_score", "base")], *[F.round(c, 6).alias(c) for c in ("skill", "bias_logit")])
+
+
+@query("a27_calibration", "SELECT CAST(greatest(ceil(p * 10), 1) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS freq, round(avg(y) - avg(p), 6) AS gap FROM fcs GROUP BY 1", "fcs")
+def a27_calibration(spark, sf):
+    return rounded(fc.calibration_curve(forecasts(spark, sf)))
+
+
+@query("a28_ece", "SELECT round(sum(n * abs(g)) / sum(n), 6) AS ece FROM (SELECT count(*) AS n, avg(y) - avg(p) AS g FROM fcs GROUP BY greatest(ceil(p * 10), 1))", "fcs")
+def a28_ece(spark, sf):
+    return rounded(fc.expected_calibration_error(forecasts(spark, sf)))
+
+
+@query("a29_murphy", "SELECT round(base, 6) AS base, round(brier, 6) AS brier, total, round(sum(n * (mp - fy) ** 2) / total, 6) AS reliability, round(sum(n * (fy - base) ** 2) / total, 6) AS resolution, round(base * (1 - base), 6) AS uncertainty FROM (SELECT count(*) AS n, avg(p) AS mp, avg(y) AS fy FROM fcs GROUP BY len(list_filter([i / 10.0 FOR i IN range(1, 10)], lambda e: e <= p))) CROSS JOIN (SELECT avg(y) AS base, avg((p - y) ** 2) AS brier, count(*) AS total FROM fcs) GROUP BY base, brier, total", "fcs")
+def a29_murphy(spark, sf):
+    return rounded(fc.murphy(forecasts(spark, sf)))
+
+
+@query("a32_hedge_weights", "SELECT member, round(loss, 6) AS loss, round(0.02 + (1 - 0.02 * k) * raw / sum(raw) OVER (), 6) AS weight FROM (SELECT *, exp(-8 * (loss - min(loss) OVER ()) / (max(loss) OVER () - min(loss) OVER ())) AS raw, count(*) OVER () AS k FROM (SELECT member, sum(w * (p - y) ** 2) / sum(w) AS loss FROM (SELECT *, 0.5 ** ((row_number() OVER (PARTITION BY member ORDER BY question DESC) - 1) / 40.0) AS w FROM fcs) GROUP BY 1))", "fcs")
+def a32_hedge_weights(spark, sf):
+    return rounded(fc.hedge_weights(forecasts(spark, sf)))
+
+
+_POOL = "SELECT question, count(*) AS n, avg(ln(p / (1 - p))) AS pooled_logit, coalesce(stddev_samp(p), 0) AS dispersion, abs(2 * avg(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END) - 1) AS agreement, median(p) AS median_p, max(y) AS y FROM fcs GROUP BY 1"
+
+
+@query("a34_pool_binary", f"SELECT question, n, round(dispersion, 6) AS dispersion, round(agreement, 6) AS agreement, round(median_p, 6) AS median_p, round(1 / (1 + exp(-(1 + 1.5 * least(dispersion / 0.25, 1) * agreement) * pooled_logit)), 6) AS pooled FROM ({_POOL})", "fcs")
+def a34_pool_binary(spark, sf):
+    return rounded(fc.pool_binary(forecasts(spark, sf), 2.5).select("question", "n", "dispersion", "agreement", "median_p", "pooled"))
+
+
+@query("a39_extremise_cap", f"SELECT cap, round(avg((1 / (1 + exp(-(1 + (cap - 1) * least(dispersion / 0.25, 1) * agreement) * pooled_logit)) - y) ** 2), 7) AS brier FROM ({_POOL}) CROSS JOIN (SELECT CAST(c AS DOUBLE) AS cap FROM (VALUES (1.0), (1.5), (2.0), (2.5), (3.0)) v(c)) g GROUP BY 1", "fcs")
+def a39_extremise_cap(spark, sf):
+    return rounded(fc.fit_extremise_cap(forecasts(spark, sf), [1.0, 1.5, 2.0, 2.5, 3.0]), 7)
+
+
+@query("a35_pool_categorical", "SELECT question, outcome, round(pooled, 6) AS pooled, round(-sum(pooled * log2(pooled)) OVER (PARTITION BY question), 6) AS entropy_bits FROM (SELECT question, outcome, exp(s) / sum(exp(s)) OVER (PARTITION BY question) AS pooled FROM (SELECT question, outcome, avg(ln(greatest(least(q, 1 - 1e-6), 1e-6))) AS s FROM (SELECT question, member, 'yes' AS outcome, p AS q FROM fcs UNION ALL SELECT question, member, 'no', 1 - p FROM fcs) GROUP BY 1, 2))", "fcs")
+def a35_pool_categorical(spark, sf):
+    f = forecasts(spark, sf)
+    d = f.select("question", "member", F.lit("yes").alias("outcome"), "p").unionByName(f.select("question", "member", F.lit("no").alias("outcome"), (1 - F.col("p")).alias("p")))
+    return rounded(fc.pool_categorical(d))
+
+
+_QV = "SELECT question, q, v FROM (SELECT user_id AS question, event_type, [quantile_cont(value, 0.05), quantile_cont(value, 0.5), quantile_cont(value, 0.95)] AS qs FROM events GROUP BY 1, 2), (VALUES (0.05, 1), (0.5, 2), (0.95, 3)) g(q, i), LATERAL (SELECT qs[i] AS v)"
+
+
+@query("a36_pool_quantiles", f"SELECT question, q, round(max(v) OVER (PARTITION BY question ORDER BY q), 6) AS value, round(spread, 6) AS spread FROM (SELECT question, CAST(q AS DOUBLE) AS q, avg(v) AS v, coalesce(stddev_samp(v), 0) AS spread FROM ({_QV}) GROUP BY 1, 2)")
+def a36_pool_quantiles(spark, sf):
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("question"), "event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("v"))
+    qs = e.select("question", F.explode(F.arrays_zip(F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)).alias("q"), F.col("v").alias("value"))).alias("x")).select("question", "x.q", "x.value")
+    return rounded(fc.pool_quantiles(qs))
+
+
+@query("a38_dissent", f"SELECT f.question, count(*) FILTER (WHERE abs(p - pooled) >= 0.15) AS n_dissent, round(max(abs(p - pooled)), 6) AS distance FROM fcs f JOIN (SELECT question, 1 / (1 + exp(-pooled_logit)) AS pooled FROM ({_POOL})) g ON g.question = f.question GROUP BY 1", "fcs")
+def a38_dissent(spark, sf):
+    f = forecasts(spark, sf)
+    return fc.dissent(f, fc.pool_binary(f)).select("question", "n_dissent", F.round("distance", 6).alias("distance"))
+
+
+@query("w21_benjamini_hochberg", "SELECT candidate, round(p, 6) AS p, CAST(rank AS INTEGER) AS rank, round(least(min(p * m / rank) OVER (ORDER BY rank DESC), 1.0), 6) AS adjusted, least(min(p * m / rank) OVER (ORDER BY rank DESC), 1.0) <= 0.5 AS survives FROM (SELECT *, row_number() OVER (ORDER BY p, candidate) AS rank, count(*) OVER () AS m FROM (SELECT user_id AS candidate, avg(value) / 100 - floor(avg(value) / 100) AS p FROM events GROUP BY 1))")
+def w21_benjamini_hochberg(spark, sf):
+    x = F.avg("value") / 100
+    tests = table(spark, sf, "events").groupBy(F.col("user_id").alias("candidate")).agg((x - F.floor(x)).alias("p"))
+    return rounded(ln.benjamini_hochberg(tests, 0.5)).select("candidate", "p", F.col("rank").cast("int").alias("rank"), "adjusted", "survives")
+
+
+@query("a48_spearman", "SELECT p_brand, round(corr(rx, ry), 6) AS rho, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2 AS rx, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2 AS ry FROM part) GROUP BY 1")
+def a48_spearman(spark, sf):
+    return rounded(ln.spearman(table(spark, sf, "part"), ["p_brand"], "p_size", "p_retailprice"))
+
+
+@query("a47_experiment_arms", "SELECT 'rounds' AS setting, CAST(CAST('0x' || substr(sha256('rounds:' || event_id), 1, 8) AS BIGINT) % 2 AS INTEGER) AS arm, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(*)), 6) AS se FROM events GROUP BY 1, 2")
+def a47_experiment_arms(spark, sf):
+    e = table(spark, sf, "events").select(F.lit("rounds").alias("setting"), arm(F.col("event_id"), "rounds", 2).alias("arm"), F.col("value").alias("score"))
+    return rounded(ln.experiment_arms(e))
+
+
+@query("f2_question_ids", "SELECT event_id, 'q_' || strftime(CAST(ts AS DATE), '%Y%m%d') || '_' || substr(sha256(event_type || '|' || CAST(CAST(ts AS DATE) AS VARCHAR)), 1, 12) AS question_id FROM events")
+def f2_question_ids(spark, sf):
+    return table(spark, sf, "events").select("event_id", question_id(F.col("event_type"), F.col("ts").cast("date")).alias("question_id"))
+
+
+@query("a3_put_call_ratio", "SELECT p_brand, round(sum(CASE WHEN p_size % 2 = 0 THEN p_size END) / sum(CASE WHEN p_size % 2 = 1 THEN p_size END), 6) AS pcr FROM part GROUP BY 1")
+def a3_put_call_ratio(spark, sf):
+    chain = table(spark, sf, "part").select("p_brand", F.when(F.col("p_size") % 2 == 0, "PE").otherwise("CE").alias("side"), F.col("p_size").alias("oi"))
+    return rounded(op.put_call_ratio(chain, ["p_brand"]))
+
+
+@query("w17_implied_cdf")
+def w17_implied_cdf(spark, sf):
+    calls = table(spark, sf, "part").groupBy(F.col("p_brand").alias("expiry"), F.col("p_size").cast("double").alias("strike")).agg((60 - F.max("p_size") + F.max("p_size") ** 2 / 240).alias("call"))
+    return rounded(op.implied_cdf(calls, 0.1))
+
+
+@query("fp12_detect_injection", "SELECT doc_id, regexp_matches(text, '(?i)\\b(ignore|disregard|forget)\\b.{0,40}\\b(previous|prior|above|earlier)\\b') AS hit, strlen(trim(regexp_replace(regexp_replace(text, '\\[E\\d{1,3}\\]', '[ref]', 'g'), '\\s+', ' ', 'g'))) AS n_bytes FROM documents")
+def fp12_detect_injection(spark, sf):
+    d = table(spark, sf, "documents")
+    labels = tx.detect(F.col("text"))
+    return d.select("doc_id", F.array_contains(labels, "ignore-previous").alias("hit"), F.octet_length(tx.sanitise(F.col("text"), {})).cast("long").alias("n_bytes"))
+
+
+@query("sc22_strip_tags")
+def sc22_strip_tags(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("text"))
+
+
+@query("t6_tier_top_k", "SELECT id, tier, relevance FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY relevance DESC, id) AS n FROM (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'press' ELSE 'aggregate' END AS tier, round(((doc_id * 7919) % 1000) / 1000.0, 3) AS relevance FROM documents)) WHERE n <= CASE tier WHEN 'primary' THEN 5 WHEN 'press' THEN 7 ELSE 2 END AND relevance >= 0.3 ORDER BY relevance DESC, id LIMIT 5")
+def t6_tier_top_k(spark, sf):
+    k = F.col("doc_id") % 3
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(k == 0, "primary").when(k == 1, "press").otherwise("aggregate").alias("tier"), F.round((F.col("doc_id") * 7919) % 1000 / 1000.0, 3).alias("relevance"))
+    return tx.top_k(d)
+
+
+@query("f11_fund_search", "SELECT name, CAST(CASE WHEN starts_with(lower(name), 'customer') THEN 3 ELSE 1 END + CASE WHEN starts_with(lower(name), '000') THEN 3 ELSE 1 END AS INTEGER) AS score FROM (SELECT c_name AS name FROM customer) WHERE contains(lower(name), 'customer') AND contains(lower(name), '000') ORDER BY score DESC, name LIMIT 8")
+def f11_fund_search(spark, sf):
+    return tx.fund_search(table(spark, sf, "customer").select(F.col("c_name").alias("name")), "customer 000 fund")
+
+
+@query("json_props", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
+def json_props(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
+
+
+@query("m2_project")
+def m2_project(spark, sf):
+    m = ln.month_end(prices(spark, sf).where("entity = 'Brand#11'")).where("r is not null")
+    history = m.select((F.row_number().over(W.orderBy("month")) - 1).cast("long").alias("i"), F.least(F.greatest(F.col("r") / 20, F.lit(-0.2)), F.lit(0.2)).alias("r"))
+    t = ln.terminal(ln.block_bootstrap(history, 2000, 60), 100_000.0)
+    return t.agg(*[F.round(F.percentile("terminal", q), 2).alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)], F.avg((F.col("terminal") < 100_000).cast("double")).alias("p_loss"))
