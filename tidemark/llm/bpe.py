@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import chunks_by_bytes
 
 #: Bytes of text whose fresh pieces make one corpus, and pieces that a Python worker remembers at most.
-BLOCK_BYTES, REMEMBERED = 4 << 20, 1_000_000
+BLOCK_BYTES, REMEMBERED = 4 << 20, 500_000
 
-#: What this Python worker has encoded so far, by the key of the ranks; later tasks go on from it.
-_workers: dict[str, tuple["MergeReplay", dict[str, tuple[int, ...]]]] = {}
+#: What this Python worker has encoded so far (int32 ids as bytes), by the key of the ranks; later
+#: tasks go on from it.
+_workers: dict[str, tuple["MergeReplay", dict[str, bytes]]] = {}
 
 SCHEMA = "ids array<int>, decoded binary"
 
@@ -143,6 +144,13 @@ class MergeReplay:
         return out
 
 
+def _as_bytes(encoded: list[tuple[int, ...]]):
+    """The ids of each piece as the bytes of int32 numbers."""
+    ends = np.cumsum([0, *map(len, encoded)]) * 4
+    whole = np.fromiter(chain.from_iterable(encoded), dtype=np.int32, count=int(ends[-1]) // 4).tobytes()
+    return (whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids, decoded) for every row of ``docs``, texts encoded whole and decoded again.
 
@@ -170,12 +178,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 fresh = list(set(chain.from_iterable(pieces)).difference(seen))
-                seen.update(zip(fresh, replay.encode([p.encode() for p in fresh])))
-                flat = [list(chain.from_iterable(map(seen.__getitem__, p))) for p in pieces]
-                decoded = [b"".join(map(token.__getitem__, ids)) for ids in flat]
+                seen.update(zip(fresh, _as_bytes(replay.encode([p.encode() for p in fresh]))))
+                flat = [b"".join(map(seen.__getitem__, p)) for p in pieces]
+                decoded = [b"".join(map(token.__getitem__, np.frombuffer(ids, dtype=np.int32).tolist())) for ids in flat]
                 offsets = np.zeros(len(flat) + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in flat], out=offsets[1:])
-                values = np.fromiter(chain.from_iterable(flat), dtype=np.int32, count=int(offsets[-1]))
+                np.cumsum([len(x) // 4 for x in flat], out=offsets[1:])
+                values = np.frombuffer(b"".join(flat), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(decoded, type=pa.binary())], names=[id_col, "ids", "decoded"])
 
     rows = docs.select(F.col(id_col), F.col(text_col))
