@@ -32,7 +32,8 @@ TILE_ROWS = 2048
 #: Rows of a verification tile, where whole sets meet.
 SET_ROWS = 2048
 BLOCK_BYTES = 4 << 20
-REMEMBERED = 1_000_000
+#: Words whose hashes a Python worker keeps at most.
+REMEMBERED = 250_000
 
 
 class _Hashes(dict):
