@@ -34,5 +34,27 @@ def test_far_from_the_language(spark):
     assert got[91].char_distance is None
 
 
+def test_only_the_words_are_far(spark):
+    rng = random.Random(6)
+    other = "river mountain house walking green letter summer window garden paper".split()
+
+    def text(common, n=150):
+        return " ".join(rng.choice(common) if common and rng.random() < 0.2 else rng.choice(other) for _ in range(n))
+
+    rows = [(i, text(Q.COMMON_WORDS["en"]), "en") for i in range(60)] + [(100 + i, text(Q.COMMON_WORDS["de"]), "de") for i in range(60)]
+    rows += [(200, text([]), "en"), (201, text(Q.COMMON_WORDS["de"]), "en"), (202, text(Q.COMMON_WORDS["en"]), "de"), (203, " ".join(rng.choice(other) for _ in range(90)).replace(" ", " | "), "en")]
+    rows += [(300, text(Q.COMMON_WORDS["de"]), None), (301, text([]), None)] + [(310 + i, text([]), "pl") for i in range(5)]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(r.char_distance <= Q.MAX_CHAR_DISTANCE and r.word_distance < Q.MAX_WORD_DISTANCE and not r.base_failed for r in got.values())
+    assert sorted(i for i, r in got.items() if not r.kept) == [200, 201, 202, 203]
+
+
+def test_reference_without_its_common_words(spark):
+    """Where nearly no text uses the list, a text without it isn't far from the others."""
+    rows = [(i, " ".join(f"word{(i * 7 + k) % 50}" for k in range(45)) + " one more line of text here for it" * 2 * (i == 0) + " x y z" * 6, "en") for i in range(30)]
+    got = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("not base_failed").collect()
+    assert len(got) >= 29 and all(r.word_distance is not None and r.kept for r in got if r.doc_id)
+
+
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0

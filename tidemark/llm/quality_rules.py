@@ -5,6 +5,10 @@ the pooled histograms of the documents of the same language (of all documents wh
 null), weighted by length up to a cap per document so that a few very long texts don't set them. A
 document that is long enough and lies too far from its reference in Jensen-Shannon distance, in
 either histogram, is rejected; so is one that fails the base rules on length and repetition.
+
+In common words, too far is as far as a text without any of them lies from the same reference, which
+texts of another language pass too. Where the language is null or has no list here, or its pooled
+texts hardly use its list, such a text proves nothing, and a fixed distance holds.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ COMMON = sorted({w for words in COMMON_WORDS.values() for w in words})
 MIN_CHARS, MIN_WORDS = 200, 60
 #: Largest Jensen-Shannon distance (base 2, 0 to 1) from the reference of the language.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.5
+#: A reference with a smaller share of common words doesn't set the largest word distance itself.
+MIN_REFERENCE_COMMON = 0.05
 #: The counts that stay in the result.
 COUNTS = ["q_n_words", "q_word_chars", "q_n_symbols", "q_n_dup_lines", "q_n_repeat_words", "q_n_chars"]
 #: Weight of a document in its reference, in characters, at most.
@@ -131,12 +137,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     far = counted.join(references, "q_lang", "left")
     failed = (F.col("q_n_words") < 20) | (100 * F.col("q_n_repeat_words") > 30 * F.col("q_n_words"))
     far = far.withColumns({"char_distance": F.when(judged, _distance("q_char_shares", "ref_char")), "word_distance": F.when(judged, _distance("q_word_shares", "ref_word")), "base_failed": failed})
-    off = F.coalesce((F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE), F.lit(False))
+    off = F.coalesce((F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > F.col("ref_far")), F.lit(False))
     return far.withColumn("kept", ~F.col("base_failed") & ~off).select(*[F.col(f"`{c}`") for c in [*docs.columns, *COUNTS]], "char_distance", "word_distance", "base_failed", "kept")
 
 
 def _references(counted: DataFrame) -> DataFrame:
-    """(q_lang, ref_char, ref_word): pooled shares of each language, and of all texts under ''."""
+    """(q_lang, ref_char, ref_word, ref_far): pooled shares of each language, and of all texts under '',
+    and the largest word distance from them."""
     weight = F.least(F.col("q_n_chars"), F.lit(REFERENCE_CHARS))
     sizes = {"q_char_shares": len(CHAR_CLASSES) + 1, "q_word_shares": len(COMMON) + 1}
     # whole numbers, so that the sums don't depend on the order of the tasks
@@ -148,7 +155,12 @@ def _references(counted: DataFrame) -> DataFrame:
     def normal(c):
         return F.transform(c, lambda x: x / F.greatest(_total(c), F.lit(1.0)))
 
-    return pooled.select("q_lang", normal("q_char_shares").alias("ref_char"), normal("q_word_shares").alias("ref_word"))
+    out = pooled.select("q_lang", normal("q_char_shares").alias("ref_char"), normal("q_word_shares").alias("ref_word"))
+    out = out.withColumn("ref_none", F.array(*[F.lit(0.0)] * len(COMMON), F.lit(1.0)))
+    sets = F.col("q_lang").isin(*COMMON_WORDS) & (F.get("ref_word", F.lit(len(COMMON))) <= 1 - MIN_REFERENCE_COMMON)
+    # Just below the distance of a text without common words, so that rounding doesn't decide.
+    far = F.when(sets, F.least(_distance("ref_none", "ref_word") - 1e-9, F.lit(MAX_WORD_DISTANCE))).otherwise(MAX_WORD_DISTANCE)
+    return out.select("q_lang", "ref_char", "ref_word", far.alias("ref_far"))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
