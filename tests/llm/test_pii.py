@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -42,3 +43,26 @@ def test_disclosing_terms(spark):
     assert [k for k, _, _ in got[1000]] == ["term", "email"] and all(k == "email" for i in range(700) for k, _, _ in got[i])
     clean = {r.doc_id: r.sanitised for r in P.sanitise(docs).collect()}
     assert clean[2000] == "The [TERM] file: [TERM]" and clean[2001] is None and clean[5].endswith(" [EMAIL]")
+
+
+def test_terms_of_the_whole_document(spark):
+    """Terms far from the value, and short names, disclose it; the rarest are removed."""
+    rng = random.Random(3)
+    word = lambda: rng.choice("river mountain house walking green letter summer about between".split())
+    filler = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, filler(15)) for i in range(600)]
+    rows += [(1000 + i, f"Quibblesworth {filler(40)} boss@corp.example {filler(40)} Li") for i in range(3)]
+    rows += [(2000, "about quibblesworth and Li here"), (2001, "a line between")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = P.base_spans(docs)
+    terms = {r.term: r.bits for r in P.disclosing_terms(base, docs).collect()}
+    assert set(terms) == {"quibblesworth", "li"}
+    assert all(abs(b - math.log2(3 / 4 * len(rows) / 3)) < 1e-9 for b in terms.values())
+    old, P.REMOVE_BITS = P.REMOVE_BITS, 7.0
+    try:
+        assert {r.doc_id: r.sanitised for r in P.sanitise(docs).collect()}[2000] == "about  and  here"
+    finally:
+        P.REMOVE_BITS = old
+    clean = {r.doc_id: r.sanitised for r in P.sanitise(docs).collect()}
+    assert clean[2000] == "about [TERM] and [TERM] here" and clean[2001] == "a line between"
+    assert clean[1000].startswith("[TERM] ") and clean[1000].endswith(" [TERM]")

@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data, DataFrame functions only.
 
 Base spans are patterns. Beyond them, the corpus tells which terms give a protected value away: of
-each term that stands next to a protected value, co-occurrence over all documents estimates
+each term in a document with a protected value, co-occurrence over all documents estimates
 log2(P(value | term) / P(value)), the bits by which the term discloses the value. Terms with enough
 support, share and bits are spans of kind ``term`` wherever they occur; above a second threshold
 they are removed, else generalised.
@@ -25,10 +25,10 @@ PATTERNS = {
 #: What a text must hold for a kind to be looked for.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 
-#: Terms on each side of a protected value that count as next to it.
-CONTEXT_TERMS, CONTEXT_CHARS = 3, 80
 #: A term needs so many documents with the value, this share of its documents, and these bits.
-MIN_SUPPORT, MIN_SHARE, MIN_BITS, REMOVE_BITS, MIN_TERM_CHARS = 3, 0.5, 6.0, 12.0, 4
+MIN_SUPPORT, MIN_SHARE, MIN_BITS, REMOVE_BITS = 3, 0.5, 6.0, 12.0
+#: Shorter terms can only disclose where they begin with a capital, as names do.
+MIN_TERM_CHARS = 4
 
 NOT_TERM = r"[^\p{L}\p{N}]+"
 SPAN = "array<struct<kind:string,start:int,end:int>>"
@@ -36,7 +36,13 @@ SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 def terms_of(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), NOT_TERM), lambda t: F.length(t) >= MIN_TERM_CHARS)
+    return F.filter(F.split(F.lower(text), NOT_TERM), lambda t: t != "")
+
+
+def _candidates(text: Column) -> Column:
+    """Those of ``terms_of`` that can disclose a value."""
+    fits = F.filter(F.split(text, NOT_TERM), lambda t: (F.length(t) >= MIN_TERM_CHARS) | t.rlike(r"^\p{Lu}"))
+    return F.transform(fits, F.lower)
 
 
 def _passes(kind: str, value: Column) -> Column:
@@ -59,21 +65,21 @@ def _passes(kind: str, value: Column) -> Column:
 
 def _located(kind: str, matches: Column, pieces: Column) -> Column:
     """Matches of a pattern with their places, from the pieces of text around them."""
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>")
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
 
     def step(acc, x):
         start = acc["at"] + F.length(x["before"])
         end = start + F.length(x["value"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["before"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(x["after"], F.lit(CONTEXT_CHARS)).alias("after"))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    around = F.zip_with(matches, F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), F.slice(pieces, F.lit(2), F.size(matches)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda m, p: F.struct(m.alias("value"), p["a"].alias("before"), p["b"].alias("after")))
+    around = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("value"), p.alias("before")))
     found = F.aggregate(around, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
     return F.when(F.size(matches) > 0, F.filter(found, lambda s: _passes(kind, s["value"]))).otherwise(empty)
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, text_hash, found): the base spans of every row with values and surroundings, in order."""
+    """(doc, text_hash, found): the base spans of every row with values, in order."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = held(docs.select(F.col(id_col).alias("doc"), text.alias("text")), text_hash=F.xxhash64("text"))
     none = F.array().cast("array<string>")
@@ -84,36 +90,59 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc", "text_hash", F.concat(*KINDS).alias("found"))
 
 
-def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+def disclosing_terms(base: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, bits): terms that disclose a protected value, by co-occurrence over all of ``docs``.
 
-    ``base`` is what ``base_spans`` gives for the same documents.
+    ``base`` is what ``base_spans`` gives for the same documents. Every term outside the protected
+    values of a document that holds the value counts, wherever it stands. Before terms meet values,
+    those go that can't pass: values of too few documents, and terms of too few or too many.
     """
-    near = F.concat(F.slice(F.reverse(terms_of(F.col("s.before"))), 1, CONTEXT_TERMS), F.slice(terms_of(F.col("s.after")), 1, CONTEXT_TERMS))
-    spans = base.select("doc", "text_hash", F.explode("found").alias("s")).select("doc", "text_hash", F.xxhash64("s.kind", "s.value").alias("value"), F.array_distinct(near).alias("terms"))
-    spans = cut(spans, "pii-contexts")
-    documents = F.countDistinct("doc", "text_hash")
-    values = spans.groupBy("value").agg(documents.alias("with_value"))
-    pairs = spans.select("doc", "text_hash", "value", F.explode("terms").alias("term")).groupBy("value", "term").agg(documents.alias("both")).where(F.col("both") >= MIN_SUPPORT)
-    pairs = cut(pairs.join(values, "value"), "pii-pairs")
+    key = F.xxhash64("doc", "text_hash").alias("at")
+    held_values = cut(base.where(F.size("found") > 0).select(key, F.explode(F.transform("found", lambda s: F.xxhash64(s["kind"], s["value"]))).alias("value")).distinct(), "pii-values")
+    values = held_values.groupBy("value").agg(F.count("*").alias("with_value")).where(F.col("with_value") >= MIN_SUPPORT)
+    values = cut(held_values.join(values, "value"), "pii-frequent-values")
+    most = values.agg(F.max("with_value")).first()[0]
+    if most is None:
+        return docs.sparkSession.createDataFrame([], "term string, bits double")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Document counts of all terms are summed before anything is joined; few of them go on.
-    counts = docs.select(F.explode(F.array_distinct(terms_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    n = docs.count()
+    counts = docs.select(F.explode(F.array_distinct(terms_of(text))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    counts = cut(counts.where(F.col("with_term").between(MIN_SUPPORT, most / MIN_SHARE)), "pii-term-counts")
+    holders = base.where(F.size("found") > 0).select("text_hash", key, F.sort_array(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("found"))
+    holders = holders.join(values.select("at").distinct(), "at", "left_semi").dropDuplicates(["at"]).withColumnRenamed("at", "a")
+    rows = docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("text_hash", F.xxhash64("text")).select(key, "text")
+    rows = rows.join(holders, F.col("at") == F.col("a")).dropDuplicates(["at"])
+    terms = rows.select("at", F.explode(F.array_distinct(_candidates(_outside(F.col("text"), F.col("found"))))).alias("term")).join(counts, "term")
+    pairs = terms.join(values, "at").where(F.col("with_term") <= F.col("with_value") / MIN_SHARE)
+    pairs = pairs.groupBy("value", "term").agg(F.count("*").alias("both"), F.first("with_value").alias("with_value"), F.first("with_term").alias("with_term")).where(F.col("both") >= MIN_SUPPORT)
     share = F.least(F.col("both") / F.col("with_term"), F.lit(1.0))
-    scored = counts.join(pairs, "term").withColumns({"share": share, "bits": F.log2(share * n / F.col("with_value"))})
+    scored = pairs.withColumn("share", share).withColumn("bits", F.log2(F.col("share") * docs.count() / F.col("with_value")))
     return scored.where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)).groupBy("term").agg(F.max("bits").alias("bits"))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text without spans, which are in order and may overlap."""
+
+    def step(acc, s):
+        gap = F.struct(acc["at"].alias("start"), s["start"].alias("end"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["gaps"], F.array(gap))).otherwise(acc["gaps"]).alias("gaps"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("gaps"))
+    gaps = F.aggregate(spans, start, step, lambda acc: F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("start"), F.length(text).alias("end")))))
+    return F.array_join(F.transform(gaps, lambda g: F.substr(text, g["start"] + 1, g["end"] - g["start"])), " ")
+
+
 def _term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text_hash, disclosed): spans of ``terms``, of the documents that hold one."""
+    """(doc, text_hash, disclosed): spans of ``terms``, of the documents that hold one; their kind is
+    ``removed`` for terms above ``REMOVE_BITS``, else ``term``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
     holding = rows.select("doc", "text_hash", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).join(terms, "term")
-    patterns = holding.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    patterns = cut(patterns.withColumn("pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))).select(F.col("doc").alias("d"), F.col("text_hash").alias("h"), "pattern"), "pii-patterns")
+    patterns = holding.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.collect_set(F.when(F.col("bits") > REMOVE_BITS, F.col("term"))).alias("removed"))
+    patterns = cut(patterns.withColumn("pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))).select(F.col("doc").alias("d"), F.col("text_hash").alias("h"), "pattern", "removed"), "pii-patterns")
     few = rows.join(patterns, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).dropDuplicates(["doc", "text_hash"])
     few = held(few, m=F.regexp_extract_all("text", F.col("pattern"), F.lit(0)), p=F.split("text", F.col("pattern")))
-    spans = F.transform(_located("term", F.col("m"), F.col("p")), lambda s: F.struct(s["kind"], s["start"], s["end"], F.lower(s["value"]).alias("term")))
+    spans = F.transform(_located("term", F.col("m"), F.col("p")), lambda s: F.struct(F.when(F.array_contains("removed", F.lower(s["value"])), F.lit("removed")).otherwise(s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return few.select(F.col("doc").alias("d"), F.col("text_hash").alias("h"), spans.alias("disclosed"))
 
 
@@ -125,15 +154,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     row per input row. A match that fails its check is dropped without another try. Other columns
     aren't read; an empty table gives an empty result.
     """
+
+    def plain(s):
+        return F.struct(F.when(s["kind"] == "removed", F.lit("term")).otherwise(s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+
+    return _found(docs, id_col, text_col).withColumn("spans", F.transform("spans", plain))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What ``find`` gives, with the kind ``removed`` for terms that are to be removed."""
     base = cut(base_spans(docs, id_col, text_col), "pii-base")
-    terms = cut(disclosing_terms(base, docs, text_col), "pii-terms")
+    terms = cut(disclosing_terms(base, docs, id_col, text_col), "pii-terms")
     out = base.select("doc", "text_hash", F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
     if not terms.isEmpty():
         more = _term_spans(docs, terms, id_col, text_col)
         out = out.join(more, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-        extra = F.transform("disclosed", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-        out = out.select("doc", "text_hash", F.concat("spans", F.coalesce(extra, F.array().cast(SPAN))).alias("spans"))
-    rank = {k: i for i, k in enumerate((*KINDS, "term"))}
+        out = out.select("doc", "text_hash", F.concat("spans", F.coalesce("disclosed", F.array().cast(SPAN))).alias("spans"))
+    rank = {k: i for i, k in enumerate((*KINDS, "term"))} | {"removed": len(KINDS)}
 
     def keyed(s):
         order = F.lit(0)
@@ -147,14 +184,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, every column kept, with ``sanitised``: protected values as [EMAIL], [IP], [CARD] or
-    [PHONE], disclosing terms as [TERM]. Of overlapping spans the first counts. Null texts stay null."""
-    found = find(docs, id_col, text_col).withColumnsRenamed({id_col: "_d", "text_hash": "_h", "spans": "_spans"}).dropDuplicates(["_d", "_h"])
+    [PHONE], disclosing terms as [TERM], or as nothing above ``REMOVE_BITS``. Of overlapping spans the first counts. Null texts stay null."""
+    found = _found(docs, id_col, text_col).withColumnsRenamed({id_col: "_d", "text_hash": "_h", "spans": "_spans"}).dropDuplicates(["_d", "_h"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.join(found, docs[id_col].eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
 
     def step(acc, s):
         fits = s["start"] >= acc["at"]
-        now = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        now = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fits, now).otherwise(acc["out"]).alias("out"))
 
     new = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
