@@ -48,3 +48,10 @@ def test_others_have_rows(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_fits_cover_every_entity(spark):
+    want = {r.entity for r in entry.registry.returns(spark, SF).select("entity").distinct().collect()}
+    assert len(want) > 4
+    for name in ("m6_garch", "m7_filtered_historical"):
+        assert sorted(r.entity for r in entry.queries()[name](spark, SF).collect()) == sorted(want)

@@ -8,17 +8,14 @@ from ..operators import ledger, models, portfolio, risk
 from ..sources import feeds
 from .registry import forecasts, prices, query, returns, rounded, table
 
-FEW = "entity in ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#14')"
-
-
 @query("m6_garch")
 def m6_garch(spark, sf):
-    return rounded(models.garch(returns(spark, sf).where(FEW)), 4)
+    return rounded(models.garch(returns(spark, sf)), 4)
 
 
 @query("m7_filtered_historical")
 def m7_filtered_historical(spark, sf):
-    return rounded(models.var_filtered_historical(returns(spark, sf).where(FEW), n_sims=5000), 4)
+    return rounded(models.var_filtered_historical(returns(spark, sf)), 4)
 
 
 @query("m8_extreme_value")
