@@ -76,3 +76,61 @@ def test_bounds():
         assert all((100 * i >= 80 * (n + m - i)) == (i >= least) for i in range(min(n, m) + 1))
         if least <= min(n, m):
             assert abs(J.band(n) - J.band(m)) <= 1
+
+
+def test_full_prefix_and_long_texts(spark):
+    """Texts of thousands of words, with the sketch and with the full prefix."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(500)}" for _ in range(2500)]
+        for edits in (0, 20, 70, 140):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    want = brute(rows)
+    assert run(spark, rows) == want
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in J.components(frame, sketch=None).collect()), key=str) == want
+
+
+def test_exact_pairs_of_a_tile():
+    """The forest of a tile connects what brute force does, for narrow and wide signatures and split tiles."""
+    rng = random.Random(6)
+    for top in (60, 6000):
+        sets = []
+        for _ in range(12):
+            base = {rng.randrange(1 << 60) for _ in range(rng.randint(1, top))}
+            for _ in range(rng.randint(1, 5)):
+                drop = set(rng.sample(sorted(base), rng.randint(0, len(base) // 6)))
+                sets.append(J.np.array(sorted(base - drop), dtype=J.np.uint64))
+        for side in (None, J.np.array([i % 2 for i in range(len(sets))])):
+            root = list(range(len(sets)))
+
+            def find(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            links = [(i, j) for i in range(len(sets)) for j in range(i) if (side is None or side[i] != side[j]) and 100 * J.common(sets[i], sets[j]) >= 80 * len(set(sets[i].tolist()) | set(sets[j].tolist()))]
+            for i, j in links:
+                root[find(i)] = find(j)
+            want = {frozenset(k for k in range(len(sets)) if find(k) == find(i)) for i in range(len(sets))}
+            root = list(range(len(sets)))
+            for i, j in J.linked_pairs(sets, side):
+                root[find(i)] = find(j)
+            assert {frozenset(k for k in range(len(sets)) if find(k) == find(i)) for i in range(len(sets))} == want
+
+
+def test_survivors(spark):
+    """One row of each group, also without ids, with one id for several texts and with clashing names."""
+    rng = random.Random(7)
+    a, b, c = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(40)) for k in "abc")
+    near = a.replace(a.split()[-1], "other")
+    rows = [(1, a), (1, a), (None, a), (7, near), (1, b), (3, b), (None, c), (None, c), (9, None), (9, None), (10, ""), (11, " ")]
+    frame = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, row string, times int")
+    got = J.survivors(frame)
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (9, None), (9, None), (10, ""), (11, " ")], key=str)
+    assert J.survivors(frame.limit(0)).count() == 0

@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each links a node's neighbours to the smallest of
     them, so the number of rounds grows with the logarithm of a component's size. Every round is
-    written to the shared folder. Self-links and repeated links are allowed.
+    written to the shared folder. Self-links and repeated links are allowed; no links give no rows. A
+    graph that isn't done after ``rounds`` is an error, not a partial answer.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = cut(links, "links")
@@ -32,4 +33,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not found in {rounds} rounds")
     return state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -10,7 +10,8 @@
 4. The texts of one group of the forest meet in tiles again, and sorted arrays of shingle hashes are
    intersected exactly. Pairs already connected inside a tile needn't be.
 
-Two linked sets share a hash among the smallest ``SKETCH`` of each unless all of the smallest
+With ``sketch=None`` the full prefix is filed, however long, and nothing is left to chance; by default
+two linked sets share a hash among the smallest ``SKETCH`` of each unless all of the smallest
 ``SKETCH`` of their union lie outside the intersection, which for random hashes has a probability
 below (1 - threshold) ** SKETCH, 2e-17 at 24: less than that of two shingles having one 64-bit hash.
 """
@@ -29,8 +30,8 @@ WORDS, PERCENT = 5, 80
 SKETCH = 24
 BITMAP_WORDS = 16  # of 64 bits
 TILE_ROWS = 2048
-#: Rows of a verification tile, where whole sets meet.
-SET_ROWS = 2048
+#: Rows and shingles of a verification tile, where whole sets meet.
+SET_ROWS, SET_SHINGLES = 2048, 4_000_000
 BLOCK_BYTES = 4 << 20
 #: Words whose hashes a Python worker keeps at most.
 REMEMBERED = 250_000
@@ -69,13 +70,13 @@ def shingle_set(text: str | bytes | None, size: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Signature of a set: each bit is the parity of the number of hashes that fall on it.
+def _bitmap(hashes: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
+    """Signature of a set in so many words of 64 bits: each bit is the parity of the number of hashes that fall on it.
 
     A bit in which two signatures differ stands for at least one element of one set alone, however
     full the signatures are.
     """
-    counts = np.bincount(((hashes >> np.uint64(20)) % np.uint64(BITMAP_WORDS * 64)).astype(np.int64), minlength=BITMAP_WORDS * 64)
+    counts = np.bincount(((hashes >> np.uint64(20)) % np.uint64(words * 64)).astype(np.int64), minlength=words * 64)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
@@ -150,26 +151,46 @@ def possible_pairs(n: np.ndarray, bits: np.ndarray, side: np.ndarray | None, per
 
 
 def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None, percent: int = PERCENT):
-    """Edges of a spanning forest of the pairs of sets that do link, by exact intersection."""
+    """Edges of a spanning forest of the pairs of sets that do link, by exact intersection.
+
+    Of each set, the later ones that could link and aren't connected to it yet are found at once; their
+    signatures are as wide as the sets of the tile need.
+    """
     n = np.array([len(s) for s in sets])
-    bits = np.stack([_bitmap(s) for s in sets])
+    width = max(BITMAP_WORDS, min(1024, 1 << int(2 * n.max() // 64).bit_length()))
+    bits = np.stack([_bitmap(s, width) for s in sets])
     order = np.argsort(n, kind="stable")
+    n, bits, side = n[order], bits[order], None if side is None else side[order]
     forest, out = _Forest(len(sets)), []
-    for x, i in enumerate(order.tolist()):
-        for j in order[x + 1 :].tolist():
-            if n[j] * percent > n[i] * 100:
-                break
-            if (side is not None and side[i] == side[j]) or forest.find(i) == forest.find(j):
-                continue
-            least = needed(n[i], n[j], percent)
-            if overlap_bound(n[i], n[j], int(np.bitwise_count(bits[i] ^ bits[j]).sum())) < least:
+    for i in range(len(n) - 1):
+        stop = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+        later = np.arange(i + 1, stop)
+        if side is not None:
+            later = later[side[later] != side[i]]
+        if len(later):
+            later = later[forest.all()[later] != forest.find(i)]
+        for lo in range(0, len(later), 256):  # in blocks, as wide signatures take room
+            some = later[lo : lo + 256]
+            some = some[forest.all()[some] != forest.find(i)]
+            if not len(some):
                 continue
-            if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= least:
-                forest.root[forest.find(j)] = forest.find(i)
-                out.append((i, j))
+            most = overlap_bound(n[some], n[i], np.bitwise_count(bits[some] ^ bits[i]).sum(axis=1, dtype=np.int64))
+            for j in some[most >= needed(n[some], n[i], percent)].tolist():
+                if forest.find(i) != forest.find(j) and common(sets[order[i]], sets[order[j]]) >= needed(n[i], n[j], percent):
+                    forest.root[forest.find(j)] = forest.find(i)
+                    out.append((int(order[i]), int(order[j])))
     return out
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct hashes."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = len(b) - 1
+    return int((b[at] == a).sum())
+
+
 def _node(hashes: np.ndarray) -> int | None:
     """64-bit identity of a shingle set; None for an empty one."""
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())))) if len(hashes) else None
@@ -180,27 +201,33 @@ def _blocks(batch, column: int):
         yield batch.slice(lo, hi - lo)
 
 
-def _sketched(batches):
-    for batch in batches:
-        for part in _blocks(batch, 1):
-            sets = [shingle_set(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-            tokens = [s[: min(SKETCH, prefix_length(len(s)))].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([_node(s) for s in sets], type=pa.int64()),
-                    pa.array(tokens, type=pa.list_(pa.int64())), pa.array([_bitmap(s).tobytes() for s in sets], type=pa.binary()),
-                ],
-                names=["doc", "n", "node", "tokens", "bits"],
-            )
+def _sketched(sketch: int | None):
+    def run(batches):
+        for batch in batches:
+            for part in _blocks(batch, 2):
+                sets = [shingle_set(t) for t in part.column(2).cast(pa.binary()).to_pylist()]
+                prefix = [prefix_length(len(s)) if sketch is None else min(sketch, prefix_length(len(s))) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(1), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([_node(s) for s in sets], type=pa.int64()),
+                        pa.array([s[:k].view(np.int64) for s, k in zip(sets, prefix)], type=pa.list_(pa.int64())), pa.array([_bitmap(s).tobytes() for s in sets], type=pa.binary()),
+                    ],
+                    names=["doc", "hash", "n", "node", "tokens", "bits"],
+                )
+
+    return run
 
 
-def _tiled(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """(node, tile, part, other): ``rows``, which have a node, dealt to tiles of about ``size`` rows.
+def _tiled(rows: DataFrame, keys: list[str], size: int, weights: int | None = None) -> DataFrame:
+    """(node, tile, part, other): ``rows``, which have a node, dealt to tiles of about ``size`` rows, and of
+    a sum of ``n`` of about ``weights`` if that is given.
 
     A group of ``keys`` with more rows is split into parts by a hash of the node, and each pair of
     parts is a tile; groups of one row need none.
     """
-    counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("parts"), F.count("*").alias("n_rows")).where("n_rows > 1").drop("n_rows")
+    parts = F.ceil(F.count("*") / size)
+    parts = parts if weights is None else F.greatest(parts, F.ceil(F.sum("n") / weights))
+    counts = rows.groupBy(*keys).agg(parts.cast("int").alias("parts"), F.count("*").alias("n_rows")).where("n_rows > 1").drop("n_rows")
     dealt = rows.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select("node", F.xxhash64(*keys, F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "part", "other")
@@ -248,53 +275,86 @@ def _possible(table):
 
 
 def _linked(table):
-    """Whole texts meet in a tile and are made to sets there. A row whose text isn't that of its node,
-    as a document id may have several texts, takes no part."""
-    nodes, sides = table["node"].to_pylist(), _sides(table)
+    """Whole texts meet in a tile and are made to sets there."""
     sets = [shingle_set(t) for t in table["text"].cast(pa.binary()).to_pylist()]
-    own = [i for i, s in enumerate(sets) if _node(s) == nodes[i]]
-    found = linked_pairs([sets[i] for i in own], None if sides is None else sides[own]) if own else []
-    return [(own[i], own[j]) for i, j in found]
+    return linked_pairs(sets, _sides(table)) if sets else []
 
 
 def _met(rows: DataFrame, work) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(_edges_by_tile(work), "a long, b long")
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): (doc, n, node) of every row, node being the identity of its shingle set (null
-    without shingles), and (a, b) of nodes, edges of a spanning forest of all links."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(texts.mapInArrow(_sketched, "doc long, n long, node long, tokens array<long>, bits binary"), "sketches")
-    firsts = rows.where("node is not null").groupBy(F.col("node").alias("of")).agg(F.min("doc").alias("rep"))
-    one = rows.join(firsts, (F.col("node") == F.col("of")) & F.col("doc").eqNullSafe(F.col("rep"))).select("node", "doc", "n", "tokens", "bits").dropDuplicates(["node"])
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: int | None = SKETCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, edges): (doc, hash, n, node) of every row, node being the identity of its shingle set
+    (null without shingles) and hash that of its text; (node, doc, hash) of each node's first document,
+    null ids last; and (a, b) of nodes, edges of a spanning forest of all links."""
+    texts = _texts(docs, id_col, text_col)
+    rows = cut(texts.mapInArrow(_sketched(sketch), "doc long, hash long, n long, node long, tokens array<long>, bits binary"), "sketches")
+    first = F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "hash"))
+    firsts = cut(rows.where("node is not null").groupBy("node").agg(first.alias("f")).select("node", "f.doc", "f.hash"), "first-texts")
+    of = firsts.select(F.col("node").alias("of"), F.col("doc").alias("d"), F.col("hash").alias("h"))
+    one = rows.join(of, (F.col("node") == F.col("of")) & F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("node", "doc", "hash", "n", "tokens", "bits").dropDuplicates(["node"])
     one = cut(one, "sets-once")
     filed = one.select("node", F.expr(f"int(floor(ln(n) / ln({100 / PERCENT}) + 1e-9))").alias("home"), F.explode("tokens").alias("token"))
     shared = filed.groupBy("token").agg(F.count("*").alias("files")).where("files > 1").select("token")
     filed = cut(filed.join(shared, "token", "left_semi").withColumn("band", F.explode(F.array(F.col("home"), F.col("home") - 1))).select("node", "token", "band"), "files")
     tiles = _tiled(filed, ["token", "band"], TILE_ROWS).join(one.select("node", "n", "bits"), "node")
     groups = connected_components(cut(_met(tiles, _possible), "possible"))
-    met = _tiled(cut(groups, "groups"), ["component"], SET_ROWS).join(one.select("node", "doc"), "node").withColumnRenamed("doc", "rep")
-    met = met.join(texts, F.col("rep").eqNullSafe(F.col("doc"))).select("node", "tile", "part", "other", "text")
-    return rows.select("doc", "n", "node"), cut(_met(met, _linked), "edges")
-
-
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    groups = cut(groups.join(one.select("node", "n", "doc", "hash"), "node"), "groups")
+    # The texts of nodes with possible links, each once however often its row is repeated.
+    needed_texts = groups.select("node", F.col("doc").alias("d"), F.col("hash").alias("h"))
+    found = texts.join(needed_texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
+    met = _tiled(groups, ["component"], SET_ROWS, SET_SHINGLES).join(cut(found, "texts-once"), "node")
+    return rows.select("doc", "hash", "n", "node"), firsts, cut(_met(met, _linked), "edges")
+
+
+def _grouped(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, doc, hash): of each node the first document of its component, null ids last. Written, so
+    that rows of a large group of copies are split among tasks where they are joined to it."""
+    found = connected_components(edges).withColumnRenamed("node", "of")
+    every = cut(nodes.join(found, F.col("node") == F.col("of"), "left").select("node", "doc", "hash", F.coalesce("component", "node").alias("group")), "grouped")
+    first = F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "hash")).alias("f")
+    least = cut(every.groupBy("group").agg(first, F.count("*").alias("n")).where("n > 1").select("group", "f"), "least")
+    out = every.join(least, "group", "left")
+    return cut(out.select(F.col("node").alias("of"), F.when(F.col("f").isNull(), F.col("doc")).otherwise(F.col("f.doc")).alias("first"), F.when(F.col("f").isNull(), F.col("hash")).otherwise(F.col("f.hash")).alias("first_hash")), "components")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: int | None = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
     Shingles are of five words in A-Z lower case; two sets link when the intersection is at least
     80 % of the union. A null, empty or white text has no shingles and is its own component. Repeated
     rows get the same answer each, rows of one id with different texts each their own. A null id
     counts as larger than any other; a component of null ids alone has a null id. Other columns
-    aren't read; an empty table gives an empty result.
+    aren't read; an empty table gives an empty result. Very long texts are compared whole.
+    """
+    rows, nodes, edges = links(docs, id_col, text_col, sketch)
+    some = rows.where("node is not null").join(_grouped(rows, nodes, edges), F.col("node") == F.col("of"))
+    alone = rows.where("node is null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
+    return some.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first").alias("component_id")).unionByName(alone)
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: int | None = SKETCH) -> DataFrame:
+    """The rows of ``docs`` that stay if one of each component does: that with the smallest id, null ids
+    last; of several texts under that id the one with the smallest hash; of repeated rows one, whichever.
+
+    Rows without words are linked with nothing and all stay. Every column is kept, whatever its name.
     """
-    rows, edges = links(docs, id_col, text_col)
-    found = connected_components(edges)
-    rows = rows.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    rows = cut(rows.select("doc", "n", F.coalesce("component", "node").alias("group")), "grouped")
-    least = rows.where("group is not null").groupBy("group").agg(F.min("doc").alias("component_id"))
-    out = rows.join(least, "group", "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    rows, nodes, edges = links(docs, id_col, text_col, sketch)
+    first = _grouped(rows, nodes, edges).select(F.col("first").alias("doc"), F.col("first_hash").alias("hash")).distinct()
+    times = rows.where("node is not null").groupBy("doc", "hash").agg(F.count("*").alias("times"))
+    kept = first.join(times, first["doc"].eqNullSafe(times["doc"]) & (first["hash"] == times["hash"])).select(first["doc"].alias("d"), first["hash"].alias("h"), "times")
+    kept = cut(kept, "kept")
+    text = F.col(text_col).cast("string")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("hash"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    met = whole.where("worded").join(kept, F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
+    repeated = met.where("times > 1").groupBy("doc", "hash").agg(F.first("row").alias("row"))
+    return whole.where("not worded").select("row").unionByName(met.where("times = 1").select("row")).unionByName(repeated.select("row")).select("row.*")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
