@@ -19,7 +19,7 @@ def test_counts(spark):
     rng = random.Random(2)
     rows = [(1, None, "en"), (2, "", None), (3, " \t\n", "en"), (4, "a b c d e f g h " * 30, "xx"), (5, "a " * 40, None), (5, "a " * 40, None), (None, "é# $x\x0b<y>\nz\nz\n \n \n", "fr")]
     rows += [(10 + i, "".join(rng.choice(["a", "b", "the", "é"]) + rng.choice([" ", "\n", "  ", " x "]) for _ in range(rng.randint(1, 150))), "en") for i in range(80)]
-    got = Q.judge(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, kept_too string")).collect()
+    got = Q.judge(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, _words string")).collect()
     want = sorted((str(i), *brute(t)) for i, t, _ in rows)
     assert sorted((str(r.doc_id), r.q_n_words, r.q_word_chars, r.q_n_symbols, r.q_n_dup_lines, r.q_n_repeat_words, r.base_failed) for r in got) == want
     assert all(not r.kept for r in got if r.base_failed)
@@ -56,5 +56,23 @@ def test_reference_without_its_common_words(spark):
     assert len(got) >= 29 and all(r.word_distance is not None and r.kept for r in got if r.doc_id)
 
 
+def test_clashing_names(spark):
+    """Columns named like those of the result give way in ``judge`` and stay in ``keep``; inner names don't matter."""
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, good, "en", "a", 5, "w", "r"), (2, "short", "en", "b", 6, "w", "r"), (None, good, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string, q_n_words int, _sorted string, row string")
+    got = Q.judge(frame)
+    assert got.columns.count("kept") == got.columns.count("q_n_words") == 1
+    assert sorted(((r.doc_id, r.kept, r._sorted) for r in got.collect()), key=str) == [(1, True, "w"), (2, False, "w"), (None, True, None)]
+    kept = Q.keep(frame)
+    assert kept.columns == frame.columns and sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
+def test_long_text(spark):
+    words = [f"w{i % 9973}" for i in range(60_000)]
+    row = Q.judge(spark.createDataFrame([(1, " ".join(words), "en")], "doc_id long, text string, lang string")).first()
+    assert (row.q_n_words, row.q_n_repeat_words) == (60_000, 60_000)
+
+
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0

@@ -121,16 +121,12 @@ def _distance(p: str, q: str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 0.5 * _total(F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a)))))
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs``, every column kept, with ``q_*`` counts, ``base_failed``, ``char_distance``,
-    ``word_distance`` and ``kept``.
-
-    Null and empty texts have no words and fail the base rule; a null language is judged against
-    all documents; repeated rows are judged alike; an empty table gives an empty result. A column of
-    ``docs`` whose name starts with ``q_`` or ``ref_`` or is one of the verdicts must be renamed first.
-    The counts are made once and written to the shared folder; references are one row a language.
-    """
-    rows = features(docs, text_col).withColumns({"q_lang": F.coalesce(F.col(lang_col), F.lit("")), "q_char_shares": _shares("q_char_counts", F.col("q_n_chars")), "q_word_shares": _shares("q_word_counts", F.col("q_n_words"))})
+def _judged(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """``row``, a struct of the other columns of ``docs``, and ``text`` with the counts, distances and verdict
+    beside them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).alias("none")]).alias("row")
+    apart = docs.select(row, F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("q_lang"))
+    rows = features(apart).withColumns({"q_char_shares": _shares("q_char_counts", F.col("q_n_chars")), "q_word_shares": _shares("q_word_counts", F.col("q_n_words"))})
     counted = cut(rows, "quality-counts")
     judged = (F.col("q_n_chars") >= MIN_CHARS) & (F.col("q_n_words") >= MIN_WORDS)
     references = _references(counted.where(judged))
@@ -138,7 +134,31 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     failed = (F.col("q_n_words") < 20) | (100 * F.col("q_n_repeat_words") > 30 * F.col("q_n_words"))
     far = far.withColumns({"char_distance": F.when(judged, _distance("q_char_shares", "ref_char")), "word_distance": F.when(judged, _distance("q_word_shares", "ref_word")), "base_failed": failed})
     off = F.coalesce((F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > F.col("ref_far")), F.lit(False))
-    return far.withColumn("kept", ~F.col("base_failed") & ~off).select(*[F.col(f"`{c}`") for c in [*docs.columns, *COUNTS]], "char_distance", "word_distance", "base_failed", "kept")
+    return far.withColumn("kept", ~F.col("base_failed") & ~off)
+
+
+def _own(docs: DataFrame, text_col: str) -> list[tuple[str, Column]]:
+    return [(c, F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)) for c in docs.columns]
+
+
+VERDICT = [*COUNTS, "char_distance", "word_distance", "base_failed", "kept"]
+
+
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with ``q_*`` counts, ``char_distance``, ``word_distance``, ``base_failed`` and ``kept``.
+
+    Null and empty texts have no words and fail the base rule; a null language is judged against
+    all documents; repeated rows are judged alike; an empty table gives an empty result; very long texts
+    are counted whole. A column of ``docs`` named like one of the result gives way to it; all others stay.
+    The counts are made once and written to the shared folder; references are one row a language.
+    """
+    own = [c for name, c in _own(docs, text_col) if name not in VERDICT]
+    return _judged(docs, text_col, lang_col).select(*own, *VERDICT)
+
+
+def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, every column as it is, whatever its name."""
+    return _judged(docs, text_col, lang_col).where("kept").select(*[c for _, c in _own(docs, text_col)])
 
 
 def _references(counted: DataFrame) -> DataFrame:
