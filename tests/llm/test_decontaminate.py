@@ -44,7 +44,18 @@ def test_against_brute_force(spark):
     for r in got:
         if r.item_id in by_item:
             assert distance(texts[r.doc_id][r.start : r.end], by_item[r.item_id]) <= r.distance
-    assert {r.doc_id for r in D.clean(frame, tests).collect()} == {d for d, _, _ in docs} - {r.doc_id for r in got if r.doc_id is not None}
+    held = {t for _, t, _ in docs for i, x in items if (n := D.normal(x)) and distance(n, D.normal(t)) <= min(int(D.ERROR_RATE * len(n)), len(n) - 1)}
+    for limit in (D.ITEM_CHARS, 300):
+        assert sorted(map(str, map(tuple, D.clean(frame, tests, item_chars=limit).collect()))) == sorted(str(d) for d in docs if d[1] not in held)
+
+
+def test_clean_judges_rows(spark):
+    """Null ids go like others, and a clean text stays though its id has a contaminated one."""
+    item = "which river runs by the old mill at noon"
+    rows = [(1, f"so {item} they say"), (1, "a clean text"), (None, item), (None, "clean"), (2, "word " * 30_000 + item), (3, "word " * 30_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = D.clean(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[1], rows[3], rows[5]]))
 
 
 def test_empty_tables(spark):

@@ -13,7 +13,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks_by_bytes
+from .common import chunks_by_bytes, cut
 
 #: Edits per character of an item.
 ERROR_RATE = 0.08
@@ -116,43 +116,58 @@ class PieceMatcher:
         return best
 
 
+def _in_blocks(items: DataFrame, item_chars: int):
+    """(block, last): the broadcast texts and ids of one block of items after another. A block that isn't
+    the last is dropped from the driver once the caller asks for the next."""
+    total = items.select(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-total // item_chars) or 1
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select("item_id", "text")
+        shared = items.sparkSession.sparkContext.broadcast(block.collect())
+        yield shared, b == blocks - 1
+        if b < blocks - 1:
+            shared.destroy()
+
+
 def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_chars: int = ITEM_CHARS) -> DataFrame:
     """(id_col, item_id, distance, start, end): every item that stands in a text with at most
     ``rate`` edits per character, at its best place (offsets in the normalised text).
 
     Items that are null, empty or white space match nothing; null and empty texts hold nothing; of
     items with the same id all are looked for. Rows of ``docs`` may repeat, each is answered on its
-    own. The pieces of items are broadcast in blocks of at most ``item_chars`` characters; with
-    more items the texts are matched against one block after another.
+    own; null ids stay null; very long texts are matched whole; other columns aren't read; without
+    documents or items there are no rows. The pieces of items are broadcast in blocks of at most
+    ``item_chars`` characters; with more items the texts are matched against one block after another,
+    each result written before the next block is fetched.
     """
-    spark = docs.sparkSession
-    total = items.select(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // item_chars) or 1
     rows = docs.select(F.col(id_col), F.col(text_col))
     out = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select("item_id", "text")
-        shared = spark.sparkContext.broadcast(block.collect())
+    for shared, last in _in_blocks(items, item_chars):
         found = rows.mapInArrow(_matcher(shared, rate, id_col), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, {HITS}")
+        found = found if last else cut(found, "benchmark-hits")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _listed(shared, rate):
+    """A matcher of the different texts of a block, and the ids of each."""
+    listed: dict[str, list[int]] = {}
+    for i, t in shared.value:
+        if normal(t):
+            listed.setdefault(normal(t), []).append(i)
+    return PieceMatcher(list(enumerate(listed)), rate), list(listed.values())
+
+
 def _matcher(shared, rate, id_col):
     def run(batches):
-        listed: dict[str, list[int]] = {}
-        for i, t in shared.value:
-            if normal(t):
-                listed.setdefault(normal(t), []).append(i)
-        texts_of = list(listed)
-        matcher = PieceMatcher(list(enumerate(texts_of)), rate)
+        matcher, ids = _listed(shared, rate)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks_by_bytes([len(t or "") for t in texts], BLOCK_BYTES):
                 row, found = [], []
-                for r in range(lo, hi) if texts_of else ():
+                for r in range(lo, hi) if ids else ():
                     for k, d, s, e in matcher.hits(normal(texts[r])):
-                        for i in listed[texts_of[k]]:
+                        for i in ids[k]:
                             row.append(r)
                             found.append((i, d, s, e))
                 item, distance, start, end = zip(*found) if found else ((), (), (), ())
@@ -164,10 +179,29 @@ def _matcher(shared, rate, id_col):
     return run
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item stands. A row whose id is null stays."""
-    hit = matches(docs, items, rate, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, text_col: str = "text", item_chars: int = ITEM_CHARS) -> DataFrame:
+    """The rows of ``docs`` in which no item stands, every column kept, whatever its name.
+
+    Each row is judged by its own text, so null ids, one id with several texts and repeated rows need no
+    rule; null and empty texts stay; without items all rows stay.
+    """
+    out = docs
+    for shared, last in _in_blocks(items, item_chars):
+        out = out.mapInArrow(_cleaner(shared, rate, docs.columns.index(text_col)), docs.schema)
+        out = out if last else cut(out, "benchmark-clean")
+    return out
+
+
+def _cleaner(shared, rate, column: int):
+    def run(batches):
+        matcher, ids = _listed(shared, rate)
+        for batch in batches:
+            texts = batch.column(column).to_pylist()
+            for lo, hi in chunks_by_bytes([len(t or "") for t in texts], BLOCK_BYTES):
+                keep = [not (ids and matcher.hits(normal(texts[r]))) for r in range(lo, hi)]
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep, type=pa.bool_()))
+
+    return run
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
