@@ -66,3 +66,21 @@ def test_terms_of_the_whole_document(spark):
     clean = {r.doc_id: r.sanitised for r in P.sanitise(docs).collect()}
     assert clean[2000] == "about [TERM] and [TERM] here" and clean[2001] == "a line between"
     assert clean[1000].startswith("[TERM] ") and clean[1000].endswith(" [TERM]")
+
+
+def test_many_matches_in_one_text(spark):
+    """Places of tens of thousands of values are those of brute force."""
+    text = " ".join(f"é{i} user{i}@mail.example 10.0.{i % 256}.{i % 300}" for i in range(20_000))
+    got = P.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in got.spans if s.kind != "term"] == brute(text)
+    for n in (255, 256, 257, 512, 513):
+        text = " ".join(f"u{i}@m.org" for i in range(n))
+        assert [tuple(s) for s in P.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans] == brute(text)
+
+
+def test_sanitise_clashing_names(spark):
+    rows = [(1, "mail a@b.org now", "x", "y"), (None, None, "x", None), (2, "", None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, spans string, sanitised string")
+    got = P.sanitise(frame)
+    assert got.columns == ["doc_id", "text", "spans", "sanitised"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, "mail a@b.org now", "x", "mail [EMAIL] now"), (None, None, "x", None), (2, "", None, "")], key=str)

@@ -63,8 +63,16 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+#: Matches whose places are summed up together; arrays are then no longer than that while they grow.
+CHUNK = 256
+
+
 def _located(kind: str, matches: Column, pieces: Column) -> Column:
-    """Matches of a pattern with their places, from the pieces of text around them."""
+    """Matches of a pattern with their places, from the pieces of text around them.
+
+    Places are sums of lengths. They are made chunk by chunk, each from its own first place on, so that
+    the work grows with the number of matches, however many a text has.
+    """
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
 
     def step(acc, x):
@@ -73,8 +81,23 @@ def _located(kind: str, matches: Column, pieces: Column) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
+    def placed(chunk, at):
+        return F.aggregate(chunk, F.struct(at.alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+
+    def size(chunk):
+        return F.aggregate(chunk, F.lit(0), lambda n, x: n + F.length(x["before"]) + F.length(x["value"]))
+
     around = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("value"), p.alias("before")))
-    found = F.aggregate(around, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    # Chunks with the place at which each begins, which are few.
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / CHUNK).cast("int")), lambda i: F.slice(around, i * CHUNK + 1, F.lit(CHUNK)))
+    begun = F.aggregate(
+        chunks,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, c: F.struct((acc["at"] + size(c)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+        lambda acc: acc["starts"],
+    )
+    many = F.flatten(F.zip_with(chunks, begun, placed))
+    found = F.when(F.size(matches) > CHUNK, many).otherwise(placed(around, F.lit(0)))
     return F.when(F.size(matches) > 0, F.filter(found, lambda s: _passes(kind, s["value"]))).otherwise(empty)
 
 
@@ -183,19 +206,26 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, every column kept, with ``sanitised``: protected values as [EMAIL], [IP], [CARD] or
-    [PHONE], disclosing terms as [TERM], or as nothing above ``REMOVE_BITS``. Of overlapping spans the first counts. Null texts stay null."""
-    found = _found(docs, id_col, text_col).withColumnsRenamed({id_col: "_d", "text_hash": "_h", "spans": "_spans"}).dropDuplicates(["_d", "_h"])
+    """``docs`` with ``sanitised``: protected values as [EMAIL], [IP], [CARD] or [PHONE], disclosing terms as
+    [TERM], or as nothing above ``REMOVE_BITS``. Of overlapping spans the first counts.
+
+    Null texts stay null, empty ones empty; null ids and repeated rows are answered each; an empty table
+    gives an empty result. A column of ``docs`` named ``sanitised`` gives way to the new one.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.join(found, docs[id_col].eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
+    found = _found(docs, id_col, text_col).select(F.col(id_col).alias("d"), F.col("text_hash").alias("h"), "spans").dropDuplicates(["d", "h"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(id_col).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"), F.col(text_col).isNull().alias("none"))
+    rows = rows.join(found, F.col("i").eqNullSafe(F.col("d")) & (F.col("t") == F.col("h")), "left")
 
     def step(acc, s):
         fits = s["start"] >= acc["at"]
-        now = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+        now = F.concat(acc["out"], F.substr("text", acc["at"] + 1, s["start"] - acc["at"]), F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fits, now).otherwise(acc["out"]).alias("out"))
 
-    new = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return rows.select(*[docs[c] for c in docs.columns], F.when(docs[text_col].isNotNull(), new).alias("sanitised"))
+    new = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "sanitised"]
+    return rows.select(*own, F.when(~F.col("none"), new).alias("sanitised"))
 
 
 def digests(found: DataFrame) -> DataFrame:
