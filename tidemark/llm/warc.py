@@ -148,6 +148,8 @@ def reachable(chain: DataFrame, rounds: int = 64) -> DataFrame:
         node = new
         if node.where("reached and next is not null").isEmpty():
             break
+    else:
+        raise RuntimeError(f"chains not followed in {rounds} rounds")
     return rows.join(node.where("reached").select("file", "run"), ["file", "run"]).select("file", "start")
 
 
