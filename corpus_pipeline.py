@@ -1,41 +1,41 @@
 """The corpus pipeline: quality rules, near duplicates, benchmark passages, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again as the
-documents of the next one.
+documents of the next one. Stages judge rows, not ids: null ids, one id with several texts, repeated
+rows, null, empty and very long texts and an empty table pass through all of them by the rules below.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, ngram_join, quality_rules, secrets
 from tidemark.llm.common import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.judge(docs).where("kept").select(docs.columns)
+    """Documents that the quality rules keep. Null and empty texts fail them; repeated rows fare alike."""
+    return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    groups = ngram_join.components(docs)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One document, that with the smallest id, of each group of near duplicates; null ids come last, of
+    repeated rows one stays. Texts without words are in no group."""
+    return ngram_join.survivors(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands; each row is judged by its own text."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced in the text."""
+    """All documents, secrets replaced in the text; null texts stay null."""
     return secrets.redact(docs, length_col="n_chars")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, one row a document; a null text has no tokens."""
     import public_tokenizers as tokenizers
 
     return bpe.digests(bpe.encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN))
