@@ -306,10 +306,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketc
     tiles = _tiled(filed, ["token", "band"], TILE_ROWS).join(one.select("node", "n", "bits"), "node")
     groups = connected_components(cut(_met(tiles, _possible), "possible"))
     groups = cut(groups.join(one.select("node", "n", "doc", "hash"), "node"), "groups")
-    # The texts of nodes with possible links, each once however often its row is repeated.
+    # The texts of nodes with possible links, each once however often its row is repeated. Both sides grow
+    # with the input, so they are merged at every size rather than broadcast while they are small.
     needed_texts = groups.select("node", F.col("doc").alias("d"), F.col("hash").alias("h"))
-    found = texts.join(needed_texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
-    met = _tiled(groups, ["component"], SET_ROWS, SET_SHINGLES).join(cut(found, "texts-once"), "node")
+    found = texts.join(needed_texts.hint("merge"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
+    met = _tiled(groups, ["component"], SET_ROWS, SET_SHINGLES).join(cut(found, "texts-once").hint("merge"), "node")
     return rows.select("doc", "hash", "n", "node"), firsts, cut(_met(met, _linked), "edges")
 
 
@@ -352,7 +353,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     kept = cut(kept, "kept")
     text = F.col(text_col).cast("string")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("hash"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
-    met = whole.where("worded").join(kept, F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
+    met = whole.where("worded").join(kept.hint("merge"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
     repeated = met.where("times > 1").groupBy("doc", "hash").agg(F.first("row").alias("row"))
     return whole.where("not worded").select("row").unionByName(met.where("times = 1").select("row")).unionByName(repeated.select("row")).select("row.*")
 
