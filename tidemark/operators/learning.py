@@ -27,10 +27,15 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def lead_lag(candidate: DataFrame, target: DataFrame, by: str, lag: int) -> DataFrame:
-    """Full outer join on the date; the target is then taken ``lag`` rows later."""
+    """(date, by, x, y): each candidate's value with that of the target ``lag`` rows later, in the sequence of
+    the dates that the candidate or the target has.
+
+    The target, a row a date, is laid beside every candidate: as many rows as a full panel has.
+    """
     c, t = candidate.select("date", by, "x"), target.select("date", "y")
-    rows = c.join(t, "date", "full")
-    return rows.withColumn("y", F.lead("y", lag).over(W.partitionBy(by).orderBy("date"))).where("x is not null and y is not null")
+    panel = t.crossJoin(c.select(by).distinct())
+    rows = c.join(panel, ["date", by], "full")
+    return rows.withColumn("y", F.lead("y", lag).over(W.partitionBy(by).orderBy("date"))).where("x is not null and y is not null").select("date", by, "x", "y")
 
 
 def split_chronologically(rows: DataFrame, by: str, train: float = 0.6, purge: int = 3) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.stats import clamp
 
-STATES = ("proposed", "verified", "validated", "rejected", "live")
+#: Fixed values, in this order.
+STATES = ("proposed", "verified", "validated", "promoted", "rejected")
 
 
 def latest_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -15,11 +15,21 @@ BUCKETS = {
     "cash": (0.0, 0.0, "large", 1e10, 0.0),
 }
 BUCKET_COLUMNS = "bucket string, beta double, vol double, cap_segment string, adv double, duration double"
-#: Words that put a holding in a bucket, looked for in this order.
+#: Words that put a holding in a bucket, looked for in this order, and names of large companies.
 BUCKET_WORDS = {
-    "gold": ("gold", "sgb"), "international": ("nasdaq", "s&p", "global", "international"), "index_fund": ("index", "nifty", "sensex", "etf"),
-    "debt": ("debt", "bond", "gilt", "liquid", "fixed deposit"), "cash": ("cash", "savings"), "mid_small_cap": ("mid", "small"),
+    "gold": ("gold", "sgb", "sovereign gold", "gold etf", "goldbees", "silver"),
+    "debt": ("fd", "fixed deposit", "debt", "bond", "ppf", "epf", "nps", "liquid fund", "gilt", "g-sec", "gsec", "rd", "recurring"),
+    "international": ("us stock", "us equity", "s&p", "sp500", "nasdaq", "international", "global fund", "foreign"),
+    "index_fund": ("index fund", "nifty bees", "niftybees", "etf", "index", "nifty 50 fund", "sensex fund"),
+    "cash": ("cash", "savings", "bank balance", "idle"),
+    "mid_small_cap": ("midcap", "mid cap", "smallcap", "small cap", "microcap", "small-cap", "mid-cap"),
 }
+LARGE_CAPS = (
+    "reliance", "tcs", "hdfc", "infosys", "infy", "icici", "sbi", "state bank", "bharti", "airtel", "itc", "kotak", "axis", "lt", "larsen", "bajaj",
+    "asian paint", "maruti", "sun pharma", "titan", "ultratech", "wipro", "nestle", "hul", "hindustan unilever", "adani", "ntpc", "ongc", "powergrid",
+    "coal india", "tata steel", "tata motors", "jsw", "grasim", "cipla", "dr reddy", "britannia", "eicher", "hero", "divis", "hcl", "tech mahindra",
+    "indusind", "bpcl", "ioc", "sbi life", "hdfc life", "apollo", "shriram",
+)
 #: Correlation of buckets, and deviations of a one-in-twenty year on either side.
 CORRELATION, RANGE = 0.6, 1.65
 
@@ -34,13 +44,19 @@ def replay(returns: DataFrame, weights: DataFrame, book: str = "book") -> DataFr
     return day.groupBy(book).agg((F.max_by("level", "date") - 1).alias("total_return"), F.min("fall").alias("max_drawdown"), F.min("r").alias("worst_day"), F.max("r").alias("best_day"), (F.stddev_samp("r") * 252**0.5).alias("vol"), F.count_if(F.abs("r") > 0.02).alias("days_over_2pct"))
 
 
+def _holds(name: Column, words) -> Column:
+    low = F.lower(F.trim(name))
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+
+
 def bucket_of(name: Column, words: dict[str, tuple[str, ...]] = BUCKET_WORDS) -> Column:
     """Bucket of a holding by the first words found in its name; large_cap if there are none."""
-    low, out = F.lower(name), None
-    for bucket, terms in words.items():
-        hit = F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))
-        out = F.when(hit, bucket) if out is None else out.when(hit, bucket)
-    return out.otherwise("large_cap")
+    return F.coalesce(*[F.when(_holds(name, terms), F.lit(bucket)) for bucket, terms in words.items()], F.lit("large_cap"))
+
+
+def bucket_guessed(name: Column) -> Column:
+    """Whether neither the words of a bucket nor a large company's name stand in the holding's name."""
+    return ~_holds(name, [w for terms in BUCKET_WORDS.values() for w in terms] + list(LARGE_CAPS))
 
 
 def analyse(holdings: DataFrame, book: str = "book") -> DataFrame:

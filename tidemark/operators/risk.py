@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.stats import norm_pdf, norm_ppf
+from ..functions.stats import chi2_sf1, chi2_sf2, norm_pdf, norm_ppf
 
 LAMBDA, DAYS = 0.94, 252
 
@@ -232,7 +232,8 @@ def kupiec_lr(n: Column, x: Column, p: float) -> Column:
 
 
 def coverage_tests(exceptions: DataFrame, p: float = 0.01) -> DataFrame:
-    """Per entity: exceptions, Kupiec's statistic, transitions, Christoffersen's statistic, traffic light."""
+    """Per entity: exceptions, transitions, the statistics and p-values of Kupiec, Christoffersen and both
+    together, traffic light, verdict (fixed texts)."""
     rows = exceptions.withColumn("e", F.col("exceeded").cast("int")).withColumn("before", F.lag("e").over(_path()))
     n = {f"n{a}{b}": F.count_if((F.col("before") == a) & (F.col("e") == b)) for a in (0, 1) for b in (0, 1)}
     t = rows.groupBy("entity").agg(F.count("*").alias("n"), F.sum("e").alias("x"), *[c.alias(k) for k, c in n.items()])
@@ -242,4 +243,16 @@ def coverage_tests(exceptions: DataFrame, p: float = 0.01) -> DataFrame:
     alt = F.col("n00") * F.log(1 - pi01) + F.col("n01") * F.log(pi01) + F.col("n10") * F.log(1 - pi11) + F.col("n11") * F.log(pi11)
     usable = (F.col("n00") + F.col("n01") > 0) & (F.col("n10") + F.col("n11") > 0) & (F.col("n01") > 0) & (F.col("n11") > 0) & (F.col("n10") > 0)
     light = F.when(F.col("x") <= 4 * F.col("n") / 250, "green").when(F.col("x") <= 9 * F.col("n") / 250, "yellow").otherwise("red")
-    return t.select("entity", "n", "x", *n, kupiec_lr(F.col("n"), F.col("x"), p).alias("kupiec"), F.when(usable, -2 * (null - alt)).otherwise(0.0).alias("christoffersen"), light.alias("light"))
+    kupiec = kupiec_lr(F.col("n"), F.col("x"), p)
+    out = t.select("entity", "n", "x", *n, kupiec.alias("kupiec"), F.when(usable, -2 * (null - alt)).otherwise(0.0).alias("christoffersen"), light.alias("light"))
+    zero = F.lit(0.0)
+    out = out.withColumns({"kupiec_p": chi2_sf1(F.greatest("kupiec", zero)), "christoffersen_p": chi2_sf1(F.greatest("christoffersen", zero)), "conditional": F.col("kupiec") + F.col("christoffersen")})
+    few = F.concat(F.lit("inconclusive - "), F.col("n").cast("string"), F.lit(f" observations is too few to test a {1 - p:.0%} VaR"))
+    verdict = (
+        F.when(F.col("n") < 100, few)
+        .when((F.col("kupiec_p") < 0.05) & (F.col("x") / F.col("n") > p), "REJECTED - too many exceptions; the model understates risk")
+        .when(F.col("kupiec_p") < 0.05, "rejected - too few exceptions; the model overstates risk and wastes capital")
+        .when(F.col("christoffersen_p") < 0.05, "rejected on independence - exceptions cluster. The count is right but they arrive together, which is the dangerous failure")
+        .otherwise("not rejected - consistent with the data")
+    )
+    return out.withColumns({"conditional_p": chi2_sf2(F.col("conditional")), "verdict": verdict})

@@ -4,28 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Labelled patterns of text that tries to instruct its reader.
-INJECTION = {
-    "ignore-previous": r"(?i)\b(ignore|disregard|forget)\b.{0,40}\b(previous|prior|above|earlier)\b",
-    "role-change": r"(?i)\byou are now\b|\bact as\b|\bpretend to be\b",
-    "system-tag": r"(?i)</?(system|assistant|instructions?)>|\[/?INST\]",
-    "prompt-leak": r"(?i)\b(reveal|print|show)\b.{0,30}\b(system prompt|instructions)\b",
-    "code-fence": r"```",
-}
+#: Patterns of text that tries to instruct its reader, with their labels, looked for in this order.
+INJECTION = (
+    (r"ignore\s+(all\s+|any\s+|your\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|rules?|directions?)", "override attempt"),
+    (r"disregard\s+(the\s+|all\s+|your\s+)?(previous|above|prior|system)", "override attempt"),
+    (r"(new|updated|revised)\s+(instructions?|system\s+prompt|rules?)\s*[:\-]", "instruction injection"),
+    (r"you\s+(are|must|should|will)\s+now\s+", "role reassignment"),
+    (r"(?:^|\n)\s*(system|assistant|user)\s*[:>\]]", "chat-format spoofing"),
+    (r"<\s*/?\s*(system|instructions?|prompt)\s*>", "tag spoofing"),
+    (r"\b(respond|reply|answer|output)\s+(only\s+)?with\b", "output hijack"),
+    (r"the\s+(correct|true|right)\s+(answer|probability|value)\s+is", "answer injection"),
+    (r"set\s+(your\s+)?(probability|confidence|forecast)\s+to", "answer injection"),
+    (r"\bBEGIN\s+(SYSTEM|PROMPT|INSTRUCTIONS)", "delimiter spoofing"),
+)
 #: Weight of overlap, topic words, recency, tier; of tiers; hours to which recency falls.
 WEIGHTS, TIERS, RECENT_HOURS = (0.45, 0.30, 0.15, 0.10), {"primary": 1.0, "press": 0.6, "aggregate": 0.3}, 168.0
 
 
-def detect(text: Column, patterns: dict[str, str] = INJECTION) -> Column:
-    """Labels of the patterns that the text matches, in order."""
-    found = F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in patterns.items()])
-    return F.filter(found, lambda x: x.isNotNull())
+def detect(text: Column, patterns: tuple[tuple[str, str], ...] = INJECTION) -> Column:
+    """Labels of the patterns that the text matches in either case, in order, each once."""
+    found = F.array(*[F.when(text.rlike("(?im)" + p), F.lit(label)) for p, label in patterns])
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
-def sanitise(text: Column, patterns: dict[str, str] = INJECTION) -> Column:
+def sanitise(text: Column, patterns: tuple[tuple[str, str], ...] = INJECTION) -> Column:
     """Matches as [removed], evidence references as [ref], white space collapsed."""
-    for p in patterns.values():
-        text = F.regexp_replace(text, p, "[removed]")
+    for p, _ in patterns:
+        text = F.regexp_replace(text, "(?im)" + p, "[removed]")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\[E\d{1,3}\]", "[ref]"), r"\s+", " "))
 
 

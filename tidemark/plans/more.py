@@ -66,10 +66,10 @@ def sk8_add_absent(spark, sf):
     return ledger.add_absent(c.where("key % 3 = 0").withColumn("state", F.lit("rejected")), c.withColumn("state", F.lit("proposed")), "key")
 
 
-@query("a55_state_counts", "SELECT s.state, count(d.doc_id) AS n FROM (VALUES ('proposed'), ('verified'), ('validated'), ('rejected'), ('live')) s(state) LEFT JOIN (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'proposed' WHEN 1 THEN 'live' ELSE 'rejected' END AS state FROM documents) d ON d.state = s.state GROUP BY 1")
+@query("a55_state_counts", "SELECT s.state, count(d.doc_id) AS n FROM (VALUES ('proposed'), ('verified'), ('validated'), ('promoted'), ('rejected')) s(state) LEFT JOIN (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'proposed' WHEN 1 THEN 'promoted' ELSE 'rejected' END AS state FROM documents) d ON d.state = s.state GROUP BY 1")
 def a55_state_counts(spark, sf):
     k = F.col("doc_id") % 3
-    return ledger.state_counts(table(spark, sf, "documents").select(F.when(k == 0, "proposed").when(k == 1, "live").otherwise("rejected").alias("state")))
+    return ledger.state_counts(table(spark, sf, "documents").select(F.when(k == 0, "proposed").when(k == 1, "promoted").otherwise("rejected").alias("state")))
 
 
 @query("ll1_resolve_due", "SELECT f.question AS question_id, member, p, y, round((p - y) ** 2, 8) AS brier FROM (SELECT question, member, round(p, 6) AS p, y FROM fcs UNION ALL SELECT question, '__council__', round(avg(p), 6), max(y) FROM fcs GROUP BY 1) f WHERE f.question % 5 <> 0 AND f.question % 2 = 0", "fcs")
@@ -90,11 +90,15 @@ def ll3_validate(spark, sf):
     return rounded(ledger.validate(r.select(F.col("entity").alias("candidate"), "date", F.col("r").alias("x")).join(target, "date")))
 
 
-@query("f12_buckets", "SELECT c_name AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'gold' WHEN c_mktsegment = 'MACHINERY' THEN 'index_fund' WHEN c_mktsegment = 'FURNITURE' THEN 'debt' ELSE 'large_cap' END AS bucket FROM customer")
+@query("f12_buckets", """
+    SELECT n.name, n.bucket, n.guessed, count(c_custkey) AS holders FROM (VALUES ('Bharat Bond ETF', 'debt', false, 'BUILDING'), ('PPF', 'debt', false, 'AUTOMOBILE'), ('Silver', 'gold', false, 'MACHINERY'),
+    ('Nifty 50 Index Fund', 'index_fund', false, 'FURNITURE'), ('HDFC Bank', 'large_cap', false, 'HOUSEHOLD'), ('Some Equity Fund', 'large_cap', true, 'BUILDING'), ('Parag Global Fund', 'international', false, 'MACHINERY'),
+    ('Axis Midcap', 'mid_small_cap', false, 'FURNITURE'), ('savings', 'cash', false, 'BUILDING')) n(name, bucket, guessed, segment) LEFT JOIN customer ON c_mktsegment = segment GROUP BY 1, 2, 3""")
 def f12_buckets(spark, sf):
-    s = F.col("c_mktsegment")
-    name = F.when(s == "BUILDING", "Sovereign Gold").when(s == "MACHINERY", "Nifty 50 ETF").when(s == "FURNITURE", "Gilt fund").otherwise("Acme Ltd")
-    return table(spark, sf, "customer").select(F.col("c_name").alias("name"), portfolio.bucket_of(name).alias("bucket"))
+    held = {"BUILDING": ["Bharat Bond ETF", "Some Equity Fund", "savings"], "AUTOMOBILE": ["PPF"], "MACHINERY": ["Silver", "Parag Global Fund"], "FURNITURE": ["Nifty 50 Index Fund", "Axis Midcap"], "HOUSEHOLD": ["HDFC Bank"]}
+    names = spark.createDataFrame([(k, n) for k, names in held.items() for n in names], "segment string, name string")
+    rows = names.join(table(spark, sf, "customer"), F.col("segment") == F.col("c_mktsegment"), "left").groupBy("name").agg(F.count("c_custkey").alias("holders"))
+    return rows.select("name", portfolio.bucket_of(F.col("name")).alias("bucket"), portfolio.bucket_guessed(F.col("name")).alias("guessed"), "holders")
 
 
 @query("a53_portfolio")
