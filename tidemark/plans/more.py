@@ -25,12 +25,12 @@ def m8_extreme_value(spark, sf):
 
 @query("a12_ledoit_wolf")
 def a12_ledoit_wolf(spark, sf):
-    return rounded(models.shrinkage_cov(returns(spark, sf).withColumn("book", F.lit("all"))))
+    return rounded(models.shrinkage_cov(returns(spark, sf).withColumn("book", F.substring("entity", 1, 7))))
 
 
 @query("a13_oas")
 def a13_oas(spark, sf):
-    return rounded(models.shrinkage_cov(returns(spark, sf).withColumn("book", F.lit("all")), "oas"))
+    return rounded(models.shrinkage_cov(returns(spark, sf).withColumn("book", F.substring("entity", 1, 7)), "oas"))
 
 
 @query("a21_cross_section")

@@ -123,9 +123,9 @@ def t8_latest(spark, sf):
     return pit.latest(o, ["series_id", "entity"], "at").select("series_id", "entity", "value", F.col("date.event_date").alias("date"))
 
 
-@query("j1_asof_join", "SELECT entity, date, round(price, 6) AS price, round(f.rate, 6) AS rate, round(price * f.rate, 4) AS converted FROM px ASOF LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS rate FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1) f ON px.date >= f.d", "px")
+@query("j1_asof_join", "SELECT entity, date, round(price, 6) AS price, round(f.rate, 6) AS rate, round(price * f.rate, 4) AS converted FROM px ASOF LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS rate FROM orders GROUP BY 1) f ON px.date >= f.d", "px")
 def j1_asof_join(spark, sf):
-    fx = table(spark, sf, "orders").where("o_orderkey % 97 = 0").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.avg("o_totalprice").alias("rate"))
+    fx = table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.avg("o_totalprice").alias("rate"))
     entities = table(spark, sf, "part").select(F.col("p_brand").alias("entity")).distinct()
     out = pit.asof_join(prices(spark, sf).select("entity", "date", "price"), fx.join(F.broadcast(entities)), "date", ["entity"], "rate")
     return out.select("entity", "date", F.round("price", 6).alias("price"), F.round("rate", 6).alias("rate"), F.round(F.col("price") * F.col("rate"), 4).alias("converted"))
@@ -156,12 +156,12 @@ def j12_new_ids(spark, sf):
     return ln.new_ids(d.where("doc_id % 2 = 1"), d.where("doc_id % 6 = 3 or doc_id % 2 = 0"), "doc_id")
 
 
-_Q = "SELECT o_orderkey AS question_id, o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + 30 AS stop, o_totalprice AS level, CASE WHEN o_orderkey % 2 = 0 THEN 'below' ELSE 'above' END AS direction FROM orders WHERE o_orderkey % 50 = 0"
+_Q = "SELECT o_orderkey AS question_id, o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + 30 AS stop, o_totalprice AS level, CASE WHEN o_orderkey % 2 = 0 THEN 'below' ELSE 'above' END AS direction FROM orders"
 
 
 @query("j13_resolve", f"SELECT question_id, bool_or(CASE direction WHEN 'below' THEN value < level ELSE value > level END) AS outcome, count(value) AS n_obs, min(value) AS lowest, max(value) AS highest FROM ({_Q}) q LEFT JOIN obs ON obs.series_id = q.series_id AND event_date BETWEEN start AND stop GROUP BY 1", "obs")
 def j13_resolve(spark, sf):
-    q = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("date").alias("start"), F.date_add(F.col("o_orderdate").cast("date"), 30).alias("end"), F.col("o_totalprice").alias("level"), F.when(F.col("o_orderkey") % 2 == 0, "below").otherwise("above").alias("direction"))
+    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("date").alias("start"), F.date_add(F.col("o_orderdate").cast("date"), 30).alias("end"), F.col("o_totalprice").alias("level"), F.when(F.col("o_orderkey") % 2 == 0, "below").otherwise("above").alias("direction"))
     return pit.resolve(q, observations(spark, sf))
 
 
@@ -249,13 +249,9 @@ def a10_sample_cov(spark, sf):
     return rounded(risk.sample_cov(returns(spark, sf)), 8)
 
 
-@query("a11_ewma_cov", "SELECT i, j, round(mij / sw - mi * mj / sw ** 2, 8) AS cov, round(sw ** 2 / sw2, 4) AS n_eff FROM (SELECT a.entity AS i, b.entity AS j, sum(w) AS sw, sum(w * w) AS sw2, sum(w * a.r) AS mi, sum(w * b.r) AS mj, sum(w * a.r * b.r) AS mij FROM rt a JOIN rt b ON a.date = b.date JOIN (SELECT date, 0.06 * 0.94 ** (row_number() OVER (ORDER BY date DESC) - 1) AS w FROM (SELECT DISTINCT date FROM rt)) d ON d.date = a.date WHERE a.entity < 'Brand#3' AND b.entity < 'Brand#3' GROUP BY 1, 2)", "px rt")
+@query("a11_ewma_cov", "SELECT i, j, round(mij / sw - mi * mj / sw ** 2, 8) AS cov, round(sw ** 2 / sw2, 4) AS n_eff FROM (SELECT a.entity AS i, b.entity AS j, sum(w) AS sw, sum(w * w) AS sw2, sum(w * a.r) AS mi, sum(w * b.r) AS mj, sum(w * a.r * b.r) AS mij FROM rt a JOIN rt b ON a.date = b.date JOIN (SELECT date, 0.06 * 0.94 ** (row_number() OVER (ORDER BY date DESC) - 1) AS w FROM (SELECT DISTINCT date FROM rt)) d ON d.date = a.date GROUP BY 1, 2)", "px rt")
 def a11_ewma_cov(spark, sf):
-    r = returns(spark, sf)
-    dates = r.select("date").distinct()
-    few = r.where("entity < 'Brand#3'")
-    c = risk.ewma_cov(few.unionByName(dates.select(F.lit("~").alias("entity"), "date", F.lit(None).cast("double").alias("volume"), F.lit(0.0).alias("r")))).where("i <> '~' and j <> '~'")
-    return c.select("i", "j", F.round("cov", 8).alias("cov"), F.round("n_eff", 4).alias("n_eff"))
+    return risk.ewma_cov(returns(spark, sf)).select("i", "j", F.round("cov", 8).alias("cov"), F.round("n_eff", 4).alias("n_eff"))
 
 
 @query("a14_shrunk_cov")
