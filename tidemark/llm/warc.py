@@ -155,8 +155,8 @@ def reachable(chain: DataFrame, rounds: int = 64) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under ``path``: file, start, record_type, record_id, target_uri,
-    refers_to, declared payload digest, payload_bytes, payload_digest (of the bytes read; of a
-    revisit, as its headers give them) and payload (null for revisits).
+    refers_to, declared_digest, payload_bytes and payload_digest (of the bytes read; of a revisit, as its
+    headers give them). The payloads themselves aren't returned.
 
     Works on files that Spark splits and on gzip files, which it reads whole. An empty folder is an
     empty result. A file that doesn't begin with a record yields nothing, and a chain ends where the
