@@ -13,7 +13,7 @@ EPS = 1e-6
 
 
 def clamp(p: Column) -> Column:
-    return F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
+    return F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS)))
 
 
 def logit(p: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.stats import clamp, expit, logit
+from ..functions.stats import EPS, clamp, expit, logit
 
 
 def scored(forecasts: DataFrame) -> DataFrame:
@@ -103,3 +103,68 @@ def dissent(forecasts: DataFrame, pooled: DataFrame, gap: float = 0.15) -> DataF
     """Per question: members far from the pool, and the one farthest."""
     rows = forecasts.join(pooled.select("question", "pooled"), "question").withColumn("d", F.abs(F.col("p") - F.col("pooled")))
     return rows.groupBy("question").agg(F.count_if(F.col("d") >= gap).alias("n_dissent"), F.max_by("member", F.struct("d", "member")).alias("strongest"), F.max("d").alias("distance"))
+
+
+def dispersion_categorical(distributions: DataFrame) -> DataFrame:
+    """Per question of (question, member, outcome, p): mean of half the divergences, in bits, of each member from
+    the mean and back; 0 for one member."""
+    each = W.partitionBy("question", "member")
+    p = distributions.withColumn("_p", F.greatest("p", F.lit(EPS)))
+    p = p.withColumn("_p", F.col("_p") / F.sum("_p").over(each))
+    p = p.withColumn("_m", F.avg("_p").over(W.partitionBy("question", "outcome")))
+    both = F.sum(0.5 * (F.col("_p") - F.col("_m")) * F.log2(F.col("_p") / F.col("_m")))
+    return p.groupBy("question", "member").agg(both.alias("d")).groupBy("question").agg(F.count("*").alias("n_members"), F.when(F.count("*") > 1, F.avg("d")).otherwise(0.0).alias("dispersion"))
+
+
+def pooled_standard_error(forecasts: DataFrame) -> DataFrame:
+    """Per question: deviation of the members' log-odds over the root of their number; infinite for one."""
+    n = F.count("p")
+    return forecasts.groupBy("question").agg(n.alias("n"), F.when(n < 2, float("inf")).otherwise(F.stddev_samp(logit(F.col("p"))) / F.sqrt(n)).alias("se"))
+
+
+def track_record(rows: DataFrame, half_life: float | None = None, bins: int = 10) -> DataFrame:
+    """Per member of (member, position, kind, p, y, brier, log_score, crps): rows, means of the scores, calibration
+    error, reliability and resolution, skill against the base rate, bias in log-odds.
+
+    With ``half_life``, a score counts by how many later ones there are, binary rows before categorical ones,
+    by position. A member's rows are numbered in one task, so keep a member to what a task can sort."""
+    order = F.when(F.col("kind") == "binary", 0).when(F.col("kind") == "categorical", 1).otherwise(2)
+    rows = rows.withColumn("_k", order)
+
+    def mean(c: str, kinds: Column) -> tuple[Column, Column]:
+        counted = F.when(kinds & F.col(c).isNotNull(), F.col(c))
+        if half_life is None:
+            return F.lit(1.0), counted
+        later = F.count(counted).over(W.partitionBy("member").orderBy(F.desc("_k"), F.desc("position")).rowsBetween(W.unboundedPreceding, 0)) - 1
+        return F.pow(F.lit(0.5), later / half_life), counted
+
+    scores = {"brier": F.col("_k") < 2, "log_score": F.col("_k") < 2, "crps": F.col("_k") == 2}
+    made = {c: mean(c, kinds) for c, kinds in scores.items()}
+    rows = rows.withColumns({f"_w_{c}": w for c, (w, _) in made.items()} | {f"_v_{c}": v for c, (_, v) in made.items()})
+    means = rows.groupBy("member").agg(F.count("*").alias("n"), *[(F.sum(F.col(f"_w_{c}") * F.col(f"_v_{c}")) / F.sum(F.when(F.col(f"_v_{c}").isNotNull(), F.col(f"_w_{c}")))).alias(f"mean_{c}") for c in scores])
+
+    binary, y = rows.where("kind = 'binary'"), F.col("y").cast("double")
+    edges = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    right, left = F.greatest(F.ceil(F.col("p") * bins), F.lit(1)).cast("int"), F.size(F.filter(edges, lambda e: e <= F.col("p")))
+    cells = binary.groupBy("member", right.alias("_r"), left.alias("_l")).agg(F.count("*").alias("n"), F.sum("p").alias("sp"), F.sum(y).alias("sy"), F.sum(logit(F.col("p"))).alias("sl"))
+    base = cells.groupBy("member").agg(F.sum("n").alias("n_binary"), (F.sum("sy") / F.sum("n")).alias("base"), (F.sum("sl") / F.sum("n")).alias("ml"))
+    sums = lambda k: cells.groupBy("member", k).agg(*[F.sum(c).alias(c) for c in ("n", "sp", "sy")]).join(base, "member")
+    ece = sums("_r").groupBy("member").agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.max("n_binary")).alias("ece"))
+    fy = F.col("sy") / F.col("n")
+    split = sums("_l").groupBy("member").agg((F.sum(F.col("n") * (fy - F.col("sp") / F.col("n")) ** 2) / F.max("n_binary")).alias("reliability"), (F.sum(F.col("n") * (fy - F.col("base")) ** 2) / F.max("n_binary")).alias("resolution"))
+    unc = F.col("base") * (1 - F.col("base"))
+    out = means.join(base, "member", "left").join(ece, "member", "left").join(split, "member", "left")
+    return out.select("member", "n", *[f"mean_{c}" for c in scores], "ece", "reliability", "resolution", F.when(unc > 0, 1 - F.col("mean_brier") / unc).alias("skill"), (F.col("ml") - logit(F.col("base"))).alias("bias_logit"))
+
+
+def coerce(frame: DataFrame) -> DataFrame:
+    """Answers (probability, distribution, quantile_values, confidence) made usable: percents to shares, clipped;
+    distributions add up to 1; ``problem`` says what can't be mended (fixed texts), else null."""
+    p = F.when(F.col("probability") > 1, F.col("probability") / 100).otherwise(F.col("probability"))
+    total = F.aggregate(F.map_values("distribution"), F.lit(0.0), lambda a, v: a + v)
+    shares = F.when(total > 0, F.when(F.abs(total - 1) > 1e-6, F.transform_values("distribution", lambda _, v: v / total)).otherwise(F.col("distribution")))
+    values = F.transform(F.array_sort(F.transform(F.map_entries("quantile_values"), lambda e: F.struct(e["key"].cast("double").alias("q"), e["value"].alias("v")))), lambda e: e["v"])
+    falls = F.exists(F.zip_with(values, F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), lambda a, b: b < a), lambda x: F.coalesce(x, F.lit(False)))
+    none = F.coalesce(F.col("probability").isNull() & (F.coalesce(F.size("distribution"), F.lit(0)) <= 0) & (F.coalesce(F.size("quantile_values"), F.lit(0)) <= 0), F.lit(True))
+    problem = F.when(none, "no answer").when(F.size("distribution") > 0, F.when(total <= 0, "categorical distribution sums to <= 0")).when(falls, "quantiles must be non-decreasing")
+    return frame.withColumns({"probability": F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))), "distribution": shares, "confidence": F.least(F.greatest(F.coalesce("confidence", F.lit(0.5)), F.lit(0.0)), F.lit(1.0)), "problem": problem})

@@ -10,7 +10,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from . import risk
 
 #: Start of the volatility fit (share of the variance, shock, memory), least non-stationarity.
 GARCH_START, MAX_PERSISTENCE = (0.05, 0.08, 0.90), 0.9999
@@ -139,6 +141,48 @@ def var_extreme(returns: DataFrame, confidence: float = 0.99, threshold: float =
     return returns.select("entity", "r").groupBy("entity").applyInPandas(fit, "entity string, shape double, scale double, var double, es double, n_tail int")
 
 
+#: Names of the estimators, in their order.
+ENSEMBLE = ("historical", "parametric_normal", "parametric_cf", "filtered_historical", "evt_pot")
+
+
+def var_ensemble(returns: DataFrame, confidence: float = 0.99, horizon: int = 1) -> DataFrame:
+    """(entity, method, var, es, n_obs, error, spread_ratio): every estimator for every entity. One that can't
+    answer has an error and nulls; the ratio is that of the largest to the smallest positive answer."""
+    good = risk.clean(returns, 1)
+    n = good.groupBy("entity").agg(F.count("*").alias("n_obs"))
+    enough, root = risk.clean(returns), horizon**0.5
+    runs = {
+        "historical": risk.var_historical(enough, confidence, horizon),
+        "parametric_normal": risk.var_parametric(enough, confidence, horizon, expand=False),
+        "parametric_cf": risk.var_parametric(enough, confidence, horizon),
+        "filtered_historical": var_filtered_historical(enough, confidence, horizon),
+        "evt_pot": var_extreme(enough, confidence).withColumns({"var": F.col("var") * root, "es": F.col("es") * root}),
+    }
+    rows = None
+    for method in ENSEMBLE:
+        r = runs[method].select("entity", F.lit(method).alias("method"), "var", "es")
+        rows = r if rows is None else rows.unionByName(r)
+    grid = n.select("entity", "n_obs", F.explode(F.array(*[F.lit(m) for m in ENSEMBLE])).alias("method"))
+    few = F.when(F.col("n_obs") < 30, F.format_string("need >= 30 observations for VaR, got %d", "n_obs"))
+    error = F.coalesce(few, F.when(F.col("var").isNull(), "too few losses beyond the threshold, or returns that never move"), F.lit(""))
+    every = W.partitionBy("entity")
+    lo, hi = F.min("var").over(every), F.max("var").over(every)
+    return grid.join(rows, ["entity", "method"], "left").select("entity", "method", "var", "es", "n_obs", error.alias("error"), F.when((F.count("var").over(every) > 1) & (lo > 0), hi / lo).alias("spread_ratio"))
+
+
+def estimate(returns: DataFrame, method: str = "shrunk_ewma") -> DataFrame:
+    """A covariance by its name: (i, j, cov, ...). Without a column ``book`` the fitted ones take all entities
+    as one book, whose panel one task holds."""
+    known = {
+        "sample": risk.sample_cov, "ewma": risk.ewma_cov, "shrunk_ewma": lambda r: risk.shrunk_cov(risk.ewma_cov(r)),
+        "ledoit_wolf": lambda r: shrinkage_cov(r if "book" in r.columns else r.withColumn("book", F.lit("all")), "ledoit_wolf"),
+        "oas": lambda r: shrinkage_cov(r if "book" in r.columns else r.withColumn("book", F.lit("all")), "oas"),
+    }
+    if method not in known:
+        raise ValueError(f"unknown method {method!r}; choose from {sorted(known)}")
+    return known[method](returns)
+
+
 def _shrunk(x: np.ndarray, method: str) -> tuple[np.ndarray, float]:
     n, p = x.shape
     x = x - x.mean(axis=0)
@@ -228,7 +272,7 @@ def factor_summary(premia: DataFrame, days: int = 252) -> DataFrame:
     return s.select("factor", (F.col("m") * days).alias("mean"), (F.col("sd") * days**0.5).alias("vol"), (F.col("m") / F.nullif("sd", F.lit(0.0)) * days**0.5).alias("sharpe"), "t", t_two_sided(F.col("t"), (F.col("n") - 1).cast("double")).alias("p"), "n")
 
 
-def specific_risk(panel: DataFrame, premia: DataFrame, factors: list[str], floor: float = 1e-4) -> DataFrame:
+def specific_risk(panel: DataFrame, premia: DataFrame, factors: list[str], floor: float = 0.005) -> DataFrame:
     """Per entity: deviation of what the factors leave of its returns; the median of all where unknown."""
     wide = premia.groupBy("date").pivot("factor", factors).agg(F.first("premium"))
     wide = wide.select("date", *[F.col(f"`{f}`").alias(f"_p_{f}") for f in factors])

@@ -92,27 +92,30 @@ def outcomes(paths: DataFrame) -> DataFrame:
 
     The first monthly contribution earns from the second month on.
     """
-    path = W.partitionBy("sim").orderBy("month").rowsBetween(W.unboundedPreceding, 0)
+    keys = [c for c in ("asset", "sim") if c in paths.columns]
+    path = W.partitionBy(*keys).orderBy("month").rowsBetween(W.unboundedPreceding, 0)
     rows = paths.withColumn("level", F.exp(F.sum(F.log1p("r")).over(path)))
     rows = rows.withColumn("fall", F.col("level") / F.greatest(F.max("level").over(path), F.lit(1.0)) - 1)
-    return rows.groupBy("sim").agg(F.max_by("level", "month").alias("lump"), (F.max_by("level", "month") * F.sum(1 / F.col("level"))).alias("monthly"), F.count("*").alias("n_months"), F.min("fall").alias("max_drawdown"))
+    return rows.groupBy(*keys).agg(F.max_by("level", "month").alias("lump"), (F.max_by("level", "month") * F.sum(1 / F.col("level"))).alias("monthly"), F.count("*").alias("n_months"), F.min("fall").alias("max_drawdown"))
 
 
 def project(paths: DataFrame, amount: float, mode: str = "lump", inflation: float = 0.055, deposit: float = 0.068, tax: float = 0.125, exempt: float = 125_000.0) -> DataFrame:
     """Percentiles of what ``amount``, put in at once or every month, becomes: nominal, deflated, after tax;
-    with the chances of a loss, of losing to prices and of losing to a deposit."""
+    with the chances of a loss, of losing to prices and of losing to a deposit. A row an asset if the paths
+    have a column ``asset``."""
     if mode not in ("lump", "monthly"):
         raise ValueError("mode is lump or monthly")
     years = F.col("n_months") / 12
     paid = F.lit(amount) if mode == "lump" else amount * F.col("n_months")
     deposit_month = (1 + deposit) ** (1 / 12) - 1
     saved = amount * F.pow(F.lit(1 + deposit), years) if mode == "lump" else amount * (F.pow(F.lit(1 + deposit_month), F.col("n_months")) - 1) / deposit_month
-    t = outcomes(paths).select(paid.alias("paid"), (amount * F.col(mode)).alias("nominal"), F.pow(F.lit(1 + inflation), years).alias("prices"), saved.alias("saved"), "max_drawdown")
+    keys = [c for c in ("asset",) if c in paths.columns]
+    t = outcomes(paths).select(*keys, paid.alias("paid"), (amount * F.col(mode)).alias("nominal"), F.pow(F.lit(1 + inflation), years).alias("prices"), saved.alias("saved"), "max_drawdown")
     t = t.withColumns({"real": F.col("nominal") / F.col("prices"), "after_tax": F.col("nominal") - tax * F.greatest(F.col("nominal") - F.col("paid") - exempt, F.lit(0.0))})
     cuts = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
     each = [F.percentile(c, q).alias(f"{c}_{k}") for c in ("nominal", "real", "after_tax") for k, q in cuts.items()]
     chance = lambda c: F.avg(c.cast("double"))
-    return t.agg(*each, chance(F.col("nominal") < F.col("paid")).alias("p_loss"), chance(F.col("real") < F.col("paid")).alias("p_below_prices"), chance(F.col("nominal") < F.col("saved")).alias("p_below_deposit"), F.percentile("max_drawdown", 0.05).alias("deep_fall"))
+    return t.groupBy(*keys).agg(*each, chance(F.col("nominal") < F.col("paid")).alias("p_loss"), chance(F.col("real") < F.col("paid")).alias("p_below_prices"), chance(F.col("nominal") < F.col("saved")).alias("p_below_deposit"), F.percentile("max_drawdown", 0.05).alias("deep_fall"))
 
 
 def plan_goal(paths: DataFrame, target: float) -> DataFrame:

@@ -37,9 +37,30 @@ def adjust_for_actions(prices: DataFrame, actions: DataFrame) -> DataFrame:
     return factor.select("entity", "date", (F.col("price") * F.col("factor")).alias("price"), "factor")
 
 
+def clean(returns: DataFrame, least: int = 30) -> DataFrame:
+    """Finite returns of the entities that have ``least`` of them."""
+    finite = returns.where(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") < float("inf")))
+    return finite.withColumn("_n", F.count("*").over(W.partitionBy("entity"))).where(F.col("_n") >= least).drop("_n")
+
+
+def align_prices(prices: DataFrame, min_obs: int = 60, max_run: int = 5) -> DataFrame:
+    """Per entity of a panel: observations, share of the panel's dates, days without a move, the longest run
+    of them, whether that is suspect, and whether the entity has ``min_obs`` prices and so is kept.
+
+    A day without a price ends a run. The dates are numbered in one task, a row a date."""
+    known = prices.where("price is not null")
+    days = prices.select("date").distinct().withColumn("_day", F.row_number().over(W.orderBy("date")))
+    still = (F.col("price") == F.lag("price").over(_path())) & (F.col("_day") == F.lag("_day").over(_path()) + 1)
+    rows = known.join(days, "date").withColumn("_still", F.coalesce(still, F.lit(False)))
+    rows = rows.withColumn("_run", F.count_if(~F.col("_still")).over(_path()))
+    runs = rows.groupBy("entity", "_run").agg(F.count("*").alias("_n"), F.count_if("_still").alias("_s"))
+    out = runs.groupBy("entity").agg(F.sum("_n").alias("n_obs"), F.sum("_s").alias("stale_days"), F.max("_s").alias("max_stale_run"))
+    return out.join(F.broadcast(days.agg(F.max("_day").alias("_all")))).select("entity", "n_obs", (F.col("n_obs") / F.col("_all")).alias("coverage"), "stale_days", "max_stale_run", (F.col("max_stale_run") > max_run).alias("suspect"), (F.col("n_obs") >= min_obs).alias("kept"))
+
+
 def winsorize(returns: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     bounds = returns.groupBy("entity").agg(F.percentile("r", F.array(F.lit(lo), F.lit(hi))).alias("b"))
-    return returns.join(bounds, "entity").select("entity", "date", F.least(F.greatest("r", F.col("b")[0]), F.col("b")[1]).alias("r"))
+    return returns.join(bounds, "entity").select("entity", "date", F.when(F.col("r").isNotNull(), F.least(F.greatest("r", F.col("b")[0]), F.col("b")[1])).alias("r"))
 
 
 def realised_vol(returns: DataFrame, window: int = 21) -> DataFrame:
@@ -74,12 +95,13 @@ def var_historical(returns: DataFrame, confidence: float = 0.99, horizon: int =
     )
 
 
-def var_parametric(returns: DataFrame, confidence: float = 0.99, horizon: int = 1) -> DataFrame:
-    """Gaussian and Cornish-Fisher value at risk per entity; the expansion is used where it is monotone."""
+def var_parametric(returns: DataFrame, confidence: float = 0.99, horizon: int = 1, expand: bool = True) -> DataFrame:
+    """Gaussian or, with ``expand``, Cornish-Fisher value at risk per entity; the expansion is used where it is
+    monotone."""
     z, root = norm_ppf(1 - confidence), horizon**0.5
     m = returns.groupBy("entity").agg(F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"), F.skewness("r").alias("skew"), F.kurtosis("r").alias("kurt"), F.count("r").alias("n_obs"))
     m = m.withColumn("z_cf", cornish_fisher(F.lit(z), F.col("skew"), F.col("kurt"))).withColumn("cf_valid", cornish_fisher_valid(F.col("skew"), F.col("kurt")))
-    used = F.when(F.col("cf_valid"), F.col("z_cf")).otherwise(z)
+    used = F.when(F.col("cf_valid") & F.lit(expand), F.col("z_cf")).otherwise(z)
     jb = F.col("n_obs") / 6 * (F.col("skew") ** 2 + F.col("kurt") ** 2 / 4)
     return m.select(
         "entity", "mu", "sd", "skew", "kurt", "cf_valid", (-(F.col("mu") + used * F.col("sd")) * root).alias("var"),
@@ -142,9 +164,9 @@ def zscore(frame: DataFrame, by: list[str], value: str, winsor: float = 3.0) ->
     """Cross-sectional score: clipped at the median by median absolute deviations, standardised, clipped."""
     mid = frame.join(frame.groupBy(*by).agg(F.median(value).alias("_m")), by)
     mad = mid.groupBy(*by).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("_m")))).alias("_d"))
-    x = mid.join(mad, by).withColumn("_x", F.when(F.col("_d") > 0, F.least(F.greatest(F.col(value), F.col("_m") - winsor * F.col("_d")), F.col("_m") + winsor * F.col("_d"))).otherwise(F.col(value)))
+    x = mid.join(mad, by).withColumn("_x", F.when((F.col("_d") > 0) & F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_m") - winsor * F.col("_d")), F.col("_m") + winsor * F.col("_d"))).otherwise(F.col(value)))
     s = x.groupBy(*by).agg(F.avg("_x").alias("_mean"), F.stddev_samp("_x").alias("_sd"))
-    z = F.when(F.col("_sd") > 0, F.least(F.greatest((F.col("_x") - F.col("_mean")) / F.col("_sd"), F.lit(-winsor)), F.lit(winsor))).otherwise(0.0)
+    z = F.when((F.col("_sd") > 0) & F.col("_x").isNotNull(), F.least(F.greatest((F.col("_x") - F.col("_mean")) / F.col("_sd"), F.lit(-winsor)), F.lit(winsor))).otherwise(0.0)
     return x.join(s, by).withColumn("z", F.coalesce(z, F.lit(0.0))).drop("_m", "_d", "_x", "_mean", "_sd")
 
 

@@ -107,3 +107,65 @@ def citations(frame: DataFrame, cited: str, known: str) -> DataFrame:
 def noise(title: Column, patterns: dict[str, str], least: int = 15) -> Column:
     """Label of the first noise pattern that fits, 'short' for a short title, else null."""
     return F.coalesce(*[F.when(title.rlike(p), F.lit(k)) for k, p in patterns.items()], F.when(F.length(title) < least, F.lit("short")))
+
+
+#: Metals and their feeds; commodities with series, unit and frequency.
+METAL_FEEDS = {"gold": "gold_pm", "gold_am": "gold_am", "silver": "silver"}
+COMMODITIES = {
+    "brent": ("DCOILBRENTEU", "USD/bbl", "daily"), "wti": ("DCOILWTICO", "USD/bbl", "daily"), "natural_gas": ("DHHNGSP", "USD/MMBtu", "daily"), "copper": ("PCOPPUSDM", "USD/tonne", "monthly"),
+    "aluminium": ("PALUMUSDM", "USD/tonne", "monthly"), "wheat": ("PWHEAMTUSDM", "USD/tonne", "monthly"), "commodity_index": ("PALLFNFINDEXM", "index", "monthly"),
+}
+
+
+def commodity(name: str, metals: DataFrame, series: DataFrame) -> DataFrame:
+    """(date, value, unit) of a commodity: metals (feed, date, usd, ...) by their feed, others (series_id, date, value)."""
+    if name in METAL_FEEDS:
+        return metals.where(F.col("feed") == METAL_FEEDS[name]).select("date", F.col("usd").alias("value"), F.lit("USD/oz").alias("unit")).where("value is not null")
+    if name not in COMMODITIES:
+        raise ValueError(f"unknown commodity {name!r}; choose from {sorted(COMMODITIES | METAL_FEEDS)}")
+    code, unit, _ = COMMODITIES[name]
+    return series.where(F.col("series_id") == code).select("date", "value", F.lit(unit).alias("unit")).where("value is not null")
+
+
+def data_rows(raw: DataFrame, schema: str, path: str = "$.data") -> DataFrame:
+    """Objects of the array at ``path`` of JSON documents (a column ``value``; '$' for the document), as rows."""
+    body = F.col("value") if path == "$" else F.get_json_object("value", path)
+    return raw.select(F.inline(F.from_json(body, f"array<struct<{schema}>>")))
+
+
+def option_expiries(raw: DataFrame) -> DataFrame:
+    """{expiryDates: [...]} documents as (expiry), in their order within a document."""
+    return raw.select(F.explode(F.from_json(F.get_json_object("value", "$.expiryDates"), "array<string>")).alias("expiry"))
+
+
+def longest_table(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(page, n_rows, rows): cells, without tags, of the table with the most rows of a page, the first of equals; pages without
+    tables are left out. Tables aren't nested."""
+    every = lambda text, tag: F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
+    tables = F.filter(F.transform(every(F.col(html), "table"), lambda t: every(t, "tr")), lambda r: F.size(r) > 0)
+    best = F.aggregate(tables, F.array().cast("array<string>"), lambda a, b: F.when(F.size(b) > F.size(a), b).otherwise(a))
+    out = pages.select(key, best.alias("_t")).where(F.size("_t") > 0)
+    return out.select(key, F.size("_t").alias("n_rows"), F.transform("_t", lambda r: F.transform(every(r, "t[dh]"), plain)).alias("rows"))
+
+
+def track_record(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of scored forecasts; lines that can't be read are left out."""
+    schema = "member string, question_id string, kind string, p double, y int, brier double, log_score double, crps double, resolved_at string"
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def run_document(runs: DataFrame) -> DataFrame:
+    """Rows as one JSON document each (a column ``value``), to be written as text."""
+    return runs.select(F.to_json(F.struct(*[F.col(c) for c in runs.columns])).alias("value"))
+
+
+def rate_observations(rates: DataFrame, now: Column) -> DataFrame:
+    """(series_id, label, date, value, unit) as observations known from ``now`` on, the label as metadata."""
+    return rates.select("series_id", F.col("date").alias("event_date"), now.alias("available_at"), F.col("value").cast("double").alias("value"), "unit", F.lit("RBI").alias("source"), F.to_json(F.struct("label")).alias("meta"))
+
+
+def categories(schemes: DataFrame, holds: str = "", limit: int = 25) -> DataFrame:
+    """The categories with the most schemes, of those whose name holds a text."""
+    counts = schemes.where(F.contains(F.lower("category"), F.lit(holds.lower()))).groupBy("category").agg(F.count("*").alias("schemes"))
+    return counts.orderBy(F.desc("schemes"), "category").limit(limit)
