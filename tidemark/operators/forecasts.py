@@ -65,11 +65,29 @@ def hedge_weights(forecasts: DataFrame, eta: float = 8.0, floor: float = 0.02, h
     return rows.join(F.broadcast(total)).select("member", "loss", w.alias("weight"))
 
 
-def pool_binary(forecasts: DataFrame, cap: float = 1.0, weights: DataFrame | None = None) -> DataFrame:
-    """Per question: weighted log-odds pool, extremised by how far members agree and differ."""
+def pool_binary(forecasts: DataFrame, cap: float = 1.0, weights: DataFrame | None = None, method: str = "logodds", trim: float = 0.0, bias: DataFrame | None = None) -> DataFrame:
+    """Per question: weighted pool ('logodds', 'linear' or 'median') of log-odds less each member's ``bias`` (member,
+    correction), extremised by how far members agree and differ.
+
+    ``trim`` leaves out that share of members, one at least, at each end where five or more answered."""
+    if method not in ("logodds", "linear", "median"):
+        raise ValueError(f"unknown method {method!r}; choose from logodds, linear, median")
     rows = forecasts.withColumn("w", F.lit(1.0)) if weights is None else forecasts.join(weights.select("member", F.col("weight").alias("w")), "member")
+    lo = logit(F.col("p"))
+    if bias is not None:
+        rows = rows.join(bias.select("member", "correction"), "member", "left")
+        lo = lo - F.coalesce("correction", F.lit(0.0))
+    rows = rows.withColumn("_lo", lo)
+    inner = F.lit(True)
+    if trim > 0:
+        n, at = F.count("*").over(W.partitionBy("question")), F.row_number().over(W.partitionBy("question").orderBy("_lo", "member"))
+        k = F.greatest(F.lit(1), F.floor(n * trim))
+        inner = (n < 5) | (n <= 2 * k) | ((at > k) & (at <= n - k))
+    rows = rows.withColumn("_in", inner)
+    w, x = F.when(F.col("_in"), F.col("w")), F.when(F.col("_in"), F.col("_lo"))
+    pooled = {"logodds": F.sum(w * x) / F.sum(w), "linear": logit(F.sum(w * expit(x)) / F.sum(w)), "median": F.median(x)}[method]
     g = rows.groupBy("question").agg(
-        F.count("*").alias("n"), (F.sum(F.col("w") * logit(F.col("p"))) / F.sum("w")).alias("pooled_logit"), F.coalesce(F.stddev_samp("p"), F.lit(0.0)).alias("dispersion"),
+        F.count("*").alias("n"), pooled.alias("pooled_logit"), F.coalesce(F.stddev_samp("p"), F.lit(0.0)).alias("dispersion"),
         F.abs(2 * F.avg((F.col("p") > 0.5).cast("double")) - 1).alias("agreement"), F.median("p").alias("median_p"), F.max("y").alias("y"),
     )
     independence = F.least(F.greatest(F.col("dispersion") / 0.25, F.lit(0.0)), F.lit(1.0)) * F.col("agreement")
@@ -99,6 +117,49 @@ def pool_categorical(distributions: DataFrame) -> DataFrame:
     return e.select("question", "outcome", "pooled", (-F.sum(F.col("pooled") * F.log2("pooled")).over(every)).alias("entropy_bits"))
 
 
+def multicategory(distributions: DataFrame) -> DataFrame:
+    """Per (question, member) of (question, member, outcome, p, actual): sum of squared errors over the outcomes, and the log
+    score of what happened, an outcome without a share counting as 0."""
+    hit = (F.col("outcome") == F.col("actual")).cast("double")
+    g = distributions.groupBy("question", "member").agg(F.sum((F.col("p") - hit) ** 2).alias("brier"), F.max(F.when(hit == 1, F.col("p"))).alias("p_actual"))
+    return g.select("question", "member", "brier", (-F.log(clamp(F.coalesce("p_actual", F.lit(0.0))))).alias("log_score"))
+
+
+#: Resolved questions from which weights, bias corrections and the cap are fitted anew.
+RETUNE_GATES = {"weights": 25, "bias_corrections": 30, "extremise_cap": 50}
+
+
+def retune_gates(track: DataFrame, gates: dict[str, int] = RETUNE_GATES) -> DataFrame:
+    """(parameter, resolved, needed, applied, note): what so many resolved questions of (question, member) allow to refit."""
+    n = track.agg(F.countDistinct("question").alias("resolved"), F.count_if(F.col("member") != "__council__").alias("_members"))
+    rows = n.select("resolved", "_members", F.explode(F.create_map(*[F.lit(x) for kv in gates.items() for x in kv])).alias("parameter", "needed"))
+    enough = (F.col("resolved") >= F.col("needed")) & (F.col("_members") > 0)
+    note = F.when(~enough, F.concat(F.col("resolved").cast("string"), F.lit(" resolved questions; need "), F.col("needed").cast("string"), F.lit("."))).otherwise("")
+    return rows.select("parameter", "resolved", "needed", enough.alias("applied"), note.alias("note"))
+
+
+def retune(track: DataFrame, grid: list[float], gates: dict[str, int] = RETUNE_GATES) -> DataFrame:
+    """(parameter, member, value): weights, bias corrections and the best cap of the grid fitted on (question, member, p, y),
+    each only where its gate is passed; the rest keeps its old value and has no row here. The cap has no member."""
+    own = track.where("member <> '__council__'")
+    passed = F.broadcast(retune_gates(track, gates).where("applied").select("parameter"))
+    weights = hedge_weights(own).select(F.lit("weights").alias("parameter"), "member", F.col("weight").alias("value"))
+    bias = bias_corrections(member_scores(own)).select(F.lit("bias_corrections").alias("parameter"), "member", F.col("correction").alias("value"))
+    answered = own.withColumn("_n", F.count("*").over(W.partitionBy("question"))).where("_n >= 2").drop("_n")
+    best = fit_extremise_cap(answered, grid).agg(F.min_by("cap", F.struct("brier", "cap")).alias("value")).where("value is not null")
+    cap = best.select(F.lit("extremise_cap").alias("parameter"), F.lit(None).cast("string").alias("member"), "value")
+    return weights.unionByName(bias).unionByName(cap).join(passed, "parameter", "left_semi")
+
+
+def council_against_members(track: DataFrame) -> DataFrame:
+    """One row of (question, member, p, y): Brier scores of the pool, of its best member, of members on average, and
+    whether pooling helps; none where the pool has no score."""
+    each = scored(track).groupBy("member").agg(F.avg("brier").alias("b"))
+    council, other = F.col("member") == "__council__", F.col("member") != "__council__"
+    out = each.agg(F.max(F.when(council, F.col("b"))).alias("council"), F.min(F.when(other, F.col("b"))).alias("best_member"), F.avg(F.when(other, F.col("b"))).alias("mean_member"))
+    return out.where("council is not null").withColumn("helps", F.coalesce(F.col("council") < F.col("mean_member"), F.lit(False)))
+
+
 def dissent(forecasts: DataFrame, pooled: DataFrame, gap: float = 0.15) -> DataFrame:
     """Per question: members far from the pool, and the one farthest."""
     rows = forecasts.join(pooled.select("question", "pooled"), "question").withColumn("d", F.abs(F.col("p") - F.col("pooled")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .prose import relevant
+
 
 def benjamini_hochberg(tests: DataFrame, q: float = 0.10, by: list[str] | None = None) -> DataFrame:
     """(…, p) with rank, adjusted p and survival. Tests are one row a candidate, ranked within ``by``."""
@@ -64,6 +66,18 @@ def new_ids(today: DataFrame, before: DataFrame, key: str) -> DataFrame:
     return today.join(before.select(key), key, "left_anti")
 
 
+def registry_diff(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
+    """Rows of a registry that its last snapshot lacked; none where there is no snapshot, which this run only lays down."""
+    return new_ids(current, previous, key).where(previous.exists())
+
+
+def indicator_candidates(indicators: DataFrame) -> DataFrame:
+    """New indicators (id, name) of a registry as candidates, those whose name promises something for markets."""
+    known = indicators.where(relevant(F.col("name"), F.lit("")))
+    rationale = F.concat(F.lit("New World Bank indicator '"), F.col("name"), F.lit("' appeared in the registry."))
+    return known.select(F.concat(F.lit("wb_"), F.replace(F.lower("id"), F.lit("."), F.lit("_"))).alias("key"), "name", F.lit("world_bank_registry_diff").alias("source"), rationale.alias("rationale"), F.array(F.lit("macro")).alias("asset_classes"), F.col("id").alias("indicator_id"))
+
+
 def month_end(prices: DataFrame) -> DataFrame:
     """Last price of each month and its change."""
     m = prices.groupBy("entity", F.last_day("date").alias("month")).agg(F.max_by("price", "date").alias("price"))

@@ -28,6 +28,31 @@ def set_state(stored: DataFrame, changes: DataFrame, key: str, states: tuple[str
     return stored.join(good, key, "left").withColumn("state", F.coalesce("_new", "state")).drop("_new")
 
 
+def apply_winners(settings: DataFrame, results: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Settings (setting, value) overlaid by the winners of (setting, winner, p) that are significant, and whether that
+    ``changed`` them; results without a winner or a p-value change nothing."""
+    good = results.where(F.col("winner").isNotNull() & ~F.isnan("p") & (F.col("p") < alpha)).select("setting", "winner", "p")
+    best = latest_wins(good, ["setting"], [F.asc("p"), F.asc("winner")]).select("setting", "winner")
+    both = settings.join(best, "setting", "full")
+    return both.select("setting", F.coalesce("winner", "value").alias("value"), (F.col("winner").isNotNull() & ~F.col("winner").eqNullSafe(F.col("value"))).alias("changed"))
+
+
+def verified(candidates: DataFrame, observations: DataFrame, key: str = "key", least: int = 5) -> DataFrame:
+    """(key, state, note): candidates with at least so many values are verified, others rejected, and why."""
+    n = observations.groupBy(key).agg(F.count("value").alias("_n"))
+    rows = candidates.select(key).distinct().join(n, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    good, count = F.col("_n") >= least, F.col("_n").cast("string")
+    return rows.select(key, F.when(good, "verified").otherwise("rejected").alias("state"), F.when(good, F.concat(count, F.lit(" observations"))).otherwise(F.concat(F.lit("only "), count, F.lit(" numeric points"))).alias("note"))
+
+
+def discover(registry: DataFrame, found: DataFrame, observations: DataFrame, key: str = "key", least: int = 5) -> DataFrame:
+    """The registry (key, state, ...) with the found candidates it lacks, each verified by its observations; what it
+    had keeps its state, so that a rejected candidate isn't tried again."""
+    new = found.join(registry.select(key), key, "left_anti").dropDuplicates([key])
+    judged = new.drop("state", "note").join(verified(new, observations, key, least), key)
+    return registry.unionByName(judged, allowMissingColumns=True)
+
+
 def state_counts(stored: DataFrame, states: tuple[str, ...] = STATES) -> DataFrame:
     """Rows in each state, 0 for states without any."""
     every = stored.sparkSession.createDataFrame([(s,) for s in states], "state string")

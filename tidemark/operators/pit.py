@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F, types as T
 
 SCHEMA = T.StructType(
     [
@@ -115,3 +116,23 @@ def resolve(questions: DataFrame, observations: DataFrame) -> DataFrame:
     inside = (F.col("o.series_id") == F.col("q.series_id")) & (F.col("o.month") == F.col("q.month")) & F.col("o.event_date").between(F.col("q.start"), F.col("q.end"))
     hit = F.when(F.col("q.direction") == "below", F.col("o.value") < F.col("q.level")).otherwise(F.col("o.value") > F.col("q.level"))
     return q.alias("q").join(o.alias("o"), inside, "left").groupBy("q.question_id").agg(F.bool_or(hit).alias("outcome"), F.count("o.value").alias("n_obs"), F.min("o.value").alias("lowest"), F.max("o.value").alias("highest"))
+
+
+def snapshot(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], path: str, now: dt.datetime) -> DataFrame:
+    """Append what each source shows at ``now`` to the observations under ``path``; (source, n, error) of each.
+
+    A source returns (series_id, date, value, unit); a null date is today. Each is written by itself, and one that fails, in
+    its plan or in its tasks, leaves the others alone. Rows without a value are left out."""
+    rows = []
+    for name, make in sources.items():
+        try:
+            seen = Observation()
+            frame = make().where("value is not null")
+            day = F.coalesce(F.col("date").cast("date"), F.lit(now.date()))
+            given = {"series_id": F.upper("series_id"), "event_date": day, "available_at": F.lit(now).cast("timestamp_ntz"), "value": F.col("value"), "unit": F.col("unit"), "source": F.lit(name), "revision": F.lit(0)}
+            out = frame.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA])
+            out.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)
+            rows.append((name, seen.get["n"], None))
+        except Exception as failed:  # a feed that is down is a row of the report
+            rows.append((name, 0, f"{type(failed).__name__}: {str(failed)[:90]}"))
+    return spark.createDataFrame(rows, "source string, n long, error string")

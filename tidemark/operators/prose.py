@@ -8,8 +8,6 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .text import TIERS
-
 #: Patterns of amounts and horizons, multiples, words of assets (the first that fits counts).
 AMOUNT = r"(?:rs\.?|inr|₹)?\s*([\d,]+(?:\.\d+)?)\s*(lakhs?|lacs?|crores?|cr|k|thousand)?"
 HORIZON = r"([\d.]+)\s*(year|yr|y|month|mo)s?\b"
@@ -39,8 +37,6 @@ RELEVANCE_TERMS = (
     "property", "investment", "capital", "foreign", "remittance", "currency",
 )
 NOISE_TERMS = ("sample data", "test data", "dummy", "demo ")
-#: Least relevance of a primary document; share of a model's score; weight of the tier.
-PRIMARY_FLOOR, MODEL_SHARE, TIER_PULL, TIER_MID = 0.32, 0.7, 0.35, 0.6
 
 
 def _holds(text: Column, words) -> Column:
@@ -104,15 +100,6 @@ def relevant(title: Column, description: Column) -> Column:
     return ~_holds(hay, NOISE_TERMS) & _holds(hay, RELEVANCE_TERMS)
 
 
-def adjusted_relevance(lexical: Column, model: Column, tier: Column) -> Column:
-    """Model and lexical score together where there is one of a model, a floor for primary sources, pulled by the tier."""
-    both = F.when(model.isNull(), lexical).otherwise(MODEL_SHARE * model + (1 - MODEL_SHARE) * lexical)
-    weight = F.lit(0.3)
-    for k, v in TIERS.items():
-        weight = F.when(tier == k, v).otherwise(weight)
-    return F.when(tier == "primary", F.greatest(both, F.lit(PRIMARY_FLOOR))).otherwise(both) * (1 + TIER_PULL * (weight - TIER_MID))
-
-
 _PIECES = re.compile(r'"(?:\\.|[^"\\])*"|[{}]', re.S)
 _REPAIRS = ((re.compile(r",\s*([}\]])"), r"\1"), (re.compile(r"\bTrue\b"), "true"), (re.compile(r"\bFalse\b"), "false"), (re.compile(r"\b(None|NaN)\b"), "null"))
 

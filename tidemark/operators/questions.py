@@ -64,6 +64,18 @@ def generate(latest: DataFrame, vols: DataFrame, today: dt.date, per_series: int
     return rows.select("series_id", "horizon", "step", "direction", "level", "resolves", question_id(F.col("text"), F.col("resolves")).alias("id"), "text")
 
 
+def thresholds(questions: DataFrame) -> DataFrame:
+    """(question_id, text, resolution_source, start, resolution_date) as what :func:`pit.resolve` takes, and a ``note`` (fixed
+    texts) on questions that can't be read: no source, no threshold, no date. Nothing is guessed."""
+    pattern = r"(?i)\b(below|under|above|over)\b[^\d]{0,12}([\d,]+(?:\.\d+)?)"
+    word, number = F.lower(F.regexp_extract("text", pattern, 1)), F.replace(F.regexp_extract("text", pattern, 2), F.lit(","), F.lit(""))
+    source, stop = F.coalesce("resolution_source", F.lit("")), F.col("resolution_date").cast("string").try_cast("date")
+    note = F.when(source.isin("", "manual"), "no machine-resolvable source on this question").when(F.coalesce(number, F.lit("")) == "", "could not parse a threshold from the question text").when(stop.isNull(), "unparseable resolution date")
+    rows = questions.withColumns({"note": note, "series_id": source, "stop": stop})
+    read = F.col("note").isNull()
+    return rows.select("question_id", "series_id", "start", "stop", F.when(read, F.when(word.isin("below", "under"), "below").otherwise("above")).alias("direction"), F.when(read, number.try_cast("double")).alias("level"), "note")
+
+
 def evidence(observations: DataFrame, when, lookback_days: int = 400, history: int = 6) -> DataFrame:
     """Per series known at a time: the last value, its lag in days with a note beyond three, and the values before
     it (of the last ``history`` rows, oldest first) as (event_date, value)."""

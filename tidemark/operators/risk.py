@@ -58,6 +58,15 @@ def align_prices(prices: DataFrame, min_obs: int = 60, max_run: int = 5) -> Data
     return out.join(F.broadcast(days.agg(F.max("_day").alias("_all")))).select("entity", "n_obs", (F.col("n_obs") / F.col("_all")).alias("coverage"), "stale_days", "max_stale_run", (F.col("max_stale_run") > max_run).alias("suspect"), (F.col("n_obs") >= min_obs).alias("kept"))
 
 
+def dense(returns: DataFrame) -> DataFrame:
+    """A return for every entity on every date, 0 where there is none; entities without any are left out.
+
+    As many rows as the full panel, which is what matrices of it read."""
+    live = returns.where("r is not null").select("entity", "date", "r")
+    panel = live.select("entity").distinct().crossJoin(returns.select("date").distinct())
+    return panel.join(live, ["entity", "date"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+
+
 def winsorize(returns: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     bounds = returns.groupBy("entity").agg(F.percentile("r", F.array(F.lit(lo), F.lit(hi))).alias("b"))
     return returns.join(bounds, "entity").select("entity", "date", F.when(F.col("r").isNotNull(), F.least(F.greatest("r", F.col("b")[0]), F.col("b")[1])).alias("r"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Patterns of text that tries to instruct its reader, with their labels, looked for in this order.
@@ -20,6 +22,19 @@ INJECTION = (
 #: Weight of overlap, topic words, recency, tier; of tiers; hours to which recency falls.
 WEIGHTS, TIERS, RECENT_HOURS = (0.45, 0.30, 0.15, 0.10), {"primary": 1.0, "press": 0.6, "aggregate": 0.3}, 168.0
 
+#: Words of the topic, and titles that say nothing of what will happen, tried in this order.
+TOPIC_TERMS = (
+    "rbi", "sebi", "repo", "inflation", "cpi", "gdp", "nifty", "sensex", "rupee", "market", "equity", "bond", "yield", "fii", "dii", "flows", "earnings", "results", "policy", "rate",
+    "bank", "credit", "fiscal", "budget", "tax", "gst", "crude", "oil", "gold", "monsoon", "export", "import", "deficit", "liquidity", "mpc", "index", "stock", "ipo",
+)
+NOISE_PATTERNS = (
+    r"^\s*(top|best|worst)\s+\d+", r"\b(horoscope|astrology|cricket|bollywood|recipe)\b", r"\bstocks?\s+to\s+(buy|watch)\b", r"\bmultibagger\b", r"\bpenny\s+stock\b",
+    r"\bwhat\s+should\s+investors\s+do\b",
+)
+MIN_TITLE = 15
+#: Least relevance of a primary document; share of a model's score; weight of the tier.
+PRIMARY_FLOOR, MODEL_SHARE, TIER_PULL, TIER_MID = 0.32, 0.7, 0.35, 0.6
+
 
 def detect(text: Column, patterns: tuple[tuple[str, str], ...] = INJECTION) -> Column:
     """Labels of the patterns that the text matches in either case, in order, each once."""
@@ -48,7 +63,7 @@ def relevance(text: Column, terms: list[str], topic: list[str], age_hours: Colum
     hay = F.lower(text)
     held = sum((F.when(F.contains(hay, F.lit(t)), 1.0).otherwise(0.0) for t in terms), F.lit(0.0)) / max(1, len(terms))
     topics = sum((F.when(F.contains(hay, F.lit(t)), 1.0).otherwise(0.0) for t in topic), F.lit(0.0))
-    rank = F.lit(0.0)
+    rank = F.lit(0.3)
     for k, v in TIERS.items():
         rank = F.when(tier == k, v).otherwise(rank)
     a, b, c, d = WEIGHTS
@@ -66,6 +81,63 @@ def top_k(docs: DataFrame, k: int = 5, least: float = 0.30) -> DataFrame:
     return docs.withColumn("_n", n).where((F.col("_n") <= most) & (F.col("relevance") >= least)).drop("_n").orderBy(F.desc("relevance"), "id").limit(k)
 
 
+def adjusted_relevance(lexical: Column, model: Column, tier: Column) -> Column:
+    """Model and lexical score together where there is one of a model, a floor for primary sources, pulled by the tier."""
+    both = F.when(model.isNull(), lexical).otherwise(MODEL_SHARE * model + (1 - MODEL_SHARE) * lexical)
+    weight = F.lit(0.3)
+    for k, v in TIERS.items():
+        weight = F.when(tier == k, v).otherwise(weight)
+    return F.when(tier == "primary", F.greatest(both, F.lit(PRIMARY_FLOOR))).otherwise(both) * (1 + TIER_PULL * (weight - TIER_MID))
+
+
+def noise_reason(title: Column, summary: Column) -> Column:
+    """Why a document says nothing (fixed texts), else null."""
+    both = F.concat(title, F.lit(" "), summary)
+    return F.coalesce(*[F.when(both.rlike("(?i)" + p), F.lit(f"noise pattern: {p}")) for p in NOISE_PATTERNS], F.when(F.length(title) < MIN_TITLE, F.lit("title too short to carry information")))
+
+
+def screened(docs: DataFrame, question: str) -> DataFrame:
+    """(id, title, summary, tier, age_hours) with clean texts, ``flags`` of instructions hidden in them, lexical ``relevance`` and
+    the ``reason`` to drop a document at once, else null. Null texts are empty ones."""
+    t, s = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))
+    terms = sorted(set(re.findall(r"[a-z]{4,}", question.lower())))
+    out = docs.withColumns({"flags": F.array_sort(F.array_union(detect(t), detect(s))), "reason": noise_reason(t, s), "title": sanitise(t), "summary": sanitise(s)})
+    out = out.withColumns({"flags": F.when(F.col("reason").isNull(), F.col("flags")).otherwise(F.array().cast("array<string>")), "relevance": relevance(F.concat_ws(" ", "title", "summary"), terms, list(TOPIC_TERMS), F.col("age_hours"), F.col("tier"))})
+    hidden = (F.size("flags") > 0) & (F.col("tier") == "primary")
+    return out.withColumn("reason", F.coalesce("reason", F.when(hidden, F.lit("instruction-shaped text in a primary feed"))))
+
+
+def filter_documents(docs: DataFrame, question: str, keep: int = 5, least: float = 0.30, model: DataFrame | None = None) -> DataFrame:
+    """The documents worth showing for a question, and why others were dropped.
+
+    Noise and primary documents with hidden instructions are dropped first; of the rest each tier sends its most relevant
+    ones, those beyond its share are left out; ``model`` (id, score) joins the lexical score; then the best ``keep`` of at least
+    ``least`` are kept. Columns of :func:`screened`, with ``score``, ``shortlisted`` and ``kept``. Equals are taken by id.
+    """
+    rows = screened(docs, question)
+    budget = max(3 * keep, 12)
+    caps = {"primary": max(3, budget // 3), "press": max(3, budget // 2), "aggregate": 2}
+    most = F.lit(0)
+    for tier, n in caps.items():
+        most = F.when(F.col("tier") == tier, n).otherwise(most)
+    n = F.row_number().over(W.partitionBy("tier").orderBy(F.desc("relevance"), "id"))
+    short = rows.where("reason is null").withColumn("_n", n).where(F.col("_n") <= max(caps.values())).where(F.col("_n") <= most).drop("_n")
+    short = short.withColumn("score", F.lit(None).cast("double")) if model is None else short.join(model.select("id", F.col("score").cast("double").alias("score")), "id", "left")
+    short = short.withColumn("relevance", adjusted_relevance(F.col("relevance"), F.col("score"), F.col("tier")))
+    place = F.row_number().over(W.orderBy(F.desc("relevance"), "id"))  # a shortlist of at most the tiers' shares
+    short = short.withColumn("kept", (F.col("relevance") >= least) & (place <= keep)).withColumn("shortlisted", F.lit(True))
+    short = short.withColumn("reason", F.when(~F.col("kept"), F.format_string("relevance %.2f below cut", "relevance")))
+    dropped = rows.where("reason is not null").withColumns({"score": F.lit(None).cast("double"), "kept": F.lit(False), "shortlisted": F.lit(False)})
+    return short.unionByName(dropped)
+
+
+def filter_stats(docs: DataFrame, verdict: DataFrame, question: str) -> DataFrame:
+    """One row: documents retrieved, shortlisted, scored by a model, kept, and those with hidden instructions."""
+    every = screened(docs, question).agg(F.count("*").alias("retrieved"), F.count_if(F.size("flags") > 0).alias("injection_flags"))
+    chosen = verdict.agg(F.count_if("shortlisted").alias("after_deterministic"), F.count("score").alias("model_scored"), F.count_if("kept").alias("kept"))
+    return every.join(F.broadcast(chosen)).withColumn("model_used", F.col("model_scored") > 0)
+
+
 def fund_search(funds: DataFrame, query: str, limit: int = 8, stop: tuple[str, ...] = ("fund", "the", "and")) -> DataFrame:
     """Funds whose name holds every word of the query; three points where it starts the name, one else."""
     terms = [t for t in query.lower().split() if len(t) >= 3 and t not in stop]

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import factors, forecasts as fc, models, options as op, pit, portfolio, prose, questions as qs, risk
+from ..operators import factors, forecasts as fc, models, options as op, pit, portfolio, prose, questions as qs, risk, text
 from ..sources import feeds
 from .registry import BASE, forecasts, observations, prices, query, returns, rounded, table
 
@@ -234,7 +234,7 @@ def fp10_relevant(spark, sf):
 def f7_adjusted_relevance(spark, sf):
     k = F.col("doc_id")
     tier = F.when(k % 3 == 0, "primary").when(k % 3 == 1, "press").otherwise("aggregate")
-    return rounded(table(spark, sf, "documents").select("doc_id", prose.adjusted_relevance(F.col("n_chars") % 100 / 100.0, F.when(k % 4 != 0, k % 10 / 10.0), tier).alias("relevance")))
+    return rounded(table(spark, sf, "documents").select("doc_id", text.adjusted_relevance(F.col("n_chars") % 100 / 100.0, F.when(k % 4 != 0, k % 10 / 10.0), tier).alias("relevance")))
 
 
 @query("f17_extract_json", "SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN CAST(doc_id AS DOUBLE) END AS p FROM documents")

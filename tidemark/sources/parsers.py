@@ -25,12 +25,53 @@ def chart_json(raw: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
     return x.select(F.to_date(F.from_utc_timestamp(F.timestamp_seconds("x.t"), zone)).alias("date"), F.col("x.close").alias("close"))
 
 
-def nav_text(lines: DataFrame) -> DataFrame:
-    """Semicolon lines (n, value) with a header and section lines, which are carried down; N.A. is left out."""
-    rows = lines.where("value <> ''").withColumn("parts", F.split("value", ";"))
-    section = F.last(F.when(F.size("parts") == 1, F.trim("value")), ignorenulls=True).over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    out = rows.withColumn("section", section).where(F.size("parts") >= 6)
-    return out.select("section", F.col("parts")[0].alias("code"), F.col("parts")[3].alias("name"), F.col("parts")[4].try_cast("double").alias("nav"), F.expr("try_to_timestamp(parts[5], 'dd-MMM-yyyy')").cast("date").alias("date")).where("nav is not null")
+def ohlcv(raw: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
+    """Chart documents (a column ``value``) as (symbol, date, open, high, low, close, volume, adj_close), rows without a close
+    left out, dates of the exchange; adj_close is null where a document has none."""
+    quote = "array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<long>>>"
+    result = f"array<struct<meta:struct<symbol:string>,timestamp:array<long>,indicators:struct<quote:{quote},adjclose:array<struct<adjclose:array<double>>>>>>"
+    r = raw.select(F.get(F.from_json(F.get_json_object("value", "$.chart.result"), result), F.lit(0)).alias("r")).where("r is not null")
+    q = r.select(F.col("r.meta.symbol").alias("symbol"), F.col("r.timestamp").alias("t"), F.get("r.indicators.quote", F.lit(0)).alias("q"), F.get("r.indicators.adjclose", F.lit(0))["adjclose"].alias("adj"))
+    x = q.select("symbol", "q", "adj", F.posexplode("t").alias("i", "t"))
+    at = lambda c: F.get(c, F.col("i"))
+    day = F.to_date(F.from_utc_timestamp(F.timestamp_seconds("t"), zone))
+    return x.select("symbol", day.alias("date"), *[at(F.col(f"q.{c}")).alias(c) for c in ("open", "high", "low", "close", "volume")], at(F.col("adj")).alias("adj_close")).where("close is not null")
+
+
+def nav_text(lines: DataFrame, block: int = 100_000) -> DataFrame:
+    """Semicolon lines (file, n, value) of fund prices: columns are found by the file's own header, lines without semicolons
+    name the house or, with brackets, the category of those below. Prices that aren't numbers are left out.
+
+    A file without the header, or whose header lacks a needed column, is an error. Names are carried down inside blocks
+    of lines, and from block to block by one row a block, so that a long file isn't one task."""
+    heads = lines.where(F.startswith("value", F.lit("Scheme Code;"))).groupBy("file").agg(F.min_by("value", "n").alias("_head"), F.min("n").alias("_top"))
+    rows = lines.where(F.trim("value") != "").join(heads, "file", "left").withColumn("_head", F.coalesce("_head", F.raise_error(F.concat(F.lit("no header row in "), F.col("file").cast("string")))))
+    rows = rows.where("_top is null or n > _top").withColumns({"_cols": F.transform(F.split("_head", ";"), lambda c: F.lower(F.trim(c))), "_parts": F.split(F.trim("value"), ";"), "_block": F.floor(F.col("n") / block)})
+    mark = F.size("_parts") == 1
+    kind = F.trim("value").rlike(r"Schemes\(|\)$")
+    rows = rows.withColumns({"_category": F.when(mark & kind, F.trim("value")), "_house": F.when(mark & ~kind, F.trim("value"))})
+    names = ("house", "category")
+    ends = rows.groupBy("file", "_block").agg(*[F.max_by(f"_{c}", F.when(F.col(f"_{c}").isNotNull(), F.col("n"))).alias(f"_{c}") for c in names])
+    before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("file", "_block", *[F.last(f"_{c}", ignorenulls=True).over(before).alias(f"_{c}_before") for c in names])
+    inside = W.partitionBy("file", "_block").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.join(ends, ["file", "_block"]).withColumns({c: F.coalesce(F.last(f"_{c}", ignorenulls=True).over(inside), F.col(f"_{c}_before")) for c in names})
+
+    def place(*words, exact=False):
+        fits = (lambda c: c == words[0]) if exact else (lambda c: F.forall(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w)))
+        return F.array_position(F.transform("_cols", fits), True) - 1
+
+    def cell(*words):
+        i = place(*words)
+        return F.trim(F.get("_parts", F.when(i >= 0, i.cast("int")).otherwise(F.raise_error(F.concat(F.lit(f"no column {' '.join(words)} in "), F.col("_head"))))))
+
+    def optional(name):
+        i = place(name, exact=True)
+        return F.when(i >= 0, F.trim(F.get("_parts", i.cast("int"))))
+
+    full = rows.where(F.size("_parts") >= F.size("_cols"))
+    nav = cell("net asset value").try_cast("double")
+    return full.select("house", "category", cell("scheme", "code").alias("code"), cell("isin", "growth").alias("isin"), cell("scheme", "name").alias("name"), optional("plan").alias("plan"), optional("option").alias("option"), nav.alias("nav"), F.try_to_timestamp(cell("date"), F.lit("dd-MMM-yyyy")).cast("date").alias("date")).where("nav is not null")
 
 
 def feed_items(raw: DataFrame, source: str, tier: str) -> DataFrame:

@@ -27,3 +27,19 @@ def append_stream(arrivals: DataFrame, path: str, checkpoint: str):
 def windowed_counts(events: DataFrame, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Events and their sum per type in tumbling windows, late ones up to the delay."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def sliding_counts(requests: DataFrame, delay: str = "10 minutes", window: str = "1 hour", slide: str = "5 minutes", limit: int | None = None) -> DataFrame:
+    """Requests (ts, client) per client in sliding windows; with ``limit``, only windows over it."""
+    n = requests.withWatermark("ts", delay).groupBy(F.window("ts", window, slide), "client").agg(F.count("*").alias("n"))
+    return n if limit is None else n.where(F.col("n") > limit)
+
+
+def resolved_once(resolutions: DataFrame, delay: str = "7 days", key: str = "run_id") -> DataFrame:
+    """The first row of each run and member (resolved_at) of a stream of resolutions; repeats within the delay are dropped."""
+    return resolutions.withWatermark("resolved_at", delay).dropDuplicatesWithinWatermark([key, "member"])
+
+
+def ledger_stream(resolutions: DataFrame, path: str, checkpoint: str, delay: str = "7 days"):
+    """Start a query that appends each resolution once to the ledger under ``path``; a restart adds nothing twice."""
+    return resolved_once(resolutions, delay).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
