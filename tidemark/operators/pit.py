@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F, types as T
 
+from .series import scan
+
 SCHEMA = T.StructType(
     [
         T.StructField("series_id", T.StringType(), False), T.StructField("entity", T.StringType()), T.StructField("event_date", T.DateType(), False),
@@ -90,17 +92,21 @@ def missing(requested: DataFrame, available: DataFrame, key: str) -> DataFrame:
     return requested.join(available, key, "left_anti")
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str, rows_per_block: int | None = None) -> DataFrame:
     """``left`` with the last ``value`` of ``right`` at or before ``on`` for the same ``by``; null before the first.
 
-    Both sides go through one window over their union, so rows are shuffled once and nothing is paired.
+    Both sides go through one window over their union, so rows are shuffled once and nothing is paired. With
+    ``rows_per_block`` a key, such as a currency, is as many tasks as it has blocks of time.
     """
     keys = [*by, on]
     names = [c for c in left.columns if c not in keys]
     a = left.select(*keys, F.struct(*names).alias("_row"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
     b = right.select(*keys, F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
     order = W.partitionBy(*by).orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_value", F.last("_value", ignorenulls=True).over(order)).where("_side = 1")
+    if rows_per_block:
+        out = scan(a.unionByName(b), by, [on, "_side"], {"_value": ("last", F.col("_value"))}, rows_per_block=rows_per_block).where("_side = 1")
+    else:
+        out = a.unionByName(b).withColumn("_value", F.last("_value", ignorenulls=True).over(order)).where("_side = 1")
     return out.select(*keys, "_row.*", F.col("_value").alias(value))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .series import scan
+
 #: Fixed values of the buckets: beta, volatility, segment, traded value a day, duration.
 BUCKETS = {
     "large_cap": (0.95, 0.16, "large", 2e9, 0.0),
@@ -34,13 +36,18 @@ LARGE_CAPS = (
 CORRELATION, RANGE = 0.6, 1.65
 
 
-def replay(returns: DataFrame, weights: DataFrame, book: str = "book") -> DataFrame:
+def replay(returns: DataFrame, weights: DataFrame, book: str = "book", rows_per_block: int | None = None) -> DataFrame:
     """Per book of ``weights`` (book, entity, weight): total return, deepest fall, worst and best day, annual
-    volatility, days that move more than 2 % on the path of ``returns``."""
+    volatility, days that move more than 2 % on the path of ``returns``. With ``rows_per_block`` a book is as many
+    tasks as it has blocks of days."""
     day = returns.join(weights, "entity").groupBy(book, "date").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
-    path = W.partitionBy(book).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    day = day.withColumn("level", F.exp(F.sum(F.log1p("r")).over(path)))
-    day = day.withColumn("fall", F.col("level") / F.max("level").over(path) - 1)
+    if rows_per_block:
+        day = scan(day, [book], ["date"], {"level": ("product", 1 + F.col("r"))}, rows_per_block=rows_per_block)
+        day = scan(day, [book], ["date"], {"_high": ("max", F.col("level"))}, rows_per_block=rows_per_block).withColumn("fall", F.col("level") / F.col("_high") - 1)
+    else:
+        path = W.partitionBy(book).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+        day = day.withColumn("level", F.exp(F.sum(F.log1p("r")).over(path)))
+        day = day.withColumn("fall", F.col("level") / F.max("level").over(path) - 1)
     return day.groupBy(book).agg((F.max_by("level", "date") - 1).alias("total_return"), F.min("fall").alias("max_drawdown"), F.min("r").alias("worst_day"), F.max("r").alias("best_day"), (F.stddev_samp("r") * 252**0.5).alias("vol"), F.count_if(F.abs("r") > 0.02).alias("days_over_2pct"))
 
 

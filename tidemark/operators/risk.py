@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.shared import cut
 from ..functions.stats import chi2_sf1, chi2_sf2, norm_pdf, norm_ppf
+from . import series
 
 LAMBDA, DAYS = 0.94, 252
 
@@ -31,10 +33,17 @@ def stale_runs(prices: DataFrame, max_run: int = 5) -> DataFrame:
     return runs.groupBy("entity").agg(F.sum("n").alias("n_obs"), F.sum("still").alias("stale_days"), F.max("still").alias("max_run")).withColumn("suspect", F.col("max_run") > max_run)
 
 
-def adjust_for_actions(prices: DataFrame, actions: DataFrame) -> DataFrame:
-    """Prices times the ratios of the later ex-dates of the entity (entity, ex_date, ratio)."""
-    factor = prices.join(actions.withColumnRenamed("entity", "_e"), (F.col("entity") == F.col("_e")) & (F.col("date") < F.col("ex_date")), "left").groupBy("entity", "date").agg(F.max("price").alias("price"), F.product(F.coalesce("ratio", F.lit(1.0))).alias("factor"))
-    return factor.select("entity", "date", (F.col("price") * F.col("factor")).alias("price"), "factor")
+def adjust_for_actions(prices: DataFrame, actions: DataFrame, rows_per_block: int = series.ROWS_PER_BLOCK) -> DataFrame:
+    """Prices times the ratios of the later ex-dates of the entity (entity, ex_date, ratio).
+
+    One running product, from the last date back, over prices and actions together: the work is that of both
+    tables, however many actions a price has. Of several prices of a date the largest counts; null prices stay null."""
+    p = prices.groupBy("entity", "date").agg(F.max("price").alias("price")).withColumns({"_rank": F.lit(1), "_ratio": F.lit(None).cast("double")})
+    a = actions.select("entity", F.col("ex_date").cast(p.schema["date"].dataType).alias("date"), F.lit(None).cast(p.schema["price"].dataType).alias("price"), F.lit(0).alias("_rank"), F.col("ratio").cast("double").alias("_ratio")).where("date is not null and entity is not null")
+    # Backwards, a date's prices come before its own actions, which don't touch them.
+    after = series.scan(p.unionByName(a), ["entity"], ["date", "_rank"], {"factor": ("product", F.col("_ratio"))}, descending=True, rows_per_block=rows_per_block).where("_rank = 1")
+    factor = F.when(F.col("date").isNotNull(), F.coalesce("factor", F.lit(1.0))).otherwise(1.0)
+    return after.select("entity", "date", (F.col("price") * factor).alias("price"), factor.alias("factor"))
 
 
 def clean(returns: DataFrame, least: int = 30) -> DataFrame:
@@ -67,8 +76,16 @@ def dense(returns: DataFrame) -> DataFrame:
     return panel.join(live, ["entity", "date"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
 
 
-def winsorize(returns: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    bounds = returns.groupBy("entity").agg(F.percentile("r", F.array(F.lit(lo), F.lit(hi))).alias("b"))
+def _quantiles(returns: DataFrame, shares: list[float], counted: bool) -> DataFrame:
+    """(entity, b): linear quantiles of each entity, by ``percentile``, which holds an entity's values, or counted."""
+    if counted:
+        return series.quantiles(returns, ["entity"], "r", shares).withColumnRenamed("quantiles", "b")
+    return returns.groupBy("entity").agg(F.percentile("r", F.array(*[F.lit(q) for q in shares])).alias("b"))
+
+
+def winsorize(returns: DataFrame, lo: float = 0.01, hi: float = 0.99, counted: bool = False) -> DataFrame:
+    """Returns within two quantiles of their entity. ``counted`` is for entities whose values no task should hold."""
+    bounds = _quantiles(returns, [lo, hi], counted)
     return returns.join(bounds, "entity").select("entity", "date", F.when(F.col("r").isNotNull(), F.least(F.greatest("r", F.col("b")[0]), F.col("b")[1])).alias("r"))
 
 
@@ -78,7 +95,11 @@ def realised_vol(returns: DataFrame, window: int = 21) -> DataFrame:
     return returns.select("entity", "date", F.when(F.count("r").over(frame) == window, F.stddev_samp("r").over(frame) * DAYS**0.5).alias("vol"))
 
 
-def drawdown(prices: DataFrame) -> DataFrame:
+def drawdown(prices: DataFrame, rows_per_block: int | None = None) -> DataFrame:
+    """Price below its maximum so far. With ``rows_per_block`` an entity is as many tasks as it has blocks."""
+    if rows_per_block:
+        high = series.scan(prices, ["entity"], ["date"], {"_high": ("max", F.col("price"))}, rows_per_block=rows_per_block)
+        return high.select("entity", "date", (F.col("price") / F.col("_high") - 1).alias("drawdown"))
     return prices.select("entity", "date", (F.col("price") / F.max("price").over(_path().rowsBetween(W.unboundedPreceding, 0)) - 1).alias("drawdown"))
 
 
@@ -94,9 +115,10 @@ def circuit_limit_risk(returns: DataFrame, limit: float, lookback: int = 252) ->
     return recent.groupBy("entity").agg(F.count("r").alias("n_obs"), F.count_if(hit).alias("hits"), F.max(F.abs("r")).alias("max_move")).withColumn("pct", F.col("hits") / F.col("n_obs")).withColumn("flag", F.col("pct") > 0.01)
 
 
-def var_historical(returns: DataFrame, confidence: float = 0.99, horizon: int = 1) -> DataFrame:
-    """Per entity: value at risk by the linear quantile, the mean beyond it, tail size, worst."""
-    at = returns.groupBy("entity").agg(F.percentile("r", 1 - confidence).alias("q"))
+def var_historical(returns: DataFrame, confidence: float = 0.99, horizon: int = 1, counted: bool = False) -> DataFrame:
+    """Per entity: value at risk by the linear quantile, the mean beyond it, tail size, worst. ``counted`` is for
+    entities whose values no task should hold."""
+    at = _quantiles(returns, [1 - confidence], counted).select("entity", F.col("b")[0].alias("q"))
     root = horizon**0.5
     tail = F.when(F.col("r") <= F.col("q"), F.col("r"))
     return returns.join(at, "entity").groupBy("entity").agg(
@@ -256,16 +278,29 @@ def rolling_var_backtest(returns: DataFrame, window: int = 500, confidence: floa
     return out.where("var is not null").withColumn("exceeded", F.col("r") < -F.col("var"))
 
 
+def rolling_backtest(returns: DataFrame, estimator, window: int = 500, confidence: float = 0.99, step: int = 1, **arguments) -> DataFrame:
+    """``coverage_tests`` of any estimator's forecasts, each from the ``window`` returns before its date, with ``failed``, the
+    number of calls that gave none; see ``series.rolling``. An entity without a forecast has its failures only."""
+    made = cut(series.rolling(returns, estimator, window, step, confidence=confidence, **arguments))  # read four times
+    told = made.withColumnRenamed("estimate", "var").withColumn("exceeded", F.col("r") < -F.col("var"))
+    tests = coverage_tests(told.where("var is not null"), 1 - confidence, series.ROWS_PER_BLOCK)
+    return tests.join(told.groupBy("entity").agg(F.count_if(F.col("var").isNull()).alias("failed")).withColumnRenamed("entity", "_e"), F.col("entity").eqNullSafe(F.col("_e")), "right").select(F.col("_e").alias("entity"), *[c for c in tests.columns if c != "entity"], "failed")
+
+
 def kupiec_lr(n: Column, x: Column, p: float) -> Column:
     h = x / n
     full = -2 * ((n - x) * F.log(F.lit(1 - p)) + x * F.log(F.lit(p)) - (n - x) * F.log(1 - h) - x * F.log(h))
     return F.when(x == 0, -2 * n * F.log(F.lit(1 - p))).when(x == n, -2 * n * F.log(F.lit(p))).otherwise(full)
 
 
-def coverage_tests(exceptions: DataFrame, p: float = 0.01) -> DataFrame:
+def coverage_tests(exceptions: DataFrame, p: float = 0.01, rows_per_block: int | None = None) -> DataFrame:
     """Per entity: exceptions, transitions, the statistics and p-values of Kupiec, Christoffersen and both
-    together, traffic light, verdict (fixed texts)."""
-    rows = exceptions.withColumn("e", F.col("exceeded").cast("int")).withColumn("before", F.lag("e").over(_path()))
+    together, traffic light, verdict (fixed texts). With ``rows_per_block`` an entity is as many tasks as it has blocks."""
+    rows = exceptions.withColumn("e", F.col("exceeded").cast("int"))
+    if rows_per_block:
+        rows = series.scan(rows.select("entity", "date", "e"), ["entity"], ["date"], {"before": ("last", F.col("e"))}, exclusive=True, rows_per_block=rows_per_block)
+    else:
+        rows = rows.withColumn("before", F.lag("e").over(_path()))
     n = {f"n{a}{b}": F.count_if((F.col("before") == a) & (F.col("e") == b)) for a in (0, 1) for b in (0, 1)}
     t = rows.groupBy("entity").agg(F.count("*").alias("n"), F.sum("e").alias("x"), *[c.alias(k) for k, c in n.items()])
     pi01, pi11 = F.col("n01") / (F.col("n00") + F.col("n01")), F.col("n11") / (F.col("n10") + F.col("n11"))

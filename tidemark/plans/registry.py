@@ -254,12 +254,19 @@ def a11_ewma_cov(spark, sf):
     return risk.ewma_cov(returns(spark, sf)).select("i", "j", F.round("cov", 8).alias("cov"), F.round("n_eff", 4).alias("n_eff"))
 
 
-@query("a14_shrunk_cov")
+_EWMA = "SELECT i, j, mij / sw - mi * mj / sw ** 2 AS cov, sw ** 2 / sw2 AS n_eff FROM (SELECT a.entity AS i, b.entity AS j, sum(w) AS sw, sum(w * w) AS sw2, sum(w * a.r) AS mi, sum(w * b.r) AS mj, sum(w * a.r * b.r) AS mij FROM rt a JOIN rt b ON a.date = b.date JOIN (SELECT date, 0.06 * 0.94 ** (row_number() OVER (ORDER BY date DESC) - 1) AS w FROM (SELECT DISTINCT date FROM rt)) d ON d.date = a.date GROUP BY 1, 2)"
+
+
+@query("a14_shrunk_cov", f"""SELECT i, j, round(CASE WHEN i = j THEN 1 ELSE d * m + (1 - d) * corr END * vi * vj, 8) AS cov, round(d, 8) AS shrinkage FROM
+    (SELECT *, avg(corr) FILTER (i <> j) OVER () AS m, least(greatest(n / (n + max(n_eff) OVER ()), 0.05), 0.95) AS d FROM
+    (SELECT c.*, sqrt(v.cov) AS vi, sqrt(w.cov) AS vj, c.cov / sqrt(v.cov * w.cov) AS corr, (SELECT count(DISTINCT entity) FROM rt) AS n
+     FROM ({_EWMA}) c JOIN ({_EWMA}) v ON v.i = c.i AND v.j = c.i JOIN ({_EWMA}) w ON w.i = c.j AND w.j = c.j))""", "px rt")
 def a14_shrunk_cov(spark, sf):
     return rounded(risk.shrunk_cov(risk.ewma_cov(returns(spark, sf))), 8)
 
 
-@query("a18_risk_contributions")
+@query("a18_risk_contributions", """SELECT i AS entity, CAST(0.04 AS DOUBLE) AS weight, round(sw / vol, 6) AS marginal, round(0.04 * sw / vol ** 2, 6) AS share, round(vol, 6) AS vol FROM
+    (SELECT i, sw, sqrt(sum(0.04 * sw) OVER ()) AS vol FROM (SELECT i, sum(0.04 * cov) AS sw FROM (SELECT a.entity AS i, b.entity AS j, covar_samp(a.r, b.r) AS cov FROM rt a JOIN rt b ON a.date = b.date GROUP BY 1, 2) GROUP BY 1))""", "px rt")
 def a18_risk_contributions(spark, sf):
     r = returns(spark, sf)
     weights = r.select("entity").distinct().withColumn("weight", F.lit(0.04))

@@ -290,10 +290,10 @@ def a54_summarise(spark, sf):
     return qs.summarise(table(spark, sf, "customer").select(F.when(k % 4 != 0, k % 97 / 97.0).alias("p")).withColumn("survives", F.col("p") < 0.01))
 
 
-@query("a49_panels", "SELECT question, count(*) AS n, round(min(p), 6) AS least, max(y) AS y FROM fcs GROUP BY 1 HAVING count(*) >= 2", "fcs")
+@query("a49_panels", "SELECT question, count(*) AS n, round(min(p), 9) AS least, max(y) AS y FROM fcs GROUP BY 1 HAVING count(*) >= 2", "fcs")
 def a49_panels(spark, sf):
     p = qs.panels(forecasts(spark, sf))
-    return rounded(p.select("question", F.size("probabilities").cast("long").alias("n"), F.array_min("probabilities").alias("least"), "y"))
+    return rounded(p.select("question", F.size("probabilities").cast("long").alias("n"), F.array_min("probabilities").alias("least"), "y"), 9)
 
 
 @query("t5_categories", "SELECT p_type AS category, count(*) AS schemes FROM part WHERE contains(lower(p_type), 'eel') OR contains(lower(p_type), 'a') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
