@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F, types as T
 
+from ..functions.shared import exists
 from .series import scan
 
 SCHEMA = T.StructType(
@@ -128,15 +129,20 @@ def snapshot(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], p
     """Append what each source shows at ``now`` to the observations under ``path``; (source, n, error) of each.
 
     A source returns (series_id, date, value, unit); a null date is today. Each is written by itself, and one that fails, in
-    its plan or in its tasks, leaves the others alone. Rows without a value are left out."""
+    its plan or in its tasks, leaves the others alone. Rows without a value are left out. Revisions go on from those
+    stored, so a second run of a day, or a second source of a series, revises and never repeats a number."""
     rows = []
     for name, make in sources.items():
         try:
             seen = Observation()
             frame = make().where("value is not null")
             day = F.coalesce(F.col("date").cast("date"), F.lit(now.date()))
-            given = {"series_id": F.upper("series_id"), "event_date": day, "available_at": F.lit(now).cast("timestamp_ntz"), "value": F.col("value"), "unit": F.col("unit"), "source": F.lit(name), "revision": F.lit(0)}
-            out = frame.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA])
+            given = {"series_id": F.upper("series_id"), "event_date": day, "available_at": F.lit(now).cast("timestamp_ntz"), "value": F.col("value"), "unit": F.col("unit"), "source": F.lit(name)}
+            out = frame.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA if f.name != "revision"])
+            stored = spark.read.schema(SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], SCHEMA)
+            keys = ["series_id", "event_date"]
+            known = stored.select(*keys, "revision").join(out.select(*keys).distinct(), keys, "left_semi")
+            out = with_revisions(out, known, ["value", "unit"]).select(*SCHEMA.fieldNames())
             out.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)
             rows.append((name, seen.get["n"], None))
         except Exception as failed:  # a feed that is down is a row of the report
