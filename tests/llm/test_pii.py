@@ -84,3 +84,30 @@ def test_sanitise_clashing_names(spark):
     got = P.sanitise(frame)
     assert got.columns == ["doc_id", "text", "spans", "sanitised"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, "mail a@b.org now", "x", "mail [EMAIL] now"), (None, None, "x", None), (2, "", None, "")], key=str)
+
+
+def test_work_grows_with_the_length_of_a_text(spark):
+    """Many equal values in one text: their terms and what replaces them are found in time, and rightly."""
+    import time
+
+    n = 20_000
+    rows = [(i, "Ada Quibble same@mail.example and then some. " * n) for i in range(4)] + [(9, "no value here"), (10, "quibble")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    clean = {r.doc_id: r.sanitised for r in P.sanitise(docs).collect()}
+    assert time.time() - began < 150  # a quadratic form takes many times that
+    assert clean[0].count("[EMAIL]") == n and "same@" not in clean[0] and clean[9] == "no value here"
+
+
+def test_replacing_overlapping_spans_by_hand(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 3, 255, 257, 700):
+        text = "".join(rng.choice("aé😀 ") for _ in range(n * 5 + 7))
+        spans = sorted((s, rng.choice(["email", "ip", "term", "removed"]), min(len(text), s + rng.randint(1, 9))) for s in (rng.randrange(len(text)) for _ in range(n)))
+        at, out = 0, ""
+        for s, k, e in spans:
+            if s >= at:
+                out += text[at:s] + ("" if k == "removed" else f"[{k.upper()}]")
+            at = max(at, e)
+        frame = spark.createDataFrame([(text, [(k, s, e) for s, k, e in spans])], "text string, spans array<struct<kind:string,start:int,end:int>>")
+        assert frame.select(P.F.array_join(P._replaced("text", "spans"), "")).first()[0] == out + text[at:]

@@ -131,11 +131,10 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
     # Document counts of all terms are summed before anything is joined; few of them go on.
     counts = docs.select(F.explode(F.array_distinct(terms_of(text))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     counts = cut(counts.where(F.col("with_term").between(MIN_SUPPORT, most / MIN_SHARE)), "pii-term-counts")
-    holders = base.where(F.size("found") > 0).select("text_hash", key, F.sort_array(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("found"))
-    holders = holders.join(values.select("at").distinct(), "at", "left_semi").dropDuplicates(["at"]).withColumnRenamed("at", "a")
+    holders = values.select(F.col("at").alias("a")).distinct()
     rows = docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("text_hash", F.xxhash64("text")).select(key, "text")
-    rows = rows.join(holders, F.col("at") == F.col("a")).dropDuplicates(["at"])
-    terms = rows.select("at", F.explode(F.array_distinct(_candidates(_outside(F.col("text"), F.col("found"))))).alias("term")).join(counts, "term")
+    rows = rows.join(holders, F.col("at") == F.col("a"), "left_semi").dropDuplicates(["at"])
+    terms = _outside(rows).select("at", F.explode(F.array_distinct(_candidates(F.col("text")))).alias("term")).join(counts, "term")
     pairs = terms.join(values, "at").where(F.col("with_term") <= F.col("with_value") / MIN_SHARE)
     pairs = pairs.groupBy("value", "term").agg(F.count("*").alias("both"), F.first("with_value").alias("with_value"), F.first("with_term").alias("with_term")).where(F.col("both") >= MIN_SUPPORT)
     share = F.least(F.col("both") / F.col("with_term"), F.lit(1.0))
@@ -143,16 +142,24 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
     return scored.where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)).groupBy("term").agg(F.max("bits").alias("bits"))
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text without spans, which are in order and may overlap."""
+def _without(kind: str):
+    """A piece of text and the match after it, if any, as a blank where it is a value."""
+    return lambda piece, match: F.when(match.isNull(), piece).otherwise(F.concat(piece, F.when(_passes(kind, match), " ").otherwise(match)))
 
-    def step(acc, s):
-        gap = F.struct(acc["at"].alias("start"), s["start"].alias("end"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["gaps"], F.array(gap))).otherwise(acc["gaps"]).alias("gaps"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("gaps"))
-    gaps = F.aggregate(spans, start, step, lambda acc: F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("start"), F.length(text).alias("end")))))
-    return F.array_join(F.transform(gaps, lambda g: F.substr(text, g["start"] + 1, g["end"] - g["start"])), " ")
+def _outside(rows: DataFrame) -> DataFrame:
+    """``rows`` (at, text) with a blank in place of each protected value.
+
+    Kind by kind a text is split at the matches and joined again, so the work grows with its length, however many
+    values it has; a match that fails its check goes back.
+    """
+    none = F.array().cast("array<string>")
+    for kind in KINDS:
+        hint = F.col("text").rlike(HINTS[kind])
+        rows = held(rows, m=F.when(hint, F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none), p=F.when(hint, F.split("text", PATTERNS[kind])).otherwise(F.array("text")))
+
+        rows = held(rows.select("at", "p", "m"), text=F.array_join(F.zip_with("p", "m", _without(kind)), "")).select("at", "text")
+    return rows
 
 
 def _term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -205,6 +212,39 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select(F.col("doc").alias(id_col), "text_hash", ordered.alias("spans"))
 
 
+def _replaced(text: str, spans: str) -> Column:
+    """The pieces of a text with its spans replaced, in order; spans are in order and the first of overlapping ones counts.
+
+    Chunk by chunk: each begins where the spans before it have ended, and takes its own part of the text once. So
+    arrays that grow, and the texts that pieces are cut from, are those of a chunk.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / CHUNK).cast("int")), lambda i: F.slice(spans, i * CHUNK + 1, F.lit(CHUNK)))
+    begun = F.aggregate(
+        chunks,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda acc, c: F.struct(F.greatest(acc["at"], F.array_max(F.transform(c, lambda s: s["end"]))).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+        lambda acc: acc["starts"],
+    )
+
+    def mark(s):
+        return F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+    def with_text(chunk, at):
+        last = F.array_max(F.transform(chunk, lambda s: s["end"]))
+        return F.struct(chunk.alias("spans"), at.alias("at"), F.substr(text, at + 1, F.greatest(last - at, F.lit(0))).alias("own"))
+
+    def placed(x):  # of elements that are there: an expression would be made again for each span
+        def step(acc, s):
+            piece = F.concat(F.substr(x["own"], acc["at"] - x["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), mark(s))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(x["spans"], F.struct(x["at"].alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
+
+    done = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+    many = F.flatten(F.transform(F.zip_with(chunks, begun, with_text), placed))
+    return F.concat(F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, many).otherwise(F.array().cast("array<string>")), F.array(F.substr(text, done + 1)))
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``sanitised``: protected values as [EMAIL], [IP], [CARD] or [PHONE], disclosing terms as
     [TERM], or as nothing above ``REMOVE_BITS``. Of overlapping spans the first counts.
@@ -218,12 +258,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(row, F.col(id_col).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"), F.col(text_col).isNull().alias("none"))
     rows = rows.join(found, F.col("i").eqNullSafe(F.col("d")) & (F.col("t") == F.col("h")), "left")
 
-    def step(acc, s):
-        fits = s["start"] >= acc["at"]
-        now = F.concat(acc["out"], F.substr("text", acc["at"] + 1, s["start"] - acc["at"]), F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fits, now).otherwise(acc["out"]).alias("out"))
-
-    new = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
+    rows = held(rows, parts=_replaced("text", "spans"))
+    new = F.array_join("parts", "")
     own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "sanitised"]
     return rows.select(*own, F.when(~F.col("none"), new).alias("sanitised"))
 
