@@ -49,6 +49,18 @@ def sanitise(text: Column, patterns: tuple[tuple[str, str], ...] = INJECTION) ->
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\[E\d{1,3}\]", "[ref]"), r"\s+", " "))
 
 
+#: Fixed value: the label of a text that names evidence as the packet numbers it.
+FABRICATED = "fabricated evidence id"
+
+
+def hidden(text: Column) -> Column:
+    """What ``detect`` finds, and whether evidence references stand in what is left: such text would pass for cited."""
+    left = text
+    for p, _ in INJECTION:
+        left = F.regexp_replace(left, "(?im)" + p, "[removed]")
+    return F.concat(detect(text), F.when(left.rlike(r"\[E\d{1,3}\]"), F.array(F.lit(FABRICATED))).otherwise(F.array().cast("array<string>")))
+
+
 def strip_tags(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags out, the common entities read."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
@@ -101,10 +113,10 @@ def screened(docs: DataFrame, question: str) -> DataFrame:
     the ``reason`` to drop a document at once, else null. Null texts are empty ones."""
     t, s = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))
     terms = sorted(set(re.findall(r"[a-z]{4,}", question.lower())))
-    out = docs.withColumns({"flags": F.array_sort(F.array_union(detect(t), detect(s))), "reason": noise_reason(t, s), "title": sanitise(t), "summary": sanitise(s)})
+    out = docs.withColumns({"flags": F.array_sort(F.array_union(hidden(t), hidden(s))), "reason": noise_reason(t, s), "title": sanitise(t), "summary": sanitise(s)})
     out = out.withColumns({"flags": F.when(F.col("reason").isNull(), F.col("flags")).otherwise(F.array().cast("array<string>")), "relevance": relevance(F.concat_ws(" ", "title", "summary"), terms, list(TOPIC_TERMS), F.col("age_hours"), F.col("tier"))})
-    hidden = (F.size("flags") > 0) & (F.col("tier") == "primary")
-    return out.withColumn("reason", F.coalesce("reason", F.when(hidden, F.lit("instruction-shaped text in a primary feed"))))
+    trapped = (F.size("flags") > 0) & (F.col("tier") == "primary")
+    return out.withColumn("reason", F.coalesce("reason", F.when(trapped, F.lit("instruction-shaped text in a primary feed"))))
 
 
 def filter_documents(docs: DataFrame, question: str, keep: int = 5, least: float = 0.30, model: DataFrame | None = None) -> DataFrame:
@@ -138,31 +150,86 @@ def filter_stats(docs: DataFrame, verdict: DataFrame, question: str) -> DataFram
     return every.join(F.broadcast(chosen)).withColumn("model_used", F.col("model_scored") > 0)
 
 
-def fund_search(funds: DataFrame, query: str, limit: int = 8, stop: tuple[str, ...] = ("fund", "the", "and")) -> DataFrame:
-    """Funds whose name holds every word of the query; three points where it starts the name, one else."""
-    terms = [t for t in query.lower().split() if len(t) >= 3 and t not in stop]
-    name = F.lower("name")
-    out = funds
+#: Words of a fund's name that say nothing.
+FUND_STOP = ("fund", "mutual", "scheme", "plan", "the")
+
+
+def fund_search(funds: DataFrame, query: str, limit: int = 8, stop: tuple[str, ...] = FUND_STOP, prefer_direct_growth: bool = True) -> DataFrame:
+    """The ``limit`` best funds (name and, where there are, amc, plan, option, category) that hold every word of the query in
+    name or house; equals by name, then by the other columns.
+
+    Three points where a word starts the name, one where it stands in it, two for a direct plan and one for growth. With a
+    column ``category``, ``peers`` counts the funds of the best one's category. A query without words finds nothing.
+    """
+    terms = [t for t in re.findall(r"[a-z0-9]{3,}", query.lower()) if t not in stop]
+    has = lambda c: F.lower(F.coalesce(c, F.lit(""))) if c in funds.columns else F.lit("")
+    name, house, out = has("name"), has("amc"), funds if terms else funds.limit(0)
     for t in terms:
-        out = out.where(F.contains(name, F.lit(t)))
-    score = sum((F.when(F.startswith(name, F.lit(t)), 3).otherwise(1) for t in terms), F.lit(0))
-    return out.withColumn("score", score).orderBy(F.desc("score"), "name").limit(limit)
+        out = out.where(F.contains(name, F.lit(t)) | F.contains(house, F.lit(t)))
+    score = sum((F.when(F.startswith(name, F.lit(t)), 3).when(F.contains(name, F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
+    if prefer_direct_growth:
+        score = score + F.when(F.contains(has("plan"), F.lit("direct")), 2).otherwise(0) + F.when(F.contains(has("option"), F.lit("growth")), 1).otherwise(0)
+    order = [F.desc("score"), "name", *[c for c in funds.columns if c != "name"]]
+    best = out.withColumn("score", score.cast("int")).orderBy(*order).limit(limit)
+    if "category" not in funds.columns:
+        return best
+    first = best.orderBy(*order).limit(1).select("category")
+    peers = funds.join(F.broadcast(first), "category", "left_semi").agg(F.count("*").alias("peers"))  # one row
+    return best.join(F.broadcast(peers))
 
 
-def question_kind(text: Column) -> Column:
-    """The first kind whose words the question holds."""
-    kinds = {"goal": "goal|target|save for|retire", "portfolio": "portfolio|holding", "fund": "fund|nav", "projection": "project|grow|sip", "risk": "risk|var|drawdown"}
-    out = None
-    for k, p in kinds.items():
-        hit = text.rlike(rf"(?i)\b({p})")
-        out = F.when(hit, k) if out is None else out.when(hit, k)
-    return out.otherwise("council")
+#: How a holding is written, its units, words left out of its name.
+HOLDING = r"(?i)(?:rs\.?|inr|₹)?\s*([\d,]+(?:\.\d+)?)\s*(lakhs?|lacs?|crores?|cr|k|thousand|l)?\s*(?:rupees?\s*)?(?:worth\s*)?(?:of\s*|in\s*|into\s*)\s*([a-z0-9&.\- ]{2,40}?)(?=\s*(?:,|and\b|;|\.|$))"
+HOLDING_UNITS = {"lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "l": 1e5, "crore": 1e7, "crores": 1e7, "cr": 1e7, "k": 1e3, "thousand": 1e3}
+HOLDING_FILLERS = r"(?i)\b(worth|of|in|into|the|my|some)\b"
+
+
+def holdings_of(text: Column) -> Column:
+    """The (name, value) of each holding that a text names, in order: an amount of 100 or more with its unit, then of, in or into
+    a name of two characters or more. A null text has none."""
+    amounts, units, names = (F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(HOLDING), F.lit(i)) for i in (1, 2, 3))
+    times = F.create_map(*[F.lit(x) for kv in HOLDING_UNITS.items() for x in kv])
+    # Each run of letters begins with a capital.
+    title = lambda name: F.array_join(F.transform(F.regexp_extract_all(name, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0)), F.initcap), "")
+
+    def holding(x):
+        value = F.replace(x["amount"], F.lit(","), F.lit("")).try_cast("double") * F.coalesce(F.try_element_at(times, F.lower(x["unit"])), F.lit(1.0))
+        return F.struct(title(F.trim(F.regexp_replace(F.trim(x["name"]), HOLDING_FILLERS, ""))).alias("name"), value.alias("value"))
+
+    found = F.transform(F.arrays_zip(amounts.alias("amount"), units.alias("unit"), names.alias("name")), holding)
+    return F.filter(found, lambda h: (h["value"] >= 100) & (F.length(h["name"]) >= 2))
 
 
 def parse_holdings(frame: DataFrame, text: str = "text") -> DataFrame:
-    """'8 lakh in Name, 5 crore in Other' as (name, value) rows."""
-    p = r"(?i)(\d+(?:\.\d+)?)\s*(lakh|lac|crore|cr|k)?\s+in\s+([A-Za-z][A-Za-z .&-]*?)(?=,|\s+and\s|$)"
-    parts = F.arrays_zip(*[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(i)).alias(n) for i, n in ((1, "amount"), (2, "unit"), (3, "name"))])
-    unit = F.lower("x.unit")
-    times = F.when(unit.isin("lakh", "lac"), 1e5).when(unit.isin("crore", "cr"), 1e7).when(unit == "k", 1e3).otherwise(1.0)
-    return frame.select(*[c for c in frame.columns if c != text], F.explode(parts).alias("x")).select("*", F.initcap(F.trim("x.name")).alias("name"), (F.col("x.amount").cast("double") * times).alias("value")).drop("x").where("value >= 100")
+    """Rows of ``frame`` without ``text``, one for each holding that it names: name, value, bucket, and whether that is a guess."""
+    from .portfolio import bucket_guessed, bucket_of
+
+    rows = frame.select(*[c for c in frame.columns if c != text], F.explode(holdings_of(F.col(text))).alias("_h"))
+    return rows.select(*[c for c in frame.columns if c != text], "_h.name", "_h.value").withColumns({"bucket": bucket_of(F.col("name")), "guessed": bucket_guessed(F.col("name"))})
+
+
+#: What tells the kinds of questions apart.
+GOAL = r"(?i)\b(i (?:want|need)|goal|target|retire|save up|accumulate|reach)\b.{0,60}(?:in|within|by|over)\s*[\d.]+\s*(?:year|yr)"
+PORTFOLIO = r"(?i)\b(my portfolio|i (?:have|hold|own)|holdings?|i'?m invested|invested in)\b"
+FUND = r"(?i)\b(fund|nav|amc|sip in|scheme)\b"
+FUND_ASKED = r"(?i)\b(nav|which fund|find.*fund|search.*fund|fund called|my fund|about .{2,40} fund)\b"
+FORECAST = r"(?i)\b(will|would|probability|odds|chance|likely|forecast|expect|predict|by (?:next|the end)|before)\b"
+PROJECT = r"(?i)\b(invest|investing|investment|sip|lump\s?sum|lumpsum|put in|grow to|worth in|returns? on|corpus|maturity)\b"
+RISK = r"(?i)\b(var\b|value at risk|stress|scenario|drawdown|volatility|tail risk|expected shortfall)\b"
+DATA = (
+    r"(?i)\b(repo rate|crr\b|slr\b|bank rate|reverse repo|usdinr|usd/inr|rupee|vix|nifty|sensex|bank nifty|fii|dii|put.?call|pcr|option chain|"
+    r"nav|mutual fund|gold|silver|brent|crude|wti|copper|wheat|s&p|sp500|nasdaq|dow|vix|dollar|treasury|fed funds)\b"
+)
+
+
+def question_kind(text: Column) -> Column:
+    """What a question is about: goal, portfolio, fund, projection, risk, data or council. A goal names the sum to reach, a projection the
+    sum put in; a question about an event is the council's though it has a sum and a horizon. Null is council's."""
+    from .prose import goal_of, projection_of
+
+    says = lambda p: F.coalesce(text.rlike(p), F.lit(False))
+    projection, event = projection_of(text).isNotNull(), says(FORECAST)
+    return (
+        F.when(says(GOAL) & goal_of(text).isNotNull(), "goal").when(says(PORTFOLIO) & (F.size(holdings_of(text)) > 0), "portfolio").when(says(FUND) & ~event & says(FUND_ASKED), "fund")
+        .when(projection & (~event | says(PROJECT)), "projection").when(says(RISK), "risk").when(event, "council").when(says(DATA), "data").otherwise("council")
+    )

@@ -55,9 +55,14 @@ def labelled_rates(pages: DataFrame, labels: dict[str, str], key: str = "page_id
     return rows.where("series is not null and value is not null").groupBy(key, "series").agg(F.min_by("value", "at").alias("value"))
 
 
+#: Documents beside the runs that aren't runs.
+NOT_RUNS = ("resolutions.json", "tuning.json")
+
+
 def run_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document a file; files that can't be read are left out."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json").json(path)
+    """One JSON document a file, but for those that aren't runs; files that can't be read are left out."""
+    docs = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json").json(path)
+    return docs.where(~F.col("_metadata.file_name").isin(*NOT_RUNS))
 
 
 def parsed_time(text: Column, zone: str = "Asia/Kolkata") -> Column:
