@@ -1,14 +1,17 @@
 """Verdicts, experiments, standings, speech and projections against literal answers and loops."""
 
+import datetime as dt
+import glob
 import json
 import math
+import os
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import beta_cdf
-from tidemark.operators import projections as pj, text as tx, verdicts as vd
+from tidemark.operators import ledger, learning as ln, projections as pj, risk, text as tx, verdicts as vd
 from tidemark.sources import feeds
 
 TOLD = "question string, member string, parse_ok boolean, probability double, distribution map<string,double>, quantile_values map<string,double>, citations array<string>"
@@ -158,3 +161,81 @@ def test_projection_and_taxes_by_hand(spark):
     for bad in (lambda: pj.project(frame, 0.0), lambda: pj.project(frame, 1.0, "weekly"), lambda: pj.plan_goal(frame, 0.0)):
         with pytest.raises(ValueError):
             bad()
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Mon, 01 Jul 2024 10:00:00 +0530", (2024, 7, 1, 4, 30)), ("Mon, 01 Jul 2024 10:00:00", (2024, 7, 1, 4, 30)), ("24 Sep, 2024 +0530", (2024, 9, 23, 18, 30)), ("24 Sep 2024 +0000", (2024, 9, 24, 0, 0)), ("24 Sep, 2024", (2024, 9, 23, 18, 30)),
+    ("Mon, 1 Jul 2024", (2024, 6, 30, 18, 30)), ("2024-07-01T10:00:00+02:00", (2024, 7, 1, 8, 0)), ("2024-07-01T10:00:00+0200", (2024, 7, 1, 8, 0)), ("2024-07-01T10:00:00Z", (2024, 7, 1, 10, 0)), ("2024-07-01 10:00:00", (2024, 7, 1, 4, 30)),
+    ("2024-07-01", (2024, 6, 30, 18, 30)), ("yesterday", None), ("", None), (None, None),
+])
+def test_dates_of_every_format(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(feeds.parsed_time(F.col("t")).cast("timestamp_ntz")).first()[0]
+    assert got == (want and dt.datetime(*want))
+
+
+def test_replies_without_a_timeline(spark):
+    docs = ["Please Limit requests to one every 5 seconds", "<html>", '{"timeline": []}', "{}", None, '{"timeline":[{"data":[{"date":"20240701T000000Z","value":1.5}]}]}']
+    raw = spark.createDataFrame([(d,) for d in docs], "value string")
+    assert [r[0] for r in raw.select(feeds.tone_problem(F.col("value"))).collect()] == ["rate limit hit", "not JSON", "empty timeline", "empty timeline", "not JSON", None]
+    assert [tuple(r) for r in feeds.tone_timeline(raw).collect()] == [(dt.date(2024, 7, 1), 1.5)]
+    with pytest.raises(Exception, match="no timeline"):
+        feeds.tone_timeline(raw, strict=True).collect()
+
+
+def test_catalogue(spark):
+    rows = [(0, "a", "working", "x", None, True, ["s", "t"], ["bond"]), (1, "b", "planned", "y", dt.date(2024, 1, 1), None, ["t"], ["bond", "fx"]), (2, "c", "fragile", "x", dt.date(2024, 1, 1), False, [], None)]
+    sources = spark.createDataFrame(rows, "position int, source string, status string, domain string, last_verified date, needs_key boolean, series array<string>, asset_classes array<string>")
+    one = ledger.catalogue_summary(sources).first().asDict()
+    assert one == {"sources": 3, "working": 1, "fragile": 1, "blocked": 0, "planned": 1, "verified": 2, "domains": 2, "need_key": 1, "series": 2}
+    assert {r.domain: r.series for r in ledger.catalogue_summary(sources, ["domain"]).collect()} == {"x": 2, "y": 1} and ledger.catalogue_summary(sources.limit(0)).first().sources == 0
+    assert [r.source for r in ledger.catalogue_where(sources, domain="x").collect()] == ["a", "c"] and [r.source for r in ledger.catalogue_where(sources, status="planned", asset_class="fx").collect()] == ["b"]
+
+
+def test_market_duel_needs_rows_and_a_margin(spark):
+    duel = lambda n, p, m: ledger.market_duel(spark.createDataFrame([(p, m, 1)] * n + [(1 - p, 1 - m, 0)] * n, "p double, m double, y int")).collect()
+    assert duel(0, 0.5, 0.5) == [] and duel(9, 0.9, 0.5)[0].verdict == "inconclusive" and duel(10, 0.9, 0.5)[0].verdict == "ahead of the market" and duel(10, 0.5, 0.9)[0].verdict == "behind the market"
+    r = duel(20, 0.8, 0.8)[0]
+    assert r.verdict.startswith("indistinguishable") and r.forecast_log == pytest.approx(-math.log(0.8)) and r.mean_gap == pytest.approx(0)
+
+
+def test_trailing_growth_counts_steps(spark):
+    month = lambda i: dt.date(2010 + i // 12, i % 12 + 1, 5)
+    rows = [("long", month(i), 100 * 1.01**i) for i in range(25)] + [("short", month(i), 1.0 + i) for i in range(24)]
+    got = {r.entity: r.growth for r in ln.trailing_growth(spark.createDataFrame(rows, "entity string, date date, price double"), 2).collect()}
+    assert got["long"] == pytest.approx(1.01 ** (23 / 2) - 1) and got["short"] == 0.055
+
+
+def test_entities_without_a_weight_have_no_share(spark):
+    cov = spark.createDataFrame([(i, j, 0.04 if i == j else 0.01) for i in "abc" for j in "abc"], "i string, j string, cov double")
+    got = {r.entity: r for r in risk.risk_contributions(cov, spark.createDataFrame([("a", 0.5), ("b", 0.5)], "entity string, weight double")).collect()}
+    assert got["c"].weight == 0 and got["c"].share == 0 and got["a"].share == pytest.approx(0.5) and got["a"].vol == pytest.approx(math.sqrt(0.025))
+
+
+def test_any_resolver(spark):
+    rows = [(1, 5.0, None), (2, None, "x"), (3, 1.0, "y"), (None, 2.0, None)]
+
+    def resolver(q):
+        if q["level"] is None:
+            raise LookupError("no level")
+        return None if q["name"] is None and q["id"] else q["level"] > 1
+
+    got = sorted(map(tuple, ledger.resolved_by(spark.createDataFrame(rows, "id long, level double, name string"), resolver, "id").collect()), key=str)
+    assert got == sorted([(1, None, "not resolvable yet"), (2, None, "LookupError: no level"), (3, False, None), (None, True, None)], key=str)
+
+
+def test_upserts_touch_only_their_buckets(spark, tmp_path):
+    path, schema = str(tmp_path / "runs"), "run_id string, started_at int, status string, detail string"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    assert ledger.stored(spark, path, schema).count() == 0
+    ledger.log_run(frame([(f"r{i}", 1, "ok", "d" * 3000) for i in range(300)] + [(None, 1, "ok", None)]), path)
+    files = lambda: set(glob.glob(f"{path}/bucket=*/*.parquet"))
+    before = files()
+    new = [("r1", 2, "again", "x"), ("r2", 0, "older", "x"), ("r3", 1, "same time", "x"), ("new", 1, "ok", "x"), (None, 5, "null", "x")]
+    ledger.log_run(frame(new), path)
+    got = {r.run_id: (r.started_at, r.status) for r in ledger.stored(spark, path, schema).collect()}
+    assert len(got) == 302 and got["r1"] == (2, "again") and got["r2"] == (1, "ok") and got["r3"] == (1, "same time") and got[None] == (5, "null") and got["r7"] == (1, "ok")
+    kept = {os.path.dirname(f) for f in before & files()}
+    assert len(kept) >= len({os.path.dirname(f) for f in before}) - 5
+    ledger.log_run(frame(new), path)
+    assert {r.run_id: (r.started_at, r.status) for r in ledger.stored(spark, path, schema).collect()} == got and max(len(r.detail or "") for r in ledger.stored(spark, path, schema).collect()) == 2000
+    ledger.log_run(frame([]), path)

@@ -84,6 +84,16 @@ def month_end(prices: DataFrame) -> DataFrame:
     return m.withColumn("r", F.col("price") / F.lag("price").over(W.partitionBy("entity").orderBy("month")) - 1)
 
 
+def trailing_growth(prices: DataFrame, years: int = 10, default: float = 0.055) -> DataFrame:
+    """(entity, n_months, growth): an index's yearly growth over its last ``years`` x 12 month ends, which are one step fewer;
+    ``default`` where there are no more than that."""
+    steps = years * 12
+    m = month_end(prices).where("price is not null").withColumn("_n", F.row_number().over(W.partitionBy("entity").orderBy(F.desc("month"))))
+    at = lambda k: F.max(F.when(F.col("_n") == k, F.col("price")))
+    g = m.groupBy("entity").agg(F.count("*").alias("n_months"), at(1).alias("_last"), at(steps).alias("_first"))
+    return g.select("entity", "n_months", F.when(F.col("n_months") > steps, F.pow(F.col("_last") / F.col("_first"), F.lit(1 / years)) - 1).otherwise(default).alias("growth"))
+
+
 def block_bootstrap(returns: DataFrame, n_sims: int, n_months: int, block: int = 12, seed: int = 7) -> DataFrame:
     """(sim, month, r): chained blocks of the ordered ``returns`` (i, r), starts drawn by a hash.
 

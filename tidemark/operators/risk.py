@@ -184,9 +184,11 @@ def shrunk_cov(cov: DataFrame) -> DataFrame:
 
 
 def risk_contributions(cov: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per entity: weight, marginal contribution, share of the portfolio's volatility (they add up to 1)."""
+    """Per entity: weight, marginal contribution, share of the portfolio's volatility (they add up to 1). Entities
+    without a weight have 0."""
     w = lambda k: weights.select(F.col("entity").alias(k), F.col("weight").alias(f"w{k}"))
-    m = cov.join(w("i"), "i").join(w("j"), "j").groupBy("i").agg(F.max("wi").alias("weight"), F.sum(F.col("wj") * F.col("cov")).alias("sw"))
+    none = F.lit(0.0)
+    m = cov.join(w("i"), "i", "left").join(w("j"), "j", "left").groupBy("i").agg(F.coalesce(F.max("wi"), none).alias("weight"), F.sum(F.coalesce("wj", none) * F.col("cov")).alias("sw"))
     total = m.agg(F.sqrt(F.sum(F.col("weight") * F.col("sw"))).alias("vol"))
     return m.join(F.broadcast(total)).select(F.col("i").alias("entity"), "weight", (F.col("sw") / F.col("vol")).alias("marginal"), (F.col("weight") * F.col("sw") / F.col("vol") ** 2).alias("share"), "vol")
 

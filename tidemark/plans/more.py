@@ -83,11 +83,21 @@ def ll1_resolve_due(spark, sf):
     return out.select("question_id", "member", "p", "y", F.round("brier", 8).alias("brier"))
 
 
-@query("ll3_validate")
+@query("ll3_validate", """
+    WITH c AS (SELECT entity AS candidate, date, r AS x, avg(r) OVER (PARTITION BY date) AS y FROM rt), k AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY date) AS i, count(*) OVER (PARTITION BY candidate) AS n FROM c),
+    p AS (SELECT *, CASE WHEN i <= floor(n * CAST(0.6 AS DOUBLE)) THEN 'train' WHEN i > floor(n * CAST(0.6 AS DOUBLE)) + 3 THEN 'test' END AS part FROM k),
+    g AS (SELECT candidate, part, rank() OVER (PARTITION BY candidate, part ORDER BY x) + (count(*) OVER (PARTITION BY candidate, part, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY candidate, part ORDER BY y) + (count(*) OVER (PARTITION BY candidate, part, y) - 1) / 2 AS ry FROM p WHERE part IS NOT NULL),
+    s AS (SELECT candidate, max(rho) FILTER (part = 'train') AS rho_train, max(n) FILTER (part = 'train') AS n_train, max(rho) FILTER (part = 'test') AS rho_test, max(n) FILTER (part = 'test') AS n_test FROM (SELECT candidate, part, corr(rx, ry) AS rho, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1),
+    t AS (SELECT *, CAST(n_test - 2 AS DOUBLE) AS df, rho_test * sqrt((n_test - 2) / greatest(1 - rho_test ** 2, 1e-12)) AS t FROM s WHERE n_test >= 20 AND n_train + n_test >= 40),
+    q AS (SELECT *, 1 - 2 * abs(t) / 6000 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * (1 + (t * k / 2000) ** 2 / df) ** (-(df + 1) / 2))) AS p FROM t),
+    r AS (SELECT *, row_number() OVER (ORDER BY p, candidate) AS rank, count(*) OVER () AS m FROM q),
+    a AS (SELECT *, least(min(p * m / rank) OVER (ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS adjusted FROM r)
+    SELECT candidate, round(rho_train, 6) AS rho_train, n_train, round(rho_test, 6) AS rho_test, n_test, round(p, 6) AS p, round(adjusted, 6) AS adjusted, adjusted <= 0.1 AND sign(rho_train) = sign(rho_test) AS survives, sign(rho_train) = sign(rho_test) AS sign_consistent FROM a""", "px rt")
 def ll3_validate(spark, sf):
     r = returns(spark, sf)
     target = r.groupBy("date").agg(F.avg("r").alias("y"))
-    return rounded(ledger.validate(r.select(F.col("entity").alias("candidate"), "date", F.col("r").alias("x")).join(target, "date")))
+    out = rounded(ledger.validate(r.select(F.col("entity").alias("candidate"), "date", F.col("r").alias("x")).join(target, "date")))
+    return out.drop("rank")
 
 
 @query("f12_buckets", """

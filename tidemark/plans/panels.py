@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import arm
-from ..operators import learning as ln, projections as pj, text as tx, verdicts as vd
+from ..operators import ledger, learning as ln, projections as pj, text as tx, verdicts as vd
+from ..sources import feeds
 from .registry import BASE, forecasts, prices, query, rounded, table
 
 BASE["ok"] = "ok AS (SELECT * FROM fcs WHERE NOT (question % 5 = 0 AND member < 'd'))"
@@ -166,3 +167,71 @@ def m3_goal_history(spark, sf):
     enough = h.join(h.groupBy("asset").count().where("count >= 60"), "asset", "left_semi")
     out = pj.plan_goal(pj.history_paths(enough, SIMS, MONTHS), 1e6)
     return out.select("asset", *[F.round(c, 4).alias(c) for c in ("monthly_50", "monthly_80")], F.round("lump_50", 3).alias("lump_50"), F.round("p_reach", 1).alias("p_reach"), F.round("contributed", 3).alias("contributed"), F.round("target_today", 4).alias("target_today"))
+
+
+_STAMPS = {0: ("EEE, d MMM yyyy HH:mm:ss '+0530'", "INTERVAL 330 MINUTE"), 1: ("EEE, d MMM yyyy HH:mm:ss", "INTERVAL 330 MINUTE"), 2: ("d MMM, yyyy '+0530'", "INTERVAL 330 MINUTE"), 3: ("d MMM, yyyy", "INTERVAL 330 MINUTE"), 4: ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", "INTERVAL 120 MINUTE"), 5: ("yyyy-MM-dd'T'HH:mm:ss'Z'", "INTERVAL 0 MINUTE"), 6: ("'on' yyyy", None)}
+
+
+@query("f8_every_format", f"SELECT o_orderkey, CASE o_orderkey % 7 {' '.join(f'WHEN {k} THEN CAST(o_orderdate AS TIMESTAMP) - {zone}' for k, (_, zone) in _STAMPS.items() if zone)} END AS published FROM orders")
+def f8_every_format(spark, sf):
+    written = F.lit(None)
+    for k, (pattern, _) in _STAMPS.items():
+        written = F.when(F.col("o_orderkey") % 7 == k, F.date_format("o_orderdate", pattern)).otherwise(written)
+    return table(spark, sf, "orders").select("o_orderkey", feeds.parsed_time(written).cast("timestamp_ntz").alias("published"))
+
+
+BASE["src"] = """src AS (SELECT s_suppkey AS position, s_name AS source, CASE s_suppkey % 4 WHEN 0 THEN 'working' WHEN 1 THEN 'fragile' WHEN 2 THEN 'blocked' ELSE 'planned' END AS status, 'd' || s_nationkey % 5 AS domain, CASE WHEN s_suppkey % 3 = 0 THEN DATE '2024-07-01' END AS last_verified, s_suppkey % 6 = 0 AS needs_key,
+    ['S' || s_nationkey, 'T' || s_suppkey % 10] AS series, CASE WHEN s_suppkey % 4 < 2 THEN ['equity', 'bond'] ELSE ['fx'] END AS asset_classes FROM supplier)"""
+
+
+def catalogue(spark, sf):
+    """Suppliers as sources of series."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    pick = lambda *names: F.get(F.array(*[F.lit(x) for x in names]), (k % 4).cast("int"))
+    return table(spark, sf, "supplier").select(
+        k.alias("position"), F.col("s_name").alias("source"), pick("working", "fragile", "blocked", "planned").alias("status"), F.concat(F.lit("d"), (n % 5).cast("string")).alias("domain"), F.when(k % 3 == 0, F.lit("2024-07-01").cast("date")).alias("last_verified"),
+        (k % 6 == 0).alias("needs_key"), F.array(F.concat(F.lit("S"), n.cast("string")), F.concat(F.lit("T"), (k % 10).cast("string"))).alias("series"), F.when(k % 4 < 2, F.array(F.lit("equity"), F.lit("bond"))).otherwise(F.array(F.lit("fx"))).alias("asset_classes"),
+    )
+
+
+@query("a50_catalogue_summary", "SELECT domain, count(*) AS sources, count(*) FILTER (status = 'working') AS working, count(*) FILTER (status = 'fragile') AS fragile, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'planned') AS planned, count(last_verified) AS verified, count(DISTINCT domain) AS domains, count(*) FILTER (needs_key) AS need_key, (SELECT count(DISTINCT x) FROM (SELECT unnest(series) AS x, domain AS d FROM src) WHERE d = src.domain) AS series FROM src GROUP BY 1", "src")
+def a50_catalogue_summary(spark, sf):
+    return ledger.catalogue_summary(catalogue(spark, sf), ["domain"])
+
+
+@query("a50_asset_classes", "SELECT a AS asset_class, count(*) AS n_sources, count(*) FILTER (status = 'working') AS n_working, bool_or(status IN ('working', 'fragile')) AS can_answer FROM (SELECT *, unnest(asset_classes) AS a FROM src) GROUP BY 1", "src")
+def a50_asset_classes(spark, sf):
+    return ledger.catalogue_coverage(catalogue(spark, sf))
+
+
+@query("sc32_first_sources", "SELECT x AS series, arg_min(source, (position, pos)) AS source FROM (SELECT position, source, unnest(series) AS x, unnest([0, 1]) AS pos FROM src WHERE status = 'working' AND list_contains(asset_classes, 'bond')) GROUP BY 1", "src")
+def sc32_first_sources(spark, sf):
+    return ledger.catalogue_series(ledger.catalogue_where(catalogue(spark, sf), status="working", asset_class="bond"))
+
+
+@query("w23_trailing_growth", "SELECT entity, n AS n_months, round(CASE WHEN n > 60 THEN (l / f) ** 0.2 - 1 ELSE 0.055 END, 6) AS growth FROM (SELECT entity, count(*) AS n, max(price) FILTER (k = 1) AS l, max(price) FILTER (k = 60) AS f FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY month DESC) AS k FROM (SELECT entity, CAST(last_day(date) AS DATE) AS month, arg_max(price, date) AS price FROM px GROUP BY 1, 2)) GROUP BY 1)", "px")
+def w23_trailing_growth(spark, sf):
+    return rounded(ln.trailing_growth(prices(spark, sf), 5))
+
+
+@query("a45_market_duel", """
+    SELECT base_rate, n, fb AS forecast_brier, mb AS market_brier, bb AS base_rate_brier, fl AS forecast_log, ml AS market_log, mf AS mean_forecast, mm AS mean_market, gap AS mean_gap, 1 - fb / mb AS skill_market, 1 - fb / bb AS skill_base_rate,
+           CASE WHEN n < 20 THEN 'inconclusive' WHEN 1 - fb / mb > 0.05 THEN 'ahead of the market' WHEN 1 - fb / mb < -0.05 THEN 'behind the market' ELSE 'indistinguishable from the market' END AS verdict FROM
+    (SELECT avg(y) AS base_rate, count(*) AS n, avg((p - y) ** 2) AS fb, avg((m - y) ** 2) AS mb, avg(y) * (1 - avg(y)) AS bb, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS fl, avg(-(y * ln(m) + (1 - y) * ln(1 - m))) AS ml, avg(p) AS mf, avg(m) AS mm, avg(p - m) AS gap
+     FROM (SELECT question, p, y FROM fcs WHERE member = 'click') a JOIN (SELECT question, p AS m FROM fcs WHERE member = 'view') b USING (question))""", "fcs")
+def a45_market_duel(spark, sf):
+    f = forecasts(spark, sf)
+    market = f.where("member = 'view'").select("question", F.col("p").alias("m"))
+    return ledger.market_duel(f.where("member = 'click'").join(market, "question"))
+
+
+@query("ll1_any_resolver", "SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice > 100000 END AS outcome, CASE WHEN o_orderkey % 11 = 0 THEN 'not resolvable yet' WHEN o_orderkey % 13 = 0 THEN 'LookupError: no source' END AS note FROM orders")
+def ll1_any_resolver(spark, sf):
+    def resolver(question):
+        if question["question_id"] % 11 == 0:
+            return None
+        if question["question_id"] % 13 == 0:
+            raise LookupError("no source")
+        return question["level"] > 100000
+
+    return ledger.resolved_by(table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), F.col("o_totalprice").alias("level")), resolver)

@@ -239,7 +239,15 @@ def a7_moments_cornish_fisher(spark, sf):
     return v.select("entity", F.round("mu", 6).alias("mu"), F.round("sd", 6).alias("sd"), *[F.round(c, 5).alias(c) for c in ("skew", "kurt", "z_cf")])
 
 
-@query("a7_var_parametric")
+_Z = -2.3263478740408408  # the normal quantile of 1 %
+_ZS = f"CAST({_Z} AS DOUBLE)"
+_CF = "(z + (z * z - 1) * s / 6 + (z * z * z - 3 * z) * k / 24 - (2 * z * z * z - 5 * z) * s * s / 36)"
+
+
+@query("a7_var_parametric", f"""SELECT entity, round(mu, 6) AS mu, round(sd, 6) AS sd, round(s, 6) AS skew, round(k, 6) AS kurt, ok AS cf_valid, round(-(mu + u * sd), 6) AS var, round(-(mu - sd * exp(-0.5 * {_ZS} * {_ZS}) / sqrt(2 * pi()) / CAST(0.01 AS DOUBLE)) * abs(u) / abs({_ZS}), 6) AS es, round(exp(-CAST(n AS DOUBLE) / 6 * (s * s + k * k / 4) / 2), 6) AS jarque_bera_p FROM
+    (SELECT *, CASE WHEN ok THEN {_CF.replace('z', _ZS)} ELSE {_ZS} END AS u FROM
+    (SELECT *, k <= 7 AND len(list_filter(range(0, 199), lambda i: {_CF.replace('z', '(CAST(-4 AS DOUBLE) + (i + 1) * CAST(3 AS DOUBLE) / 199)')} - {_CF.replace('z', '(CAST(-4 AS DOUBLE) + i * CAST(3 AS DOUBLE) / 199)')} <= 0)) = 0 AS ok FROM
+    (SELECT entity, mu, sd, n, m3 / m2 ** 1.5 AS s, m4 / m2 ** 2 - 3 AS k FROM (SELECT entity, max(mu) AS mu, stddev_samp(r) AS sd, count(*) AS n, avg((r - mu) ** 2) AS m2, avg((r - mu) ** 3) AS m3, avg((r - mu) ** 4) AS m4 FROM (SELECT *, avg(r) OVER (PARTITION BY entity) AS mu FROM rt) GROUP BY 1))))""", "px rt")
 def a7_var_parametric(spark, sf):
     return rounded(risk.var_parametric(returns(spark, sf)))
 

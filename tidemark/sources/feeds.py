@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Date formats that are tried in this order; those without a zone are Indian time.
-DATE_FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy", "dd-MMM-yyyy"]
+DATE_FORMATS = [
+    "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss", "d MMM, yyyy Z", "d MMM yyyy Z", "d MMM, yyyy", "d MMM yyyy", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssZ",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd-MMM-yyyy",
+]
 UNDATED_HOURS = 1e6
 
 
@@ -26,8 +29,19 @@ def metal_prices(raw: DataFrame) -> DataFrame:
     return x.select(F.col("x.d").cast("date").alias("date"), *[F.get(F.col("x.v"), F.lit(i)).alias(c) for i, c in enumerate(("usd", "gbp", "eur"))]).where("date is not null")
 
 
-def tone_timeline(raw: DataFrame) -> DataFrame:
-    """{timeline: [{data: [{date, value}]}]} documents as (date, tone)."""
+def tone_problem(value: Column) -> Column:
+    """Why a reply holds no timeline (fixed texts), else null: the service turned it away, it isn't JSON, or it is empty."""
+    timeline = F.from_json(F.get_json_object(value, "$.timeline"), "array<struct<data:array<struct<date:string,value:double>>>>")
+    throttled = F.contains(F.lower(F.substring(F.coalesce(value, F.lit("")), 1, 300)), F.lit("limit requests"))
+    return F.when(throttled, "rate limit hit").when(F.get_json_object(value, "$").isNull(), "not JSON").when(F.coalesce(F.size(timeline), F.lit(0)) <= 0, "empty timeline")
+
+
+def tone_timeline(raw: DataFrame, strict: bool = False) -> DataFrame:
+    """{timeline: [{data: [{date, value}]}]} documents as (date, tone). Replies with a ``tone_problem`` have no rows, or with
+    ``strict`` are an error."""
+    if strict:
+        problem = tone_problem(F.col("value"))
+        raw = raw.withColumn("value", F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("no timeline: "), problem)).cast("string")).otherwise(F.col("value")))
     points = F.flatten(F.transform(F.from_json(F.get_json_object("value", "$.timeline"), "array<struct<data:array<struct<date:string,value:double>>>>"), lambda t: t["data"]))
     return raw.select(F.explode(points).alias("x")).select(F.to_date(F.substring("x.date", 1, 8), "yyyyMMdd").alias("date"), F.col("x.value").alias("tone"))
 
