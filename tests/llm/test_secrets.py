@@ -49,3 +49,12 @@ def test_query_holds_of_every_match():
         query = S.trigram_query(pattern)
         scanner = S.TrigramScanner((S.Rule("t", pattern, True),))
         assert scanner.matching(query, scanner.postings([text.encode()])).all() and re.search(pattern, text, re.I)
+
+
+def test_rules_are_taken_as_they_are_whatever_their_kind():
+    """Only a run of one class is asked for its length at once; any other pattern is used as it stands."""
+    for rule, text, want in (
+        (S.Rule("hex", r"0x[0-9a-f]+\b", least=6), "see 0xdeadbeef now", [("hex", 4, 14)]), (S.Rule("hex", r"[0-9a-f]+", least=4), "abc abcd 12345", [("hex", 4, 8), ("hex", 9, 14)]),
+        (S.Rule("other", r"a+", least=3), "aa aaa", [("other", 3, 6)]), (S.Rule("hex", r"[ab]+[cd]+", least=3), "abcd a cab", [("hex", 0, 4)]), (S.Rule("k", r"(x|y)+", least=2), "xyx", [("k", 0, 3)]),
+    ):
+        assert S.TrigramScanner((rule,)).scan([text]) == [want]

@@ -140,6 +140,15 @@ def trigram_query(pattern: str):
     return _literal_query(strings) if strings is not None else query
 
 
+def _run_of_one_class(pattern: str) -> bool:
+    """Whether a pattern is one character or class, once or more, and nothing else."""
+    nodes = list(sre_parser.parse(pattern))
+    if len(nodes) != 1 or nodes[0][0] is not sre.MAX_REPEAT or not pattern.endswith("+"):
+        return False
+    least, most, inner = nodes[0][1]
+    return (least, most) == (1, sre.MAXREPEAT) and len(inner) == 1 and inner[0][0] in (sre.IN, sre.LITERAL)
+
+
 def _trigrams(query) -> set[str]:
     if query is True:
         return set()
@@ -189,8 +198,8 @@ class TrigramScanner:
         held = self.postings([t.encode() for t in texts])
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for k, (rule, regex, query) in enumerate(zip(self.rules, self.regexes, self.queries)):
-            if rule.kind == "hex":  # the same maximal runs; short ones needn't be made
-                regex = re.compile(f"{rule.pattern[:-1]}{{{rule.least},}}", re.A)
+            if rule.group == 0 and _run_of_one_class(rule.pattern):  # the same maximal runs; short ones needn't be made
+                regex = re.compile(f"{rule.pattern[:-1]}{{{rule.least},}}", regex.flags)
             for d in np.flatnonzero(self.matching(query, held)).tolist():
                 found[d] += [(m.start(), k, m.end()) for m in regex.finditer(texts[d]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
         return [[(self.rules[k].kind, s, e) for s, k, e in sorted(x)] for x in found]
