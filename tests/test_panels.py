@@ -126,7 +126,7 @@ def plain_paths(r, sims, months, block, seed):
         for m in range(months):
             x = (seed * 83492791 % 2147483647 + s * 73856093 + m // size * 19349663) % 2147483647
             for _ in range(3):
-                x = x * 48271 % 2147483647
+                x = (x ^ x >> 15) * 48271 % 2147483647
             out[s, m] = r[x % (n - size + 1) + m % size]
     return out
 
@@ -143,6 +143,16 @@ def test_paths_are_blocks_of_history(spark):
     assert compared["long"].error is None and compared["long"].n_sims == 50 and compared["short"].error == "9 months of history, need 60" and compared["gone"].error == "0 months of history, need 60" and compared["gone"].nominal_p50 is None
 
 
+def test_fixed_paths_are_normal(spark):
+    rates = spark.createDataFrame([("a", 0.07, 0.12), ("flat", 0.05, 0.0)], "asset string, rate double, vol double")
+    rows = pj.fixed_paths(rates, 400, 24).collect()
+    z = [(r.r - (1.07 ** (1 / 12) - 1)) / (0.12 / 12**0.5) for r in rows if r.asset == "a"]
+    assert abs(statistics.mean(z)) < 0.03 and abs(statistics.pstdev(z) - 1) < 0.03 and abs(sum(abs(x) > 1.96 for x in z) / len(z) - 0.05) < 0.01
+    by = {(r.sim, r.month): (r.r - (1.07 ** (1 / 12) - 1)) for r in rows if r.asset == "a"}
+    pairs = [(by[s, m], by[s, m + 1]) for s in range(400) for m in range(23)]
+    assert abs(statistics.correlation(*map(list, zip(*pairs)))) < 0.04 and {r.r for r in rows if r.asset == "flat"} == {1.05 ** (1 / 12) - 1}
+
+
 def test_projection_and_taxes_by_hand(spark):
     paths = [("gold", s, m, 0.1 if s == 0 else -0.05 + 0.1 * (m == 1)) for s in range(3) for m in range(24)] + [("fixed_deposit", s, m, 0.01) for s in range(3) for m in range(12)]
     frame = spark.createDataFrame(paths, "asset string, sim int, month int, r double")

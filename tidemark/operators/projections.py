@@ -21,16 +21,27 @@ _PRIME, _MULTIPLIER = 2147483647, 48271
 
 
 def draw(seed: int, *places: Column) -> Column:
-    """A number from 0 to 2 ** 31 - 2 that depends on the places and the seed only, in integers that any engine has."""
+    """A number from 0 to 2 ** 31 - 2 that depends on the places and the seed only, in integers that any engine has. Shifted bits
+    keep draws of neighbouring seeds apart."""
     x = F.lit(seed * 83492791 % _PRIME).cast("long")
     for place, prime in zip(places, (73856093, 19349663)):
         x = x + place.cast("long") * prime
     x = x % _PRIME
     for _ in range(3):
-        x = x * _MULTIPLIER % _PRIME
+        x = x.bitwiseXOR(F.shiftright(x, 15)) * _MULTIPLIER % _PRIME
     return x
 
 
+def fixed_paths(rates: DataFrame, n_sims: int, n_months: int, seed: int = 12345, by: str = "asset") -> DataFrame:
+    """(by, sim, month, r): paths of assets with a fixed rate a year (by, rate, vol), each month's return normal around it.
+
+    Draws depend on simulation, month and seed only, the same for each asset. A null rate or volatility makes null returns."""
+    sims = rates.select(by, "rate", "vol", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim")).withColumn("month", F.explode(F.sequence(F.lit(0), F.lit(n_months - 1))))
+    unit = lambda k: (draw(seed + k, F.col("sim"), F.col("month")) + 0.5) / _PRIME
+    z = F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * F.pi() * unit(1))
+    return sims.select(by, "sim", "month", (F.pow(1 + F.col("rate"), F.lit(1 / 12)) - 1 + F.col("vol") / 12**0.5 * z).alias("r"))
+
+
 def history_paths(history: DataFrame, n_sims: int, n_months: int, block: int = 12, seed: int = 12345, by: str = "asset") -> DataFrame:
     """(by, sim, month, r): for each asset of ``history`` (by, month, r), ``n_sims`` paths of chained blocks of its consecutive months.
 

@@ -122,16 +122,6 @@ def f26_fx_decomposition(spark, sf):
     return rounded(portfolio.fx_decomposition(prices(spark, sf).withColumnRenamed("volume", "rate")).drop("fx_share"))
 
 
-@query("m5_project_fixed")
-def m5_project_fixed(spark, sf):
-    return rounded(portfolio.project(portfolio.normal_paths(spark, 0.07, 0.025, 2000, 60), 100_000.0), 2)
-
-
-@query("m3_plan_goal")
-def m3_plan_goal(spark, sf):
-    return rounded(portfolio.plan_goal(portfolio.normal_paths(spark, 0.07, 0.025, 2000, 60, 4242), 1_000_000.0), 2)
-
-
 @query("sc27_retrieve", "SELECT id, source, age_hours FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY age_hours, source, position) AS k FROM (SELECT doc_id AS position, doc_id // 2 AS id, source, CAST(doc_id * 37 % 400 AS DOUBLE) AS age_hours, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 50 AND age_hours <= 168) WHERE k = 1")
 def sc27_retrieve(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("position"), F.floor(F.col("doc_id") / 2).alias("id"), "source", (F.col("doc_id") * 37 % 400).cast("double").alias("age_hours"))

@@ -116,12 +116,12 @@ def f11_fund_pick(spark, sf):
 
 #: Simulations and months; the operator's own default is 20,000 simulations.
 SIMS, MONTHS = 200, 60
-_MIX = "(sim::BIGINT * 73856093 + (month // size)::BIGINT * 19349663 + {seed}) % 2147483647"
+_MIX = "(sim::BIGINT * 73856093 + ({step})::BIGINT * 19349663 + {seed}) % 2147483647"
 for _ in range(3):
-    _MIX = f"({_MIX}) * 48271 % 2147483647"
+    _MIX = f"xor({_MIX}, ({_MIX}) >> 15) * 48271 % 2147483647"
 BASE["hist"] = "hist AS (SELECT entity AS asset, month, least(greatest(r / 20, -0.2), 0.2) AS r FROM (SELECT entity, month, price / lag(price) OVER (PARTITION BY entity ORDER BY month) - 1 AS r FROM (SELECT entity, CAST(last_day(date) AS DATE) AS month, arg_max(price, date) AS price FROM px GROUP BY 1, 2)) WHERE r IS NOT NULL)"
 BASE["paths"] = f"""nums AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY month) - 1 AS i FROM hist), long AS (SELECT asset, count(*) AS n, CASE WHEN count(*) >= 24 THEN 12 ELSE greatest(1, count(*) // 4) END AS size FROM hist GROUP BY 1 HAVING count(*) >= 60),
-    paths AS (SELECT d.asset, sim, d.month, nums.r FROM (SELECT *, {_MIX.format(seed=12345 * 83492791 % 2147483647)} % (n - size + 1) + month % size AS at FROM long, range({SIMS}) s(sim), range({MONTHS}) m(month)) d JOIN nums ON nums.asset = d.asset AND nums.i = d.at)"""
+    paths AS (SELECT d.asset, sim, d.month, nums.r FROM (SELECT *, {_MIX.format(step='month // size', seed=12345 * 83492791 % 2147483647)} % (n - size + 1) + month % size AS at FROM long, range({SIMS}) s(sim), range({MONTHS}) m(month)) d JOIN nums ON nums.asset = d.asset AND nums.i = d.at)"""
 BASE["ends"] = """ends AS (SELECT asset, sim, count(*) AS n, arg_max(level, month) AS lump, arg_max(level, month) * sum(1 / level) AS monthly, min(fall) AS fall FROM
     (SELECT *, level / max(level) OVER (PARTITION BY asset, sim ORDER BY month) - 1 AS fall FROM (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY asset, sim ORDER BY month)) AS level FROM paths)) GROUP BY 1, 2)"""
 
@@ -235,3 +235,35 @@ def ll1_any_resolver(spark, sf):
         return question["level"] > 100000
 
     return ledger.resolved_by(table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), F.col("o_totalprice").alias("level")), resolver)
+
+
+#: States of items as deposits: their taxes and discounts are rates and volatilities.
+_UNIT = "(({}) + 0.5::DOUBLE) / 2147483647"
+BASE["paths_fixed"] = f"""rates AS (SELECT l_returnflag || l_linestatus AS asset, 0.04::DOUBLE + avg(l_tax) AS rate, 0.01::DOUBLE + avg(l_discount) / 5 AS vol FROM lineitem GROUP BY 1),
+    paths AS (SELECT asset, sim, month, (1 + rate) ** (1::DOUBLE / 12) - 1 + vol / sqrt(12) * sqrt(-2 * ln({_UNIT.format(_MIX.format(step='month', seed=12345 * 83492791 % 2147483647))})) * cos(2 * pi() * {_UNIT.format(_MIX.format(step='month', seed=12346 * 83492791 % 2147483647))}) AS r FROM rates, range({SIMS}) s(sim), range({MONTHS}) m(month))"""
+
+
+def fixed(spark, sf):
+    """Paths of deposits whose rates and volatilities come from the table."""
+    rates = table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("asset")).agg((0.04 + F.avg("l_tax")).alias("rate"), (0.01 + F.avg("l_discount") / 5).alias("vol"))
+    return pj.fixed_paths(rates, SIMS, MONTHS)
+
+
+@query("m5_project_fixed", """
+    SELECT asset, count(*) AS n_sims, round(quantile_cont(1e5 * lump, 0.05), 3) AS nominal_p5, round(median(1e5 * lump), 3) AS nominal_p50, round(quantile_cont(1e5 * lump, 0.95), 3) AS nominal_p95, round(avg((1e5 * lump / 1.055 ** 5 < 1e5)::INT), 6) AS p_below_prices, round(median(fall), 6) AS median_fall FROM ends GROUP BY 1""", "paths_fixed ends")
+def m5_project_fixed(spark, sf):
+    out = pj.project(fixed(spark, sf), 1e5)
+    return out.select("asset", "n_sims", *[F.round(f"nominal_p{p}", 3).alias(f"nominal_p{p}") for p in (5, 50, 95)], *[F.round(c, 6).alias(c) for c in ("p_below_prices", "median_fall")])
+
+
+@query("m3_plan_goal", "SELECT asset, round(1e6 / median(monthly), 4) AS monthly_50, round(1e6 / quantile_cont(monthly, 0.2), 4) AS monthly_80, round(1e6 / median(lump), 3) AS lump_50, round(1e6 / 1.055 ** 5, 4) AS target_today FROM ends GROUP BY 1", "paths_fixed ends")
+def m3_plan_goal(spark, sf):
+    out = pj.plan_goal(fixed(spark, sf), 1e6)
+    return out.select("asset", *[F.round(c, 4).alias(c) for c in ("monthly_50", "monthly_80")], F.round("lump_50", 3).alias("lump_50"), F.round("target_today", 4).alias("target_today"))
+
+
+@query("m4_compare_assets", """
+    SELECT asset, round(median(1e3 * monthly), 3) AS nominal_p50, round(quantile_cont(1e3 * monthly, 0.05), 3) AS nominal_p5, round(avg((1e3 * monthly < 6e4)::INT), 6) AS p_loss, round((median(1e3 * monthly) / 6e4) ** 0.2 - 1, 6) AS median_growth FROM ends GROUP BY 1""", "paths_fixed ends")
+def m4_compare_assets(spark, sf):
+    out = pj.project(fixed(spark, sf), 1e3, "monthly")
+    return out.select("asset", F.round("nominal_p50", 3).alias("nominal_p50"), F.round("nominal_p5", 3).alias("nominal_p5"), F.round("p_loss", 6).alias("p_loss"), F.round("median_growth", 6).alias("median_growth"))

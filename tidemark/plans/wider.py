@@ -326,9 +326,3 @@ def sc23_longest_table(spark, sf):
     page = F.concat(F.lit("<p><TABLE class='x'><tr><td>short</td></tr></table> <table>\n<tr><th>USD</th><td> "), F.col("n_nationkey").cast("string"), F.lit("</td></tr><tr><td><b>EUR</b></td><td>"), F.col("n_regionkey").cast("string"), F.lit("</td></tr><tr><td>a<br>b</td><td></td></tr></table>"))
     t = feeds.longest_table(table(spark, sf, "nation").select("n_nationkey", page.alias("html")), "n_nationkey")
     return t.select("n_nationkey", "n_rows", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("cells"))
-
-
-@query("m4_compare_assets")
-def m4_compare_assets(spark, sf):
-    gold, deposit = (portfolio.normal_paths(spark, rate, vol, 2000, 60).withColumn("asset", F.lit(a)) for a, rate, vol in (("gold", 0.09, 0.15), ("fixed_deposit", 0.068, 0.005)))
-    return rounded(portfolio.project(gold.unionByName(deposit), 100_000.0), 2)
