@@ -111,7 +111,7 @@ def f12_buckets(spark, sf):
     return rows.select("name", portfolio.bucket_of(F.col("name")).alias("bucket"), portfolio.bucket_guessed(F.col("name")).alias("guessed"), "holders")
 
 
-@query("a53_portfolio")
+@query("a53_portfolio", "SELECT c_nationkey AS book, round(sum(abs(c_acctbal)), 4) AS total, round(sum(c_acctbal ** 2) / sum(abs(c_acctbal)) ** 2, 4) AS hhi, 0.16::DOUBLE AS vol, round(-1.65 * 0.16 * sum(abs(c_acctbal)), 4) AS bad_year, round(1.65 * 0.16 * sum(abs(c_acctbal)), 4) AS good_year FROM customer GROUP BY 1")
 def a53_portfolio(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("book"), F.col("c_mktsegment").alias("name"), F.abs("c_acctbal").alias("value"))
     return rounded(portfolio.analyse(c), 4)
@@ -133,12 +133,13 @@ def fp9_search(spark, sf):
     return feeds.search(table(spark, sf, "part"), "part 1", "p_name", "p_type").select("p_partkey", "p_name")
 
 
-@query("fp13_citations", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'E03' ELSE '' END AS unknown, CAST(CASE WHEN o_orderkey % 3 = 1 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS coverage FROM orders")
+@query("fp13_citations", """
+    SELECT o_orderkey, array_to_string(list_sort(list_filter(list_distinct(c), lambda x: NOT list_contains(k, x))), ',') AS unknown, len(list_filter(list_distinct(c), lambda x: list_contains(k, x))) / len(list_distinct(k)) AS coverage FROM
+    (SELECT o_orderkey, ['E0' || o_orderkey % 5, 'E0' || o_custkey % 7] AS c, ['E0' || o_custkey % 3, 'E03', 'E0' || o_orderkey % 4] AS k FROM orders)""")
 def fp13_citations(spark, sf):
-    k = F.col("o_orderkey") % 3
-    words = lambda *x: F.array(*[F.lit(w) for w in x])
-    o = table(spark, sf, "orders").select("o_orderkey", F.when(k == 0, words("E01")).when(k == 1, words("E01", "E02")).otherwise(words("E01", "E03")).alias("cited"), words("E01", "E02").alias("known"))
-    return feeds.citations(o, "cited", "known").select("o_orderkey", F.array_join("unknown", ",").alias("unknown"), "coverage")
+    name = lambda c, n: F.concat(F.lit("E0"), (F.col(c) % n).cast("string"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.array(name("o_orderkey", 5), name("o_custkey", 7)).alias("cited"), F.array(name("o_custkey", 3), F.lit("E03"), name("o_orderkey", 4)).alias("known"))
+    return feeds.citations(o, "cited", "known").select("o_orderkey", F.array_join(F.array_sort("unknown"), ",").alias("unknown"), "coverage")
 
 
 @query("fp11_noise", "SELECT c_custkey, CASE WHEN regexp_matches(c_name, '(?i)0{5}1') THEN 'ones' WHEN length(c_name) < 15 THEN 'short' END AS reason FROM customer")

@@ -270,8 +270,10 @@ def w25_evidence(spark, sf):
 
 @query("f30_generate")
 def f30_generate(spark, sf):
-    latest = spark.createDataFrame([("NIFTY50_CLOSE", 24_512.0), ("USDINR", 84.1), ("INDIA_VIX", 0.0)], "series_id string, value double")
-    vols = returns(spark, sf).agg((F.stddev_samp("r") / 10).alias("vol")).withColumn("series_id", F.lit("USDINR"))
+    """Three brands stand in for tracked series, by their last prices and their own volatility."""
+    named = F.when(F.col("entity") == "Brand#11", "NIFTY50_CLOSE").when(F.col("entity") == "Brand#12", "USDINR").when(F.col("entity") == "Brand#13", "INDIA_VIX")
+    latest = prices(spark, sf).withColumn("series_id", named).where("series_id is not null").groupBy("series_id").agg(F.max_by("price", "date").alias("value"))
+    vols = returns(spark, sf).withColumn("series_id", named).where("series_id is not null").groupBy("series_id").agg((F.stddev_samp("r") / 10).alias("vol"))
     return rounded(qs.generate(latest, vols, TODAY))
 
 
@@ -308,10 +310,11 @@ def sc10_data_rows(spark, sf):
     return rounded(feeds.data_rows(o, "index string, last double"), 2)
 
 
-@query("sc11_expiries", "SELECT unnest(['25-Jul-2024', '29-Aug-2024']) AS expiry, count(*) AS n FROM nation GROUP BY 1")
+@query("sc11_expiries", "SELECT strftime(last_day(CAST(o_orderdate AS DATE)), '%d-%b-%Y') AS expiry, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1")
 def sc11_expiries(spark, sf):
-    n = table(spark, sf, "nation").select(F.lit('{"expiryDates": ["25-Jul-2024", "29-Aug-2024"]}').alias("value"))
-    return feeds.option_expiries(n).groupBy("expiry").agg(F.count("*").alias("n"))
+    month = F.date_format(F.last_day(F.col("o_orderdate").cast("date")), "dd-MMM-yyyy")
+    docs = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("symbol")).agg(F.to_json(F.struct(F.collect_set(month).alias("expiryDates"))).alias("value"))
+    return feeds.option_expiries(docs).groupBy("expiry").agg(F.count("*").alias("n"))
 
 
 @query("sc14_commodity", "SELECT date, round(avg(r), 6) AS value, 'USD/oz' AS unit FROM rt GROUP BY 1", "px rt")

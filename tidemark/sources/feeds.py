@@ -120,7 +120,7 @@ def matching_or_all(rows: DataFrame, label: str, query: str) -> DataFrame:
 
 def citations(frame: DataFrame, cited: str, known: str) -> DataFrame:
     """``frame`` with citations that don't exist, and the share of the evidence that is cited."""
-    return frame.withColumns({"unknown": F.array_except(cited, known), "coverage": F.size(F.array_intersect(cited, known)) / F.nullif(F.size(known), F.lit(0))})
+    return frame.withColumns({"unknown": F.array_except(cited, known), "coverage": F.size(F.array_intersect(cited, known)) / F.nullif(F.size(F.array_distinct(known)), F.lit(0))})
 
 
 def noise(title: Column, patterns: dict[str, str], least: int = 15) -> Column:
