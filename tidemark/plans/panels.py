@@ -149,6 +149,15 @@ def m4_compare_history(spark, sf):
     return out.select("asset", "n_sims", *[F.round(c, 3).alias(c) for c in money], *[F.round(c, 6).alias(c) for c in ("p_loss", "p_below_prices", "p_below_deposit", "median_growth", "median_fall", "deep_fall")], "error")
 
 
+@query("m2_project", """
+    SELECT asset, round(quantile_cont(1e5 * lump, 0.05), 3) AS p5, round(quantile_cont(1e5 * lump, 0.25), 3) AS p25, round(median(1e5 * lump), 3) AS p50, round(quantile_cont(1e5 * lump, 0.75), 3) AS p75, round(quantile_cont(1e5 * lump, 0.95), 3) AS p95, round(avg((1e5 * lump < 1e5)::INT), 6) AS p_loss FROM ends GROUP BY 1""", "px hist paths ends")
+def m2_project(spark, sf):
+    h = history(spark, sf)
+    enough = h.join(h.groupBy("asset").count().where("count >= 60"), "asset", "left_semi")
+    out = pj.project(pj.history_paths(enough, SIMS, MONTHS), 1e5)
+    return out.select("asset", *[F.round(f"nominal_p{p}", 3).alias(f"p{p}") for p in (5, 25, 50, 75, 95)], F.round("p_loss", 6).alias("p_loss"))
+
+
 @query("m2_project_monthly", """
     SELECT asset, count(*) AS n_sims, 60000::DOUBLE AS paid, round(quantile_cont(1e3 * monthly, 0.1), 3) AS nominal_p10, round(median(1e3 * monthly), 3) AS nominal_p50, round(quantile_cont(1e3 * monthly, 0.9), 3) AS nominal_p90, round(avg((1e3 * monthly < 6e4)::INT), 6) AS p_loss,
            round(avg((1e3 * monthly < 1e3 * list_sum(list_transform(range(1, 61), lambda k: 1.068 ** (k / 12))))::INT), 6) AS p_below_deposit FROM ends GROUP BY 1""", "px hist paths ends")

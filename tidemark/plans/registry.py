@@ -131,10 +131,10 @@ def j1_asof_join(spark, sf):
     return out.select("entity", "date", F.round("price", 6).alias("price"), F.round("rate", 6).alias("rate"), F.round(F.col("price") * F.col("rate"), 4).alias("converted"))
 
 
-@query("j3_lead_lag", "SELECT c.entity, c.date, round(c.x, 6) AS x, round(t2, 6) AS y FROM (SELECT *, lead(y, 2) OVER (ORDER BY date) AS t2 FROM (SELECT r.entity, coalesce(r.date, t.date) AS date, r.r AS x, t.y FROM (SELECT * FROM rt WHERE entity = 'Brand#11') r FULL JOIN (SELECT date, r AS y FROM rt WHERE entity = 'Brand#12') t ON r.date = t.date)) c WHERE x IS NOT NULL AND t2 IS NOT NULL", "px rt")
+@query("j3_lead_lag", "SELECT entity, date, round(x, 6) AS x, round(t2, 6) AS y FROM (SELECT e.entity, t.date, c.r AS x, lead(t.y, 2) OVER (PARTITION BY e.entity ORDER BY t.date) AS t2 FROM (SELECT DISTINCT entity FROM rt) e CROSS JOIN (SELECT date, avg(r) AS y FROM rt GROUP BY 1) t LEFT JOIN rt c ON c.entity = e.entity AND c.date = t.date) WHERE x IS NOT NULL AND t2 IS NOT NULL", "px rt")
 def j3_lead_lag(spark, sf):
     r = returns(spark, sf)
-    out = ln.lead_lag(r.where("entity = 'Brand#11'").withColumnRenamed("r", "x"), r.where("entity = 'Brand#12'").select("date", F.col("r").alias("y")), "entity", 2)
+    out = ln.lead_lag(r.withColumnRenamed("r", "x"), r.groupBy("date").agg(F.avg("r").alias("y")), "entity", 2)
     return rounded(out.select("entity", "date", "x", "y"))
 
 
@@ -432,11 +432,3 @@ def f11_fund_search(spark, sf):
 @query("json_props", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def json_props(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
-
-
-@query("m2_project")
-def m2_project(spark, sf):
-    m = ln.month_end(prices(spark, sf).where("entity = 'Brand#11'")).where("r is not null")
-    history = m.select((F.row_number().over(W.orderBy("month")) - 1).cast("long").alias("i"), F.least(F.greatest(F.col("r") / 20, F.lit(-0.2)), F.lit(0.2)).alias("r"))
-    t = ln.terminal(ln.block_bootstrap(history, 2000, 60), 100_000.0)
-    return t.agg(*[F.round(F.percentile("terminal", q), 2).alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)], F.avg((F.col("terminal") < 100_000).cast("double")).alias("p_loss"))

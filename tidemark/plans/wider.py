@@ -178,9 +178,9 @@ def a22_fit_summary(spark, sf):
     return rounded(factors.fit_summary(panel, models.cross_sectional_regression(panel, ["market", "size"])), 5)
 
 
-@query("a40_pooled_error", "SELECT question, count(*) AS n, round(CASE WHEN count(*) < 2 THEN 'Infinity'::DOUBLE ELSE stddev_samp(ln(p / (1 - p))) / sqrt(count(*)) END, 6) AS se FROM fcs WHERE question % 10 > 0 OR member = 'click' GROUP BY 1", "fcs")
+@query("a40_pooled_error", "SELECT question, count(*) AS n, round(CASE WHEN count(*) < 2 THEN 'Infinity'::DOUBLE ELSE stddev_samp(ln(p / (1 - p))) / sqrt(count(*)) END, 6) AS se FROM fcs GROUP BY 1", "fcs")
 def a40_pooled_error(spark, sf):
-    return rounded(fc.pooled_standard_error(forecasts(spark, sf).where("question % 10 > 0 or member = 'click'")))
+    return rounded(fc.pooled_standard_error(forecasts(spark, sf)))
 
 
 @query("a37_dispersion", """
@@ -277,13 +277,16 @@ def f30_generate(spark, sf):
     return rounded(qs.generate(latest, vols, TODAY))
 
 
-@query("f4_fingerprint", r"""SELECT source, substr(sha256('[' || string_agg('["E' || n || '", "' || lang || '", "' || n_chars || '", "2024-01-0' || n || '"]', ', ' ORDER BY n) || ']'), 1, 16) AS print FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE lang IS NOT NULL) WHERE n <= 9 GROUP BY 1""")
+@query("f4_fingerprint", r"""SELECT source, packet, substr(sha256('[' || string_agg('["E' || n || '", "' || lang || '", "' || n_chars || '", "2024-01-0' || n || '"]', ', ' ORDER BY n) || ']'), 1, 16) AS print FROM
+    (SELECT source, lang, n_chars, (k - 1) // 9 AS packet, (k - 1) % 9 + 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE lang IS NOT NULL)) GROUP BY 1, 2""")
 def f4_fingerprint(spark, sf):
+    """Packets of nine documents of a source each; all documents are in one."""
     from pyspark.sql import Window as W
 
-    d = table(spark, sf, "documents").where("lang is not null").withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("n <= 9")
+    k = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    d = table(spark, sf, "documents").where("lang is not null").withColumn("k", k).withColumns({"packet": F.floor(F.col("k") / 9), "n": F.col("k") % 9 + 1})
     item = F.struct("n", F.concat(F.lit("E"), F.col("n").cast("string")).alias("id"), F.col("lang").alias("label"), F.col("n_chars").cast("string").alias("value"), F.concat(F.lit("2024-01-0"), F.col("n").cast("string")).alias("event_date"))
-    return d.groupBy("source").agg(F.array_sort(F.collect_list(item)).alias("items")).select("source", qs.fingerprint(F.col("items")).alias("print"))
+    return d.groupBy("source", "packet").agg(F.array_sort(F.collect_list(item)).alias("items")).select("source", "packet", qs.fingerprint(F.col("items")).alias("print"))
 
 
 @query("a54_summarise", "SELECT count(*) AS candidates, count(p) AS tested, count(*) - count(p) AS untestable, count(*) FILTER (WHERE p < 0.05) AS naive_significant, round(CAST(count(p) * 0.05 AS DOUBLE), 1) AS expected_by_chance, count(*) FILTER (WHERE p < 0.01) AS survive_fdr FROM (SELECT CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey % 97 / 97.0 END AS p FROM customer)")
