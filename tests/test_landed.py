@@ -50,7 +50,7 @@ def test_filter_from_end_to_end(spark):
     docs, got = filtered(spark)
     assert got["b"]["reason"] == "instruction-shaped text in a primary feed" and got["b"]["flags"] == ["override attempt"]
     assert got["d"]["reason"].startswith("noise pattern: ^") and got["e"]["reason"] == got["h"]["reason"] == "title too short to carry information"
-    assert got["c"]["kept"] and got["c"]["flags"] == ["role reassignment"] and got["c"]["title"].startswith("[removed]say") and got["c"]["summary"] == "policy rate [ref]"
+    assert got["c"]["kept"] and got["c"]["flags"] == ["fabricated evidence id", "role reassignment"] and got["c"]["title"].startswith("[removed]say") and got["c"]["summary"] == "policy rate [ref]"
     assert got["a"]["kept"] and got["g"]["kept"] and not got["f"]["kept"] and "below cut" in got["f"]["reason"]
     assert got["g"]["relevance"] == pytest.approx(0.32 * 1.14)  # the floor of a primary document
     words = 3 / 4  # of inflation, move, policy, rate, will: the text has inflation, policy, rate
