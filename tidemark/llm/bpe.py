@@ -156,7 +156,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     A null or empty text has no ids and decodes to no bytes; null ids and repeated rows are kept
     as they are, one output row per input row; an empty table gives an empty result. Only the two
-    named columns are read, so further columns, whatever their names, don't matter. ``decoded`` is
+    named columns are read, so further columns, whatever their names, don't matter. A very long text is
+    encoded whole, in a block of its own. ``decoded`` is
     made from ``ids`` alone. The rank file is read by the driver and broadcast; its size is that of
     the vocabulary and doesn't grow with the input.
     """

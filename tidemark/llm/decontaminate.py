@@ -135,7 +135,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_col:
 
     Items that are null, empty or white space match nothing; null and empty texts hold nothing; of
     items with the same id all are looked for. Rows of ``docs`` may repeat, each is answered on its
-    own; null ids stay null; very long texts are matched whole; other columns aren't read; without
+    own; of equally good places the first counts, and of equal items each is told; null ids stay null; very long texts are matched whole; other columns aren't read; without
     documents or items there are no rows. The pieces of items are broadcast in blocks of at most
     ``item_chars`` characters; with more items the texts are matched against one block after another,
     each result written before the next block is fetched.

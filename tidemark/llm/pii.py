@@ -181,8 +181,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     by start, then email, ip, card, phone, term.
 
     A null text is empty and an empty text has no spans. Null ids and repeated rows stay, one output
-    row per input row. A match that fails its check is dropped without another try. Other columns
-    aren't read; an empty table gives an empty result.
+    row per input row. A match that fails its check is dropped without another try. A very long text is
+    searched whole, in time that grows with its length. Other columns aren't read; an empty table gives an
+    empty result.
     """
 
     def plain(s):

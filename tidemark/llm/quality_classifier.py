@@ -199,7 +199,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     row of ``docs``.
 
     A null host or path is a site of its own; null and empty texts have the features of an empty
-    text; repeated rows get the same answer; an empty table gives an empty result. A document's own
+    text; repeated rows get the same answer; an empty table gives an empty result; very long texts are read
+    whole; columns of ``docs`` beside the four named ones aren't read, whatever their names. A document's own
     share is taken out of its path before the path speaks for it. At most ``limit`` labelled rows
     are learnt from; every document counts in its site.
     """

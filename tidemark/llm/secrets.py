@@ -209,7 +209,8 @@ def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "
     """(id_col, spans) for every row of ``docs``.
 
     A null or empty text has an empty list of spans. Null ids and repeated rows stay, one output
-    row per input row; only the two named columns are read. A match that has too few characters is
+    row per input row; only the two named columns are read; an empty table gives an empty result. A very
+    long text is scanned whole, in a block of its own. A match that has too few characters is
     dropped and not tried again further on.
     """
 
@@ -228,7 +229,9 @@ def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "
 def redact(docs: DataFrame, rules=RULES, text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs``, every column kept, with each run of overlapping spans in the text replaced by ``mark``.
 
-    Null texts stay null. ``length_col`` gets the new length in code points where a text changes.
+    Null texts stay null, empty ones empty; ids aren't looked at, repeated rows are answered each, an empty table
+    gives an empty result, and very long texts are scanned whole. ``length_col`` gets the new length in code
+    points where a text changes; no other column is touched or added, so names can't clash.
     """
     names = docs.columns
 

@@ -65,7 +65,10 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, rows_per_file: int = 0) -> None:
-    """Write the records of ``pages`` as WARC files under ``path``; each task commits its own files."""
+    """Write the records of ``pages`` as WARC files under ``path``; each task commits its own files.
+
+    A very long payload is one record; repeated rows are records each, with the same id; an empty table leaves a
+    folder without records."""
     records(pages).write.option("lineSep", "\r\n").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
@@ -160,7 +163,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Works on files that Spark splits and on gzip files, which it reads whole. An empty folder is an
     empty result. A file that doesn't begin with a record yields nothing, and a chain ends where the
-    declared length leads to no record.
+    declared length leads to no record. A record may be longer than a split; repeated records are rows each.
     """
     facts = cut(_with_offsets(cut(_facts(candidates(spark, path)), "warc-candidates")), "warc-offsets")
     kept = reachable(facts.select("file", "split", "start", (F.col("start") + F.col("length")).alias("next")))
