@@ -25,8 +25,8 @@ BASE["w"] = "w AS (SELECT *, CASE member WHEN 'click' THEN 2.0::DOUBLE WHEN 'vie
     num AS (SELECT question, max(v) FILTER (q > 0.9) AS v, max(sp) FILTER (q = 0.5) AS disp FROM (SELECT question, q, sp, max(v) OVER (PARTITION BY question ORDER BY q) AS v FROM lev) GROUP BY 1),
     asked AS (SELECT DISTINCT question FROM fcs), seen AS (SELECT question, count(*) AS n, count(*) FILTER (member > 'p') AS un FROM w GROUP BY 1)
     SELECT asked.question, CASE asked.question % 3 WHEN 0 THEN 'binary' WHEN 1 THEN 'categorical' ELSE 'numeric' END AS kind, coalesce(n, 0) AS n_members, coalesce(un, 0) AS uncited,
-           round(CASE WHEN n IS NULL AND asked.question % 3 = 0 THEN 0.5 ELSE probability END, 6) AS probability, round(coalesce(sd, div.disp, num.disp, 0), 6) AS dispersion, coalesce(n_dissent, 0) AS n_dissent, strongest,
-           round(cat.p, 6) AS up, round(num.v, 6) AS high, CASE WHEN n IS NULL THEN 'no parseable forecasts; verdict is the uninformative prior' END AS note
+           round(CASE WHEN n IS NULL AND asked.question % 3 = 0 THEN 0.5 ELSE probability END, 9) AS probability, round(coalesce(sd, div.disp, num.disp, 0), 9) AS dispersion, coalesce(n_dissent, 0) AS n_dissent, strongest,
+           round(cat.p, 9) AS up, round(num.v, 9) AS high, CASE WHEN n IS NULL THEN 'no parseable forecasts; verdict is the uninformative prior' END AS note
     FROM asked LEFT JOIN seen ON seen.question = asked.question LEFT JOIN bin ON bin.question = asked.question LEFT JOIN far ON far.question = asked.question LEFT JOIN cat ON cat.question = asked.question AND o = 'up'
          LEFT JOIN div ON div.question = asked.question LEFT JOIN num ON num.question = asked.question""", "fcs ok w")
 def a38_verdicts(spark, sf):
@@ -40,7 +40,7 @@ def a38_verdicts(spark, sf):
     asked = f.select("question").distinct().select("question", kind.alias("kind"), F.array(F.lit("up"), F.lit("flat"), F.lit("down")).alias("outcomes"), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)).alias("quantiles"))
     weights = spark.createDataFrame([("click", 2.0), ("view", -1.0)], "member string, weight double")
     v = vd.verdicts(asked, told, weights)
-    return rounded(v.select("question", "kind", "n_members", "uncited", "probability", "dispersion", "n_dissent", "strongest", F.try_element_at("distribution", F.lit("up")).alias("up"), F.try_element_at("quantile_values", F.lit("0.95")).alias("high"), "note"))
+    return rounded(v.select("question", "kind", "n_members", "uncited", "probability", "dispersion", "n_dissent", "strongest", F.try_element_at("distribution", F.lit("up")).alias("up"), F.try_element_at("quantile_values", F.lit("0.95")).alias("high"), "note"), 9)
 
 
 _ARMS = {"rounds": ["0", "1"], "method": ["0", "1", "2", "3", "4", "5", "6"]}
@@ -224,14 +224,16 @@ def w23_trailing_growth(spark, sf):
 
 
 @query("a45_market_duel", """
-    SELECT base_rate, n, fb AS forecast_brier, mb AS market_brier, bb AS base_rate_brier, fl AS forecast_log, ml AS market_log, mf AS mean_forecast, mm AS mean_market, gap AS mean_gap, 1 - fb / mb AS skill_market, 1 - fb / bb AS skill_base_rate,
+    SELECT round(base_rate, 9) AS base_rate, n, round(fb, 9) AS forecast_brier, round(mb, 9) AS market_brier, round(bb, 9) AS base_rate_brier, round(fl, 9) AS forecast_log, round(ml, 9) AS market_log, round(mf, 9) AS mean_forecast, round(mm, 9) AS mean_market, round(gap, 9) AS mean_gap,
+           round(1 - fb / mb, 8) AS skill_market, round(1 - fb / bb, 8) AS skill_base_rate,
            CASE WHEN n < 20 THEN 'inconclusive' WHEN 1 - fb / mb > 0.05 THEN 'ahead of the market' WHEN 1 - fb / mb < -0.05 THEN 'behind the market' ELSE 'indistinguishable from the market' END AS verdict FROM
     (SELECT avg(y) AS base_rate, count(*) AS n, avg((p - y) ** 2) AS fb, avg((m - y) ** 2) AS mb, avg(y) * (1 - avg(y)) AS bb, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS fl, avg(-(y * ln(m) + (1 - y) * ln(1 - m))) AS ml, avg(p) AS mf, avg(m) AS mm, avg(p - m) AS gap
      FROM (SELECT question, p, y FROM fcs WHERE member = 'click') a JOIN (SELECT question, p AS m FROM fcs WHERE member = 'view') b USING (question))""", "fcs")
 def a45_market_duel(spark, sf):
     f = forecasts(spark, sf)
     market = f.where("member = 'view'").select("question", F.col("p").alias("m"))
-    return ledger.market_duel(f.where("member = 'click'").join(market, "question"))
+    out = rounded(ledger.market_duel(f.where("member = 'click'").join(market, "question")), 9)
+    return out.withColumns({c: F.round(c, 8) for c in ("skill_market", "skill_base_rate")})
 
 
 @query("ll1_any_resolver", "SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice > 100000 END AS outcome, CASE WHEN o_orderkey % 11 = 0 THEN 'not resolvable yet' WHEN o_orderkey % 13 = 0 THEN 'LookupError: no source' END AS note FROM orders")

@@ -69,10 +69,10 @@ def s4_busy_clients(spark, sf):
     return st.sliding_counts(e, slide="30 minutes", limit=1).select("client", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("sc5_chart_json", "SELECT date, round(sum(price), 4) AS total, count(*) AS n FROM px GROUP BY 1", "px")
+@query("sc5_chart_json", "SELECT date, round(sum(price), 9) AS total, count(*) AS n FROM px GROUP BY 1", "px")
 def sc5_chart_json(spark, sf):
     """A document a brand with parallel arrays; midnight in Kolkata is the day's own."""
     p = prices(spark, sf).withColumn("t", F.unix_timestamp(F.col("date").cast("timestamp")) + 3600)
     rows = p.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("t", "price"))).alias("x"))
     docs = rows.select(F.to_json(F.struct(F.col("x.t").alias("timestamp"), F.col("x.price").alias("close"))).alias("value"))
-    return parsers.chart_json(docs).groupBy("date").agg(F.round(F.sum("close"), 4).alias("total"), F.count("*").alias("n"))
+    return parsers.chart_json(docs).groupBy("date").agg(F.round(F.sum("close"), 9).alias("total"), F.count("*").alias("n"))
