@@ -126,3 +126,16 @@ def test_resolve_over_months(spark):
     questions = spark.createDataFrame(q, "question_id int, series_id string, start date, end date, level double, direction string")
     got = {r.question_id: tuple(r)[1:] for r in pit.resolve(questions, spark.createDataFrame(o, "series_id string, event_date date, value double")).collect()}
     assert got == {1: (True, 3, 4.0, 7.0), 2: (True, 1, 9.0, 9.0), 3: (None, 0, None, None), 4: (None, 0, None, None)}
+
+
+def test_resolve_meets_dates_not_observations(spark):
+    """A window meets one row a date, however many observations the date has; nulls and NaN as before."""
+    from tidemark.operators import pit
+
+    q = spark.createDataFrame([(1, "s", dt.date(2024, 1, 1), dt.date(2024, 2, 29), 5.0, "below"), (2, "s", dt.date(2024, 1, 1), dt.date(2024, 2, 29), 999.0, "above"), (3, "t", dt.date(2024, 1, 1), dt.date(2024, 2, 29), 1.0, "above"), (4, "u", dt.date(2024, 1, 1), dt.date(2024, 2, 29), 1.0, "below")], "question_id long, series_id string, start date, end date, level double, direction string")
+    o = [("s", dt.date(2024, 1 + i % 2, 15), float(i)) for i in range(1000)] + [("t", dt.date(2024, 1, 3), None), ("u", dt.date(2024, 1, 3), float("nan"))]
+    made = pit.resolve(q, spark.createDataFrame(o, "series_id string, event_date date, value double"))
+    got = {r.question_id: tuple(r)[1:] for r in made.collect()}
+    assert got[1] == (True, 1000, 0.0, 999.0) and got[2] == (False, 1000, 0.0, 999.0) and got[3] == (None, 0, None, None) and got[4][:2] == (False, 1)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate [series_id")

@@ -115,14 +115,16 @@ def resolve(questions: DataFrame, observations: DataFrame) -> DataFrame:
     """Outcome of (question_id, series_id, start, end, level, direction): whether the series was below
     (above) the level in the window; null without an observation.
 
-    Windows are laid out by month, so that a question meets the observations of its months only.
+    Observations are first brought to one row a series and date, with their number, least and greatest value; windows are laid
+    out by month, so that a question meets the dates of its months only, however many observations these have.
     """
     months = F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))
     q = questions.withColumn("month", F.explode_outer(F.when(F.col("start") <= F.col("end"), months)))
-    o = observations.withColumn("month", F.trunc("event_date", "month"))
+    o = observations.groupBy("series_id", "event_date").agg(F.count("value").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    o = o.withColumn("month", F.trunc("event_date", "month"))
     inside = (F.col("o.series_id") == F.col("q.series_id")) & (F.col("o.month") == F.col("q.month")) & F.col("o.event_date").between(F.col("q.start"), F.col("q.end"))
-    hit = F.when(F.col("q.direction") == "below", F.col("o.value") < F.col("q.level")).otherwise(F.col("o.value") > F.col("q.level"))
-    return q.alias("q").join(o.alias("o"), inside, "left").groupBy("q.question_id").agg(F.bool_or(hit).alias("outcome"), F.count("o.value").alias("n_obs"), F.min("o.value").alias("lowest"), F.max("o.value").alias("highest"))
+    hit = F.when(F.col("q.direction") == "below", F.col("o.lowest") < F.col("q.level")).otherwise(F.col("o.highest") > F.col("q.level"))
+    return q.alias("q").join(o.alias("o"), inside, "left").groupBy("q.question_id").agg(F.bool_or(hit).alias("outcome"), F.coalesce(F.sum("o.n"), F.lit(0)).cast("long").alias("n_obs"), F.min("o.lowest").alias("lowest"), F.max("o.highest").alias("highest"))
 
 
 def snapshot(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], path: str, now: dt.datetime) -> DataFrame:
