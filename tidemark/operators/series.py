@@ -146,11 +146,12 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], f
 
     A sketch of bounded size puts each wanted rank between two values; what lies below and between them is counted, and only
     that goes on, about a hundredth of it each round, until a rank is among ``few`` values, which are sorted, or equal ones. So
-    no task holds the values of a group. Nulls and NaN don't count, a group without values isn't in the result; null keys are a group.
+    no task holds the values of a group. The values are written once, as rows made anew might differ in the last bit. Nulls and NaN don't count, a group without values isn't in the result; null keys are a group.
     """
     keys = [f"_b{i}" for i in range(len(by))] or ["_b0"]
     v = F.col("v")
     data = rows.select(*([F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_b0")]), F.col(value).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    data = cut(data)
     ranks = [(share, side) for share in shares for side in (F.floor, F.ceil)]
     every = range(len(ranks))
     bins = [j / BINS for j in range(BINS + 1)]
