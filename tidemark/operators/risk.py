@@ -84,7 +84,10 @@ def _quantiles(returns: DataFrame, shares: list[float], counted: bool) -> DataFr
 
 
 def winsorize(returns: DataFrame, lo: float = 0.01, hi: float = 0.99, counted: bool = False) -> DataFrame:
-    """Returns within two quantiles of their entity. ``counted`` is for entities whose values no task should hold."""
+    """Returns within two quantiles of their entity. ``counted`` is for entities whose values no task should hold.
+
+    The returns are written once: sums made anew may differ in the last bit, and a quantile would then be no return."""
+    returns = cut(returns.select("entity", "date", "r"))
     bounds = _quantiles(returns, [lo, hi], counted)
     return returns.join(bounds, "entity").select("entity", "date", F.when(F.col("r").isNotNull(), F.least(F.greatest("r", F.col("b")[0]), F.col("b")[1])).alias("r"))
 
@@ -117,8 +120,9 @@ def circuit_limit_risk(returns: DataFrame, limit: float, lookback: int = 252) ->
 
 def var_historical(returns: DataFrame, confidence: float = 0.99, horizon: int = 1, counted: bool = False) -> DataFrame:
     """Per entity: value at risk by the linear quantile, the mean beyond it, tail size, worst. ``counted`` is for
-    entities whose values no task should hold."""
-    at = _quantiles(returns, [1 - confidence], counted).select("entity", F.col("b")[0].alias("q"))
+    entities whose values no task should hold. The returns are written once, as for :func:`winsorize`."""
+    returns = cut(returns.select("entity", "r"))
+    at = _quantiles(returns, [round(1 - confidence, 12)], counted).select("entity", F.col("b")[0].alias("q"))
     root = horizon**0.5
     tail = F.when(F.col("r") <= F.col("q"), F.col("r"))
     return returns.join(at, "entity").groupBy("entity").agg(
