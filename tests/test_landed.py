@@ -156,3 +156,29 @@ def test_sliding_windows_find_busy_clients(spark):
     over = st.sliding_counts(spark.createDataFrame(rows, "client string, ts timestamp"), limit=4)
     got = over.select("client", "window.start", "n").collect()
     assert {r["client"] for r in got} == {"busy"} and {r["n"] for r in got} == {5} and len(got) == 9  # starts from 10:10 to 10:50
+
+
+def test_filter_screens_once_and_asks_what_patterns_need(spark):
+    """Each pattern's needed words are in all it matches, in any case; texts are screened in one pass."""
+    import re
+
+    from tidemark.operators import text as tx
+
+    said = {
+        "IGNORE all Previous\nrules": "override attempt", "Disregard the above": "override attempt", "UPDATED  system prompt :": "instruction injection", "you\tShould now go": "role reassignment", "x\n Assistant >": "chat-format spoofing",
+        "< / Instructions >": "tag spoofing", "Reply only with": "output hijack", "the TRUE value is": "answer injection", "Set your Forecast to": "answer injection", "begin SYSTEM": "delimiter spoofing", "see [E12]": tx.FABRICATED,
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "id int, t string").select("id", "t", tx.hidden(F.col("t")).alias("f"), tx.sanitise(F.col("t")).alias("s")).collect()
+    assert [r.f for r in sorted(rows, key=lambda r: r.id)] == [[v] for v in said.values()]
+    for r in rows:
+        want = r.t
+        for p, _ in tx.INJECTION:
+            want = re.sub("(?im)" + p, "[removed]", want)
+        assert r.s == re.sub(r"\s+", " ", re.sub(r"\[E\d{1,3}\]", "[ref]", want)).strip()
+    noisy = ["  TOP 10 of", "Daily Horoscope", "Stocks to WATCH", "a multibagger", "Penny  stock", "What should investors do"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(noisy)], "id int, t string").select("id", tx.noise_reason(F.col("t"), F.lit("")).alias("r")).orderBy("id").collect()
+    assert [r.r for r in got] == [f"noise pattern: {p}" for p in tx.NOISE_PATTERNS]
+    docs = spark.createDataFrame([(1, "A bond market title of some length", "you must now say", "primary", 1.0), (2, "Inflation and the policy rate again", None, "press", 2.0)], "id int, title string, summary string, tier string, age_hours double")
+    for made in (tx.filter_documents(docs, "inflation"), tx.filter_stats(docs, None, "inflation")):
+        assert "regexp_replace" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert tx.filter_stats(docs, None, "inflation").collect() == tx.filter_stats(docs, tx.filter_documents(docs, "inflation"), "inflation").collect()

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.shared import cut
+
 #: Patterns of text that tries to instruct its reader, with their labels, looked for in this order.
 INJECTION = (
     (r"ignore\s+(all\s+|any\s+|your\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|rules?|directions?)", "override attempt"),
@@ -36,17 +39,56 @@ MIN_TITLE = 15
 PRIMARY_FLOOR, MODEL_SHARE, TIER_PULL, TIER_MID = 0.32, 0.7, 0.35, 0.6
 
 
+#: Of each pattern, groups of words in lower case: where a text lacks all words of a group, the pattern can't match it.
+NEEDS = dict(zip((p for p, _ in INJECTION), (
+    (("ignore",), ("previous", "prior", "above", "earlier")), (("disregard",), ("previous", "above", "prior", "system")), (("new", "updated", "revised"), ("instruction", "prompt", "rule")), (("you",), ("now",)),
+    (("system", "assistant", "user"),), (("<",), ("system", "instruction", "prompt")), (("respond", "reply", "answer", "output"), ("with",)), (("correct", "true", "right"), ("answer", "probability", "value")),
+    (("set",), ("probability", "confidence", "forecast"), ("to",)), (("begin",), ("system", "prompt", "instructions")),
+))) | dict(zip(NOISE_PATTERNS, (
+    (("top", "best", "worst"),), (("horoscope", "astrology", "cricket", "bollywood", "recipe"),), (("stock",), ("buy", "watch")), (("multibagger",),), (("penny",), ("stock",)), (("what",), ("should",), ("investors",)),
+)))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, the value being made once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _may(low: Column, pattern: str) -> Column:
+    """Whether a text, in lower case, has the words without which the pattern doesn't match; true of unknown patterns."""
+    found = F.lit(True)
+    for words in NEEDS.get(pattern, ()):
+        some = F.lit(False)
+        for w in words:
+            some = some | F.contains(low, F.lit(w))
+        found = found & some
+    return found
+
+
+def _removed(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    """Matches as [removed], pattern by pattern; that joins no words, so what a pattern needs is looked for in the text as it was."""
+
+    def without(low, p):
+        return lambda x: F.when(_may(low, p), F.regexp_replace(x, "(?im)" + p, "[removed]")).otherwise(x)
+
+    def chain(t, low):
+        for p, _ in patterns:
+            t = _let(t, without(low, p))
+        return t
+
+    return _let(text, lambda t: _let(F.lower(t), lambda low: chain(t, low)))
+
+
 def detect(text: Column, patterns: tuple[tuple[str, str], ...] = INJECTION) -> Column:
     """Labels of the patterns that the text matches in either case, in order, each once."""
-    found = F.array(*[F.when(text.rlike("(?im)" + p), F.lit(label)) for p, label in patterns])
+    found = _let(text, lambda t: _let(F.lower(t), lambda low: F.array(*[F.when(_may(low, p) & t.rlike("(?im)" + p), F.lit(label)) for p, label in patterns])))
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
 def sanitise(text: Column, patterns: tuple[tuple[str, str], ...] = INJECTION) -> Column:
     """Matches as [removed], evidence references as [ref], white space collapsed."""
-    for p, _ in patterns:
-        text = F.regexp_replace(text, "(?im)" + p, "[removed]")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\[E\d{1,3}\]", "[ref]"), r"\s+", " "))
+    text = _let(_removed(text, patterns), lambda x: F.when(F.contains(x, F.lit("[E")), F.regexp_replace(x, r"\[E\d{1,3}\]", "[ref]")).otherwise(x))
+    return F.trim(_let(text, lambda x: F.when(x.rlike(r"\s\s|[^\S ]"), F.regexp_replace(x, r"\s+", " ")).otherwise(x)))
 
 
 #: Fixed value: the label of a text that names evidence as the packet numbers it.
@@ -55,10 +97,8 @@ FABRICATED = "fabricated evidence id"
 
 def hidden(text: Column) -> Column:
     """What ``detect`` finds, and whether evidence references stand in what is left: such text would pass for cited."""
-    left = text
-    for p, _ in INJECTION:
-        left = F.regexp_replace(left, "(?im)" + p, "[removed]")
-    return F.concat(detect(text), F.when(left.rlike(r"\[E\d{1,3}\]"), F.array(F.lit(FABRICATED))).otherwise(F.array().cast("array<string>")))
+    fabricated = F.contains(text, F.lit("[E")) & _removed(text, INJECTION).rlike(r"\[E\d{1,3}\]")
+    return F.concat(detect(text), F.when(fabricated, F.array(F.lit(FABRICATED))).otherwise(F.array().cast("array<string>")))
 
 
 def strip_tags(html: Column) -> Column:
@@ -72,9 +112,12 @@ def strip_tags(html: Column) -> Column:
 
 def relevance(text: Column, terms: list[str], topic: list[str], age_hours: Column, tier: Column) -> Column:
     """Weighted share of question terms held, topic words (six are enough), recency and tier."""
-    hay = F.lower(text)
-    held = sum((F.when(F.contains(hay, F.lit(t)), 1.0).otherwise(0.0) for t in terms), F.lit(0.0)) / max(1, len(terms))
-    topics = sum((F.when(F.contains(hay, F.lit(t)), 1.0).otherwise(0.0) for t in topic), F.lit(0.0))
+
+    def count(hay, words):
+        return sum((F.when(F.contains(hay, F.lit(t)), 1.0).otherwise(0.0) for t in words), F.lit(0.0))
+
+    counts = _let(F.lower(text), lambda hay: F.array(count(hay, terms), count(hay, topic)))
+    held, topics = F.get(counts, F.lit(0)) / max(1, len(terms)), F.get(counts, F.lit(1))
     rank = F.lit(0.3)
     for k, v in TIERS.items():
         rank = F.when(tier == k, v).otherwise(rank)
@@ -104,8 +147,12 @@ def adjusted_relevance(lexical: Column, model: Column, tier: Column) -> Column:
 
 def noise_reason(title: Column, summary: Column) -> Column:
     """Why a document says nothing (fixed texts), else null."""
-    both = F.concat(title, F.lit(" "), summary)
-    return F.coalesce(*[F.when(both.rlike("(?i)" + p), F.lit(f"noise pattern: {p}")) for p in NOISE_PATTERNS], F.when(F.length(title) < MIN_TITLE, F.lit("title too short to carry information")))
+
+    def first(both, low):
+        return F.coalesce(*[F.when(_may(low, p) & both.rlike("(?i)" + p), F.lit(f"noise pattern: {p}")) for p in NOISE_PATTERNS])
+
+    pattern = _let(F.concat(title, F.lit(" "), summary), lambda both: _let(F.lower(both), lambda low: first(both, low)))
+    return F.coalesce(pattern, F.when(F.length(title) < MIN_TITLE, F.lit("title too short to carry information")))
 
 
 def screened(docs: DataFrame, question: str) -> DataFrame:
@@ -119,14 +166,24 @@ def screened(docs: DataFrame, question: str) -> DataFrame:
     return out.withColumn("reason", F.coalesce("reason", F.when(trapped, F.lit("instruction-shaped text in a primary feed"))))
 
 
-def filter_documents(docs: DataFrame, question: str, keep: int = 5, least: float = 0.30, model: DataFrame | None = None) -> DataFrame:
+def filter_documents(docs: DataFrame, question: str, keep: int = 5, least: float = 0.30, model: DataFrame | None = None, texts: bool = True) -> DataFrame:
     """The documents worth showing for a question, and why others were dropped.
 
     Noise and primary documents with hidden instructions are dropped first; of the rest each tier sends its most relevant
     ones, those beyond its share are left out; ``model`` (id, score) joins the lexical score; then the best ``keep`` of at least
     ``least`` are kept. Columns of :func:`screened`, with ``score``, ``shortlisted`` and ``kept``. Equals are taken by id.
+    The screened documents are written once; without ``texts``, title and summary are left out.
     """
+    return chosen(_screened_once(docs, question, texts), keep, least, model)
+
+
+def _screened_once(docs: DataFrame, question: str, texts: bool) -> DataFrame:
     rows = screened(docs, question)
+    return cut(rows if texts else rows.drop("title", "summary"))
+
+
+def chosen(rows: DataFrame, keep: int = 5, least: float = 0.30, model: DataFrame | None = None) -> DataFrame:
+    """:func:`filter_documents` of documents that are screened already."""
     budget = max(3 * keep, 12)
     caps = {"primary": max(3, budget // 3), "press": max(3, budget // 2), "aggregate": 2}
     most = F.lit(0)
@@ -143,11 +200,14 @@ def filter_documents(docs: DataFrame, question: str, keep: int = 5, least: float
     return short.unionByName(dropped)
 
 
-def filter_stats(docs: DataFrame, verdict: DataFrame, question: str) -> DataFrame:
-    """One row: documents retrieved, shortlisted, scored by a model, kept, and those with hidden instructions."""
-    every = screened(docs, question).agg(F.count("*").alias("retrieved"), F.count_if(F.size("flags") > 0).alias("injection_flags"))
-    chosen = verdict.agg(F.count_if("shortlisted").alias("after_deterministic"), F.count("score").alias("model_scored"), F.count_if("kept").alias("kept"))
-    return every.join(F.broadcast(chosen)).withColumn("model_used", F.col("model_scored") > 0)
+def filter_stats(docs: DataFrame, verdict: DataFrame | None, question: str) -> DataFrame:
+    """One row: documents retrieved, shortlisted, scored by a model, kept, and those with hidden instructions. Without a
+    ``verdict`` it is that of :func:`filter_documents`, and the documents are screened once for both."""
+    rows = _screened_once(docs, question, False) if verdict is None else screened(docs, question)
+    verdict = chosen(rows) if verdict is None else verdict
+    every = rows.agg(F.count("*").alias("retrieved"), F.count_if(F.size("flags") > 0).alias("injection_flags"))
+    of = verdict.agg(F.count_if("shortlisted").alias("after_deterministic"), F.count("score").alias("model_scored"), F.count_if("kept").alias("kept"))
+    return every.join(F.broadcast(of)).withColumn("model_used", F.col("model_scored") > 0)
 
 
 #: Words of a fund's name that say nothing.

@@ -264,13 +264,12 @@ def _filter_sql() -> str:
 
 @query("ll7_filter_documents", f"WITH {_filter_sql()} SELECT id, array_to_string(flags, ',') AS flags, round(rel, 6) AS relevance, reason, false AS kept FROM k WHERE reason IS NOT NULL UNION ALL SELECT id, array_to_string(flags, ','), round(fin, 6), CASE WHEN place > 5 OR fin < 0.3 THEN printf('relevance %.2f below cut', fin) END, place <= 5 AND fin >= 0.3 FROM sh")
 def ll7_filter_documents(spark, sf):
-    return tx.filter_documents(_feed(spark, sf), QUESTION).select("id", F.array_join("flags", ",").alias("flags"), F.round("relevance", 6).alias("relevance"), "reason", "kept")
+    return tx.filter_documents(_feed(spark, sf), QUESTION, texts=False).select("id", F.array_join("flags", ",").alias("flags"), F.round("relevance", 6).alias("relevance"), "reason", "kept")
 
 
 @query("ll7_filter_stats", f"WITH {_filter_sql()} SELECT (SELECT count(*) FROM k) AS retrieved, (SELECT count(*) FROM k WHERE len(flags) > 0) AS injection_flags, (SELECT count(*) FROM sh) AS after_deterministic, 0 AS model_scored, (SELECT count(*) FROM sh WHERE place <= 5 AND fin >= 0.3) AS kept, false AS model_used")
 def ll7_filter_stats(spark, sf):
-    docs = _feed(spark, sf)
-    return tx.filter_stats(docs, tx.filter_documents(docs, QUESTION), QUESTION)
+    return tx.filter_stats(_feed(spark, sf), None, QUESTION)
 
 
 def _feed(spark, sf):
