@@ -134,3 +134,57 @@ def test_survivors(spark):
     assert got.columns == frame.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (9, None), (9, None), (10, ""), (11, " ")], key=str)
     assert J.survivors(frame.limit(0)).count() == 0
+
+
+def test_linked_sets_meet_in_a_hash_that_neither_passes_over():
+    """Whatever order the hashes are passed over in, and with as many edits as a link bears."""
+    rng = random.Random(8)
+    for _ in range(400):
+        union = rng.sample(range(1 << 40), rng.randint(1, 190))
+        common = -(-80 * len(union) // 100)
+        rng.shuffle(union)
+        side = [rng.random() < 0.5 for _ in union]
+        a, b = (sorted(h for i, h in enumerate(union) if i < common or side[i] == own) for own in (True, False))
+        if rng.random() < 0.5:  # the worst case: what the sets share comes last
+            a, b = (sorted((union.index(h) < common, h) for h in s) for s in (a, b))
+        files = {h: rng.random() for h in [*a, *b]}
+        kept = [set(sorted(s[: J.prefix_length(len(s))], key=files.get)[: J.prefix_length(len(s)) - J.spare(len(s))]) for s in (a, b)]
+        assert kept[0] & kept[1]
+
+
+def test_common_passages_bring_no_texts_together(spark, monkeypatch):
+    """Texts, short and of thousands of words, that share a line but are unlike are compared with nothing;
+    the sets of long ones were taken for possible links before, and grew into one group."""
+    counts, cut = {}, J.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "cut", counted)
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line = text(9)
+    rows = [(i, f"{text(60)} {line} {text(60)}") for i in range(60)]
+    assert run(spark, rows) == brute(rows) and counts["files"] == counts["groups"] == 0
+    passage = text(400)
+    rows = [(i, f"{text(1400)} {passage} {text(1400)}") for i in range(30)]
+    rows += [(40, rows[3][1] + " end"), (41, rows[4][1].replace(passage, passage[:-40]))]
+    assert run(spark, rows) == brute(rows) and counts["groups"] == 4
+
+
+def test_files_of_the_same_nodes_are_one(spark, monkeypatch):
+    """Near copies share many hashes in two bands; they meet once for each set of texts that share some."""
+    tiles, tiled = [], J._tiled
+
+    def counted(rows, keys, *size):
+        out = tiled(rows, keys, *size)
+        tiles.append(out.select("tile").distinct().count())
+        return out
+
+    monkeypatch.setattr(J, "_tiled", counted)
+    rng = random.Random(10)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    rows = [(1, base), (2, base + " end"), (3, base.replace(" ", "  ") + " other end")]
+    assert run(spark, rows) == brute(rows) and tiles[0] <= 4

@@ -1,19 +1,22 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
 1. Texts with the same set of shingles are one node.
-2. A node of n shingles is filed under its smallest shingle hashes (``SKETCH``, or the full prefix
-   that a link must meet if that is shorter) and its size band; one band is as wide as the sizes of
-   two linked sets can differ, so a node also visits the band below.
+2. Of a node of n shingles the smallest hashes are taken (``SKETCH``, or, if that is shorter, the prefix
+   in which linked sets share ``SHARED`` hashes). Linked sets share that many of them, so each may pass
+   over the ``SHARED`` - 1 that most nodes have: those of common lines. It is filed under the others and
+   its size band; one band is as wide as the sizes of two linked sets can differ, so a node also visits
+   the band below. Files of the same nodes are one.
 3. A file with more rows than a tile holds is split into tiles by a hash, each pair of tiles apart.
-   In a tile, popcounts of the bitmap signatures bound the overlap of two sets from above; pairs
-   that could link are joined to groups, and only a spanning forest of them leaves the tile.
+   In a tile, popcounts of the bitmap signatures, which are as wide as the sets need, bound the overlap of
+   two sets from above; pairs that could link are joined to groups, and only a spanning forest of them
+   leaves the tile.
 4. The texts of one group of the forest meet in tiles again, and sorted arrays of shingle hashes are
    intersected exactly. Pairs already connected inside a tile needn't be.
 
-With ``sketch=None`` the full prefix is filed, however long, and nothing is left to chance; by default
-two linked sets share a hash among the smallest ``SKETCH`` of each unless all of the smallest
-``SKETCH`` of their union lie outside the intersection, which for random hashes has a probability
-below (1 - threshold) ** SKETCH, 2e-17 at 24: less than that of two shingles having one 64-bit hash.
+With ``sketch=None`` the full prefix is taken, however long, and nothing is left to chance; by default
+two linked sets share ``SHARED`` hashes among the smallest ``SKETCH`` of each unless fewer of the smallest
+``SKETCH`` of their union lie in the intersection, which for random hashes has a probability of at most
+4e-17 (8 of 40, each in it with 0.8): less than that of two shingles having one 64-bit hash.
 """
 
 from __future__ import annotations
@@ -21,13 +24,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import chunks_by_bytes, cut
 from .graph import connected_components
 
 WORDS, PERCENT = 5, 80
-SKETCH = 24
+SKETCH, SHARED = 40, 8
 BITMAP_WORDS = 16  # of 64 bits
 TILE_ROWS = 2048
 #: Rows and shingles of a verification tile, where whole sets meet.
@@ -85,9 +88,37 @@ def overlap_bound(n, m, differing):
     return np.minimum((n + m - differing) // 2, np.minimum(n, m))
 
 
+def _folded(bitmap: bytes, words: int) -> np.ndarray:
+    """A signature in fewer words, both powers of two: parities of places that become one are joined."""
+    bits = np.frombuffer(bitmap, dtype=np.uint64)
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """The bitmap of a set, of as many bits as it has hashes or up to twice that: sets much less alike than
+    the threshold differ in more of them than linked ones can, however large they are."""
+    return _bitmap(hashes, 1 << max(2, (len(hashes) - 1).bit_length() - 6)).tobytes()
+
+
+def shared_least(n: int, percent: int = PERCENT) -> int:
+    """Hashes that the prefix of a set of n shares with that of any linked set of n or more."""
+    return min(SHARED, -(-percent * n // 100))
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """Of a set of n, so many of the smallest hashes that any linked set must share one of them."""
-    return n - -(-percent * n // 100) + 1
+    """Of a set of n, so many of the smallest hashes that any linked set must share ``shared_least`` of them."""
+    return n - -(-percent * n // 100) + shared_least(n, percent)
+
+
+def spare(n: int, percent: int = PERCENT) -> int:
+    """Of the hashes in its prefix a set of n needn't be filed under so many, whichever come last in one order of all hashes.
+
+    The prefixes of two linked sets share more hashes than either passes over, so the first one
+    that they share is passed over by neither. The smallest set that can link decides.
+    """
+    return shared_least(-(-percent * n // 100), percent) - 1
 
 
 def band(n: int, percent: int = PERCENT) -> int:
@@ -210,9 +241,9 @@ def _sketched(sketch: int | None):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([_node(s) for s in sets], type=pa.int64()),
-                        pa.array([s[:k].view(np.int64) for s, k in zip(sets, prefix)], type=pa.list_(pa.int64())), pa.array([_bitmap(s).tobytes() for s in sets], type=pa.binary()),
+                        pa.array([s[:k].view(np.int64) for s, k in zip(sets, prefix)], type=pa.list_(pa.int64())), pa.array([spare(len(s)) for s in sets], type=pa.int32()), pa.array([signature(s) for s in sets], type=pa.binary()),
                     ],
-                    names=["doc", "hash", "n", "node", "tokens", "bits"],
+                    names=["doc", "hash", "n", "node", "tokens", "spare", "bits"],
                 )
 
     return run
@@ -223,11 +254,14 @@ def _tiled(rows: DataFrame, keys: list[str], size: int, weights: int | None = No
     a sum of ``n`` of about ``weights`` if that is given.
 
     A group of ``keys`` with more rows is split into parts by a hash of the node, and each pair of
-    parts is a tile; groups of one row need none.
+    parts is a tile; groups of one row need none, and of groups of the same nodes (by 128 bits of
+    their hashes) one is dealt.
     """
     parts = F.ceil(F.count("*") / size)
     parts = parts if weights is None else F.greatest(parts, F.ceil(F.sum("n") / weights))
-    counts = rows.groupBy(*keys).agg(parts.cast("int").alias("parts"), F.count("*").alias("n_rows")).where("n_rows > 1").drop("n_rows")
+    held = F.struct(F.count("*").alias("n_rows"), *[F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)])
+    counts = rows.groupBy(*keys).agg(parts.cast("int").alias("parts"), held.alias("held")).where("held.n_rows > 1")
+    counts = counts.groupBy("held").agg(F.min(F.struct(*keys, "parts")).alias("first")).select("first.*")
     dealt = rows.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select("node", F.xxhash64(*keys, F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "part", "other")
@@ -270,7 +304,9 @@ def _sides(table):
 
 
 def _possible(table):
-    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(len(table), -1)
+    bits = table["bits"].to_pylist()
+    words = min(map(len, bits)) // 8
+    bits = np.stack([_folded(b, words) for b in bits])
     return possible_pairs(table["n"].to_numpy(), bits, _sides(table))
 
 
@@ -294,15 +330,17 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketc
     (null without shingles) and hash that of its text; (node, doc, hash) of each node's first document,
     null ids last; and (a, b) of nodes, edges of a spanning forest of all links."""
     texts = _texts(docs, id_col, text_col)
-    rows = cut(texts.mapInArrow(_sketched(sketch), "doc long, hash long, n long, node long, tokens array<long>, bits binary"), "sketches")
+    rows = cut(texts.mapInArrow(_sketched(sketch), "doc long, hash long, n long, node long, tokens array<long>, spare int, bits binary"), "sketches")
     first = F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "hash"))
     firsts = cut(rows.where("node is not null").groupBy("node").agg(first.alias("f")).select("node", "f.doc", "f.hash"), "first-texts")
     of = firsts.select(F.col("node").alias("of"), F.col("doc").alias("d"), F.col("hash").alias("h"))
-    one = rows.join(of, (F.col("node") == F.col("of")) & F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("node", "doc", "hash", "n", "tokens", "bits").dropDuplicates(["node"])
+    one = rows.join(of, (F.col("node") == F.col("of")) & F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("node", "doc", "hash", "n", "tokens", "spare", "bits").dropDuplicates(["node"])
     one = cut(one, "sets-once")
-    filed = one.select("node", F.expr(f"int(floor(ln(n) / ln({100 / PERCENT}) + 1e-9))").alias("home"), F.explode("tokens").alias("token"))
-    shared = filed.groupBy("token").agg(F.count("*").alias("files")).where("files > 1").select("token")
-    filed = cut(filed.join(shared, "token", "left_semi").withColumn("band", F.explode(F.array(F.col("home"), F.col("home") - 1))).select("node", "token", "band"), "files")
+    filed = one.select("node", F.expr(f"int(floor(ln(n) / ln({100 / PERCENT}) + 1e-9))").alias("home"), "spare", F.explode("tokens").alias("token"))
+    shared = filed.groupBy("token").agg(F.count("*").alias("files")).where("files > 1")
+    commonest = Window.partitionBy("node").orderBy(F.desc("files"), "token")
+    filed = filed.join(shared, "token").withColumn("place", F.row_number().over(commonest)).where("place > spare")
+    filed = cut(filed.withColumn("band", F.explode(F.array(F.col("home"), F.col("home") - 1))).select("node", "token", "band"), "files")
     tiles = _tiled(filed, ["token", "band"], TILE_ROWS).join(one.select("node", "n", "bits"), "node")
     groups = connected_components(cut(_met(tiles, _possible), "possible"))
     groups = cut(groups.join(one.select("node", "n", "doc", "hash"), "node"), "groups")
