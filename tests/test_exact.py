@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.plans import registry
@@ -36,3 +37,16 @@ def test_means_on_a_bin_edge_stay_in_their_bin(spark, tmp_path):
         rows += [(user, "view", v) for v in values]
     spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert [(r.bin, r.n) for r in registry.QUERIES["a27_calibration"](spark, str(tmp_path)).collect()] == [(1, 60)]
+
+
+def test_means_on_a_rounding_edge_are_rounded_as_in_sql(spark, tmp_path):
+    """Means of 80 amounts, a quarter of which lie between two numbers of six digits: p is that of the SQL to the last digit."""
+    rng = random.Random(12)
+    rows = [(user, round(rng.uniform(0, 500), 2)) for user in range(60) for _ in range(80)]
+    spark.createDataFrame(rows, "user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT candidate, p, rank, survives FROM ({registry.SQL['w21_benjamini_hochberg']}) ORDER BY rank").fetchall()
+    got = registry.QUERIES["w21_benjamini_hochberg"](spark, str(tmp_path)).orderBy("rank").select("candidate", "p", "rank", "survives").collect()
+    assert [tuple(r) for r in got] == want

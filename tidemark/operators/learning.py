@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .prose import relevant
 
 
-def benjamini_hochberg(tests: DataFrame, q: float = 0.10, by: list[str] | None = None) -> DataFrame:
-    """(…, p) with rank, adjusted p and survival. Tests are one row a candidate, ranked within ``by``."""
+def benjamini_hochberg(tests: DataFrame, q: float = 0.10, by: list[str] | None = None, order: str = "p") -> DataFrame:
+    """(…, p) with rank, adjusted p and survival. Tests are one row a candidate, ranked within ``by``, by p or
+    by a column ``order`` that stands for p without the last bits of a sum."""
     by = by or []
-    up = W.partitionBy(*by).orderBy("p", "candidate")
+    up = W.partitionBy(*by).orderBy(order, "candidate")
     rows = tests.withColumns({"rank": F.row_number().over(up), "m": F.count("*").over(W.partitionBy(*by))})
     back = W.partitionBy(*by).orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("adjusted", F.least(F.min(F.col("p") * F.col("m") / F.col("rank")).over(back), F.lit(1.0)))
